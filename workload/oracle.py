@@ -215,7 +215,7 @@ WITH {LINES}, {CHECKED}, typed AS (
     CASE WHEN traded_at > TIMESTAMP '{DQ_AS_OF}' + INTERVAL 5 MINUTE THEN {{'field': 'tradedAtUtc', 'code': 'future_timestamp',
       'message': 'Trade timestamp ' || strftime(traded_at, '%Y-%m-%dT%H:%M:%S')
         || '.0000000+00:00 is more than 5 minutes ahead of now.'}} END
-  ], x -> x IS NOT NULL) AS r FROM typed
+  ], lambda x: x IS NOT NULL) AS r FROM typed
 ), failures AS (
   SELECT source_record_id, arrival_seq, i - 1 AS ordinal, r[i].field AS field, r[i].code AS code, r[i].message AS message
   FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM reports)
@@ -308,9 +308,9 @@ def oracle() -> dict[str, str]:
         "normalize_aliases": f"""WITH {LINES} SELECT source_record_id, arrival_seq, trade_reference, imo AS vessel_imo,
             upper(locode) AS port, grade AS product, party AS counterparty FROM lines""",
         "normalize_decimals": f"""WITH {LINES} SELECT source_record_id, arrival_seq,
-            l_partkey % 16 NOT IN (9, 10, 11, 12, 15) AND NOT (l_partkey % 16 = 13) OR l_partkey % 16 IN (13, 15) AS is_number,
+            l_partkey % 16 NOT BETWEEN 9 AND 13 AS is_number,
             {k16} WHEN 4 THEN CAST({w} AS DOUBLE) WHEN 5 THEN -({full}) WHEN 8 THEN CAST({w} AS DOUBLE) / 1000
-              WHEN 9 THEN NULL WHEN 10 THEN NULL WHEN 11 THEN NULL WHEN 12 THEN NULL WHEN 13 THEN CAST({w} AS DOUBLE)
+              WHEN 9 THEN NULL WHEN 10 THEN NULL WHEN 11 THEN NULL WHEN 12 THEN NULL WHEN 13 THEN NULL
               WHEN 14 THEN CAST(cents AS DOUBLE) / 100 WHEN 15 THEN -CAST({w} AS DOUBLE) ELSE {full} END AS value FROM lines""",
         "normalize_timestamps": f"""WITH {LINES} SELECT source_record_id, arrival_seq, {iso('''CASE
             WHEN k IN (0, 1, 2, 6, 8) THEN traded_at WHEN k = 3 THEN traded_at + to_microseconds(123456)

@@ -20,6 +20,7 @@ from quayside.operators.validate import explode_failures, rule_counts, trade_rul
 from quayside.plans import medallion, reconcile
 from quayside.session import prepare, work_path
 from quayside.sinks import landing, publish
+from quayside.sinks.deadletters import write_dead_letters
 from quayside.sources import all_channels, batch, bus, push, stream
 from quayside.sources.landed import claimed_keys, read_bronze, read_landed, snake_columns
 from quayside.streaming.dedupe import dedupe_within_window
@@ -298,7 +299,7 @@ def normalize_decimals(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(head, F.lit("."), tail, F.lit(","), c),
         F.concat(head, F.lit("e3")),
         F.concat(F.lit("+"), whole, F.lit("-")),
-        F.concat(head, F.lit(" "), tail),
+        F.concat(head, F.lit("\u00a0"), tail),
         F.concat(F.lit("."), c),
         F.concat(F.lit("- "), whole),
     ]
@@ -473,7 +474,9 @@ def dead_letter_summary(spark: SparkSession, sf: str) -> DataFrame:
 def dead_letter_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Failed publishes run again, and unknown products corrected, against the keys taken meanwhile."""
     first_run = _with_publish_errors(spark, sf)
-    letters = deadletter.dead_letters(classify(first_run), I.as_of())
+    root = work_path(spark, "dead-letters")
+    write_dead_letters(deadletter.dead_letters(classify(first_run), I.as_of()), root, batch_id=0)
+    letters = spark.read.parquet(root)
     corrections = (
         letters.where(F.contains(F.col("detail"), F.lit("'JETA1' is not one of")))
         .select("record.source_system", "record.source_record_id")
