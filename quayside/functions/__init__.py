@@ -2,15 +2,15 @@
 
 from quayside.functions.identity import business_key, event_id
 from quayside.functions.jsonmap import flat_string_map, last_wins
-from quayside.functions.numbers import Number, parse_number
+from quayside.functions.numbers import clean_number, is_number, number_text, number_value, packed_number
 from quayside.functions.once import evaluate_once
 from quayside.functions.text import filled_only, first_present, is_blank, strip
 from quayside.functions.times import parse_timestamp, wire_time
 from quayside.functions.vessels import imo_is_valid
 
 __all__ = [
-    "Number",
     "business_key",
+    "clean_number",
     "event_id",
     "evaluate_once",
     "filled_only",
@@ -18,8 +18,11 @@ __all__ = [
     "flat_string_map",
     "imo_is_valid",
     "is_blank",
+    "is_number",
     "last_wins",
-    "parse_number",
+    "number_text",
+    "number_value",
+    "packed_number",
     "parse_timestamp",
     "strip",
     "wire_time",

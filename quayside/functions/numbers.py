@@ -1,7 +1,5 @@
 """Locale-tolerant decimal parsing as column expressions."""
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,15 +11,6 @@ _UNSIGNED = r"(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+)"
 NUMBER_PATTERN = rf"^(?:[+-]?{_UNSIGNED}|{_UNSIGNED}[+-])\z"
 
 
-@dataclass(frozen=True)
-class Number:
-    """``is_number`` is kept apart from ``value``: text can be a number and still not fit the type."""
-
-    is_number: Column
-    value: Column
-    text: Column
-
-
 def packed_number(raw: Column) -> Column:
     """Trim and drop ASCII spaces."""
     return F.replace(strip(raw), F.lit(" "), F.lit(""))
@@ -32,17 +21,24 @@ def clean_number(packed: Column) -> Column:
     return F.when(F.contains(packed, F.lit(".")), packed).otherwise(F.replace(packed, F.lit(","), F.lit(".")))
 
 
-def parse_number(cleaned: Column, decimal_type: str = AMOUNT) -> Number:
-    """Interpret text prepared by :func:`packed_number` and :func:`clean_number`.
+def is_number(cleaned: Column) -> Column:
+    """Whether text prepared by :func:`packed_number` and :func:`clean_number` is a number.
 
-    ``text`` is the plain spelling used in messages: sign in front, no thousands commas.
+    Kept apart from the value, because a number may still not fit the type: that is a question of range.
     """
-    is_number = F.coalesce(cleaned.rlike(NUMBER_PATTERN), F.lit(False))
+    return F.coalesce(cleaned.rlike(NUMBER_PATTERN), F.lit(False))
+
+
+def number_value(cleaned: Column, readable: Column | None = None, decimal_type: str = AMOUNT) -> Column:
+    """The number as a decimal; NULL when the text is no number or does not fit."""
+    readable = is_number(cleaned) if readable is None else readable
+    magnitude = F.when(readable, F.translate(cleaned, ",+-", "").try_cast(decimal_type))
+    return F.when(F.contains(cleaned, F.lit("-")), -magnitude).otherwise(magnitude)
+
+
+def number_text(cleaned: Column) -> Column:
+    """The plain spelling used in messages: sign in front, no thousands commas, no idle zeros in front."""
     digits = F.translate(cleaned, ",+-", "")
-    magnitude = F.when(is_number, digits.try_cast(decimal_type))
-    negative = F.contains(cleaned, F.lit("-"))
-    value = F.when(negative, -magnitude).otherwise(magnitude)
     plain = F.regexp_replace(F.regexp_replace(digits, r"\.$", ""), r"^0+(?=[0-9])", "")
     plain = F.when(F.startswith(plain, F.lit(".")), F.concat(F.lit("0"), plain)).otherwise(plain)
-    text = F.when(negative, F.concat(F.lit("-"), plain)).otherwise(plain)
-    return Number(is_number, value, text)
+    return F.when(F.contains(cleaned, F.lit("-")), F.concat(F.lit("-"), plain)).otherwise(plain)

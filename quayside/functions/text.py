@@ -15,19 +15,30 @@ WHITE_SPACE = "".join(
 )
 
 
+def _printable(char: Column) -> Column:
+    """Whether text starts with a printable ASCII character: the usual case, and quick to see."""
+    return F.ascii(char).between(33, 126)
+
+
 def strip(value: Column) -> Column:
-    """Remove Unicode white space from both ends (no regular expression needed)."""
-    return F.btrim(value, F.lit(WHITE_SPACE))
+    """Remove Unicode white space from both ends; text without any is passed through untouched."""
+    tight = _printable(value) & _printable(F.substring(value, -1, 1))
+    return F.when(tight, value).otherwise(F.btrim(value, F.lit(WHITE_SPACE)))
+
+
+def is_filled(value: Column) -> Column:
+    """True for text with something besides white space in it; never NULL."""
+    return F.coalesce(_printable(value) | (F.btrim(value, F.lit(WHITE_SPACE)) != ""), F.lit(False))
 
 
 def is_blank(value: Column) -> Column:
     """True for NULL, empty and white-space-only text."""
-    return F.coalesce(strip(value) == "", F.lit(True))
+    return ~is_filled(value)
 
 
 def filled_only(fields: Column) -> Column:
     """The map without its NULL and blank values; the others stay untrimmed."""
-    return F.map_filter(fields, lambda _, v: strip(v) != "")
+    return F.map_filter(fields, lambda _, v: is_filled(v))
 
 
 def first_present(fields: Column, names: Iterable[str]) -> Column:

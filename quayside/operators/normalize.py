@@ -13,11 +13,10 @@ from quayside.functions import (
     filled_only,
     first_present,
     is_blank,
-    parse_number,
     parse_timestamp,
     strip,
 )
-from quayside.functions.numbers import clean_number, packed_number
+from quayside.functions.numbers import clean_number, is_number, number_text, number_value, packed_number
 from quayside.functions.times import EXTRA_LAYOUTS
 
 # The order in which fields are checked: only the first problem of a record is reported.
@@ -84,6 +83,7 @@ def normalize(
     resolved = resolve(records, aliases).withColumns(
         {
             "time_text": strip(raw["traded_at_utc"]),
+            "vessel_text": F.replace(F.upper(strip(raw["vessel_imo"])), F.lit("IMO"), F.lit("")),
             **{f"packed_{t}": packed_number(raw[t]) for t in NUMERIC},
         }
     )
@@ -93,27 +93,27 @@ def normalize(
             **{f"clean_{t}": clean_number(F.col(f"packed_{t}")) for t in NUMERIC},
         }
     ).drop("time_text", *[f"packed_{t}" for t in NUMERIC])
+    parsed = parsed.withColumns({f"readable_{t}": is_number(F.col(f"clean_{t}")) for t in NUMERIC})
 
-    numbers = {t: parse_number(F.col(f"clean_{t}")) for t in NUMERIC}
     problems = []
     for target in CHECK_ORDER:
         problems.append(F.when(raw[target].isNull(), _missing(target, aliases[target])))
         if target == "traded_at_utc":
             problems.append(F.when(F.col(target).isNull(), _unreadable(target, "timestamp")))
         elif target in NUMERIC:
-            problems.append(F.when(~numbers[target].is_number, _unreadable(target, "number")))
+            problems.append(F.when(~F.col(f"readable_{target}"), _unreadable(target, "number")))
 
     typed = evaluate_once(
         parsed,
         {
             "normalization_error": F.coalesce(*problems),
             "trade_reference": raw["trade_reference"],
-            "vessel_imo": strip(F.replace(F.upper(strip(raw["vessel_imo"])), F.lit("IMO"), F.lit(""))),
+            "vessel_imo": strip(F.col("vessel_text")),
             "port": F.upper(strip(raw["port"])),
             "product": F.upper(strip(raw["product"])),
             "counterparty": strip(raw["counterparty"]),
             "traded_at_utc": F.col("traded_at_utc"),
-            **{t: numbers[t].value for t in NUMERIC},
+            **{t: number_value(F.col(f"clean_{t}"), F.col(f"readable_{t}")) for t in NUMERIC},
             **{f"clean_{t}": F.col(f"clean_{t}") for t in NUMERIC},
         },
     )
@@ -127,10 +127,14 @@ def normalize(
             "occurred_at_utc": F.col("traded_at_utc"),
             "ingested_at_utc": stamped,
             "total_usd": total_usd(),
-            **{f"{t}_text": parse_number(F.col(f"clean_{t}")).text for t in NUMERIC},
+            **{f"{t}_text": number_text(F.col(f"clean_{t}")) for t in NUMERIC},
         }
     )
-    return enveloped.drop(*[f"raw_{t}" for t in aliases], *[f"clean_{t}" for t in NUMERIC])
+    return enveloped.drop(
+        "vessel_text",
+        *[f"raw_{t}" for t in aliases],
+        *[f"{step}_{t}" for step in ("clean", "readable") for t in NUMERIC],
+    )
 
 
 def total_usd() -> Column:

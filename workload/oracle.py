@@ -283,9 +283,10 @@ def oracle() -> dict[str, str]:
                 PARTITION BY dedup_key, is_valid AND NOT malformed ORDER BY arrival_seq) END AS n FROM inside
             ) SELECT request_id, count(*) FILTER (n = 1) AS accepted, count(*) FILTER (n > 1) AS duplicate,
             count(*) FILTER (n IS NULL) AS rejected, CAST(0 AS BIGINT) AS failed FROM numbered GROUP BY 1""",
-        "ingest_all_channels": f"""{OUTCOMES} SELECT source_system, count(*) FILTER (outcome = 'Accepted') AS accepted,
+        "ingest_all_channels": f"""{OUTCOMES} SELECT source_system,
+            CASE source_system WHEN 'erp' THEN 'Batch' WHEN 'port-telemetry' THEN 'Stream' ELSE 'Api' END AS channel, count(*) FILTER (outcome = 'Accepted') AS accepted,
             count(*) FILTER (outcome = 'Duplicate') AS duplicate, count(*) FILTER (outcome = 'Rejected') AS rejected,
-            CAST(0 AS BIGINT) AS failed FROM outcomes GROUP BY 1""",
+            CAST(0 AS BIGINT) AS failed FROM outcomes GROUP BY ALL""",
         "publish_envelope": f"""{EVENTS} SELECT dedup_key AS correlation_id, event_id AS message_id,
             'bunker.trade.recorded' AS subject, 'application/json' AS content_type, 1 AS schema_version,
             event_id AS "eventId", 'bunker.trade.recorded' AS "eventType", '1' AS "schemaVersion", source_system AS "sourceSystem",

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.contract import LANDED_COLUMNS
-from quayside.functions import imo_is_valid, parse_number, parse_timestamp, strip
-from quayside.functions.numbers import clean_number, packed_number
+from quayside.functions import clean_number, imo_is_valid, is_number, number_value, packed_number, parse_timestamp, strip
 from quayside.operators import deadletter, events, metrics
 from quayside.operators.classify import claims_for, classify, first_valid, parse, rejected
 from quayside.operators.normalize import is_routable, normalize
@@ -148,7 +147,7 @@ def _requests(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
             F.when(F.col("l_linenumber") <= 6, F.lit("main")).otherwise(F.lit("rest")),
         ),
     )
-    return I.as_records(I.spelled(t), "request_id", "l_partkey", *extra)
+    return I.as_records(t, "request_id", "l_partkey", *extra)
 
 
 def src_push_guard(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,26 +191,24 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ingest_all_channels(spark: SparkSession, sf: str) -> DataFrame:
-    """The three adapters side by side, then one pipeline: outcomes per source system."""
-    systems = ("trading-desk", "erp", "port-telemetry")
+    """Each source system through its own adapter, then one pipeline: outcomes per source system."""
     records = I.source_records(spark, sf)
     wire = records.withColumn("json", F.to_json("fields"))
-    frames = []
-    for system in systems:
-        own = wire.where(F.col("source_system") == system)
-        pulls = own.where("channel = 'Batch'").select(
-            F.concat(F.lit("["), "json", F.lit("]")).alias("body"), F.col("arrival_seq").alias("pull_seq")
-        )
-        frames.append(batch.batch_records(batch.pulled_fields(pulls), batch.BatchSource(system)))
-        sent = own.where("channel = 'Stream'").select(
-            F.col("json").alias("value"),
-            F.col("arrival_seq").alias("offset"),
-            F.timestamp_seconds(F.lit(0)).alias("timestamp"),
-        )
-        frames.append(stream.stream_records(sent, stream.StreamSource(system)))
-    frames.append(push.well_formed(records.where("channel = 'Api'")))
-    pipeline = parse(all_channels(*frames), I.as_of())
-    return metrics.outcome_totals_by(pipeline, ["source_system"])
+    pulls = wire.where("source_system = 'erp'").select(
+        F.concat(F.lit("["), "json", F.lit("]")).alias("body"), F.col("arrival_seq").alias("pull_seq")
+    )
+    sent = wire.where("source_system = 'port-telemetry'").select(
+        F.col("json").alias("value"),
+        F.col("arrival_seq").alias("offset"),
+        F.timestamp_seconds(F.lit(0)).alias("timestamp"),
+    )
+    pushed = records.where("source_system = 'trading-desk'")
+    union = all_channels(
+        batch.batch_records(batch.pulled_fields(pulls), batch.BatchSource("erp")),
+        stream.stream_records(sent, stream.StreamSource("port-telemetry")),
+        push.well_formed(pushed),
+    )
+    return metrics.outcome_totals_by(parse(union, I.as_of()), ["source_system", "channel"])
 
 
 def _published(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,8 +302,9 @@ def normalize_decimals(spark: SparkSession, sf: str) -> DataFrame:
     ]
     text = F.element_at(F.array(*cases), (F.col("l_partkey") % 16 + 1).cast("int"))
     read = t.withColumn("clean", clean_number(packed_number(text)))
-    number = parse_number(F.col("clean"))
-    return plain(read.select(*ROW, number.is_number.alias("is_number"), number.value.alias("value")))
+    return plain(
+        read.select(*ROW, is_number(F.col("clean")).alias("is_number"), number_value(F.col("clean")).alias("value"))
+    )
 
 
 def normalize_timestamps(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,7 +350,7 @@ def event_identity(spark: SparkSession, sf: str) -> DataFrame:
 
 def trade_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Totals of amounts that end in half a cent half of the time."""
-    halves = I.spelled(I.lines(spark, sf)).withColumn(
+    halves = I.lines(spark, sf).withColumn(
         "t_quantity_mt", F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".5"))
     )
     return plain(
@@ -649,7 +647,7 @@ RUN_ENDS = (9900, 10800, 20000)
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines through the streaming pipeline in three scheduled runs; what landed, and when."""
-    t = I.spelled(I.lines(spark, sf))
+    t = I.lines(spark, sf)
     wire = I.as_records(t, "arrival_day", "arrival_tie", "l_partkey")
     value = (
         F.when(F.col("l_partkey") % 29 == 0, F.lit('{"cut'))
