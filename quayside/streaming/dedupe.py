@@ -11,7 +11,9 @@ def dedupe_within_window(
     """Drop messages whose id was seen within ``window``.
 
     The clock is the enqueue time, never the trade time: late trades are welcome and would be dropped by
-    a watermark on their own time. State is one timestamp per id and expires with the watermark. This is a
-    cheap first filter; the claims on landed keys remain the authority.
+    a watermark on their own time. State is one timestamp per id. An id is forgotten when the watermark (the
+    newest enqueue time less the window) has passed the end of its window, so replays are held back for the
+    window at least, and for longer while no traffic moves the watermark. This is a cheap first filter; the
+    claims on landed keys remain the authority.
     """
     return messages.withWatermark(enqueued_at, window).dropDuplicatesWithinWatermark([message_id])
