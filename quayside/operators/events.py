@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quayside.contract import DEFAULT_PAGE, MAX_PAGE
 
+DEEP_OFFSET = 10_000
+
 
 @dataclass(frozen=True)
 class EventQuery:
@@ -63,14 +65,36 @@ def filter_events(events: DataFrame, query: EventQuery) -> DataFrame:
     return events
 
 
-def events_page(events: DataFrame, query: EventQuery) -> DataFrame:
-    """One page, newest first, ties by event id. Never larger than the page maximum."""
-    return (
-        filter_events(events, query)
-        .orderBy(F.desc("occurred_at_utc"), "event_id")
-        .offset(query.page_offset)
-        .limit(query.page_limit)
-    )
+def _skip_dates(events: DataFrame, skip: int, take: int) -> tuple[DataFrame, int]:
+    """Narrow a deep page to the trade dates it lies in, with what is left to skip there.
+
+    Newest first means newest dates first, so whole dates before the page can be counted past. Only one
+    count per date comes to the driver.
+    """
+    sizes = events.groupBy("dt").agg(F.count("*").alias("n")).orderBy(F.desc("dt")).collect()
+    position = 0
+    while position < len(sizes) and skip >= sizes[position].n:
+        skip -= sizes[position].n
+        position += 1
+    if position == len(sizes):
+        return events.where(F.lit(False)), 0
+    last, found = position, sizes[position].n
+    while found < skip + take and last + 1 < len(sizes):
+        last += 1
+        found += sizes[last].n
+    return events.where(F.col("dt").between(F.lit(sizes[last].dt), F.lit(sizes[position].dt))), skip
+
+
+def events_page(events: DataFrame, query: EventQuery, deep_offset: int = DEEP_OFFSET) -> DataFrame:
+    """One page, newest first, ties by event id. Never larger than the page maximum.
+
+    A top-k keeps ``offset + limit`` rows per task, so pages far down a partitioned store are first
+    narrowed to their dates.
+    """
+    matching, skip = filter_events(events, query), query.page_offset
+    if skip > deep_offset and "dt" in events.columns:
+        matching, skip = _skip_dates(matching, skip, query.page_limit)
+    return matching.orderBy(F.desc("occurred_at_utc"), "event_id").offset(skip).limit(query.page_limit)
 
 
 def page_info(page: DataFrame, query: EventQuery) -> DataFrame:

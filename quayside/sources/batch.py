@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.contract import DEFAULT_RECORD_ID_FIELD
-from quayside.functions import flat_string_map, is_blank
+from quayside.functions import is_blank
 from quayside.functions.jsonmap import string_map_array
 from quayside.operators.normalize import with_record_id
 
@@ -21,19 +21,17 @@ class BatchSource:
     path: str = ""
     record_id_field: str = DEFAULT_RECORD_ID_FIELD
     enabled: bool = True
-    lines: bool = False  # one record per line instead of one array per file
 
 
 def read_pulls(spark: SparkSession, source: BatchSource) -> DataFrame:
-    """Files of a drop folder as rows of ``body`` and ``pull_seq`` (arrival order)."""
-    reader = spark.read.text(source.path, wholetext=not source.lines)
-    return reader.select(
+    """Files of a drop folder, one pull each, as rows of ``body`` and ``pull_seq`` (order of arrival).
+
+    A pull is one bounded response of a source system, so a file is read as a whole; many pulls spread
+    over many tasks. The sequence leaves room for a million records per pull.
+    """
+    return spark.read.text(source.path, wholetext=True).select(
         F.col("value").alias("body"),
-        # Files by modification time; lines of a file by position.
-        (
-            F.unix_millis("_metadata.file_modification_time") * F.lit(2**20)
-            + (F.col("_metadata.file_block_start") % F.lit(2**20))
-        ).alias("pull_seq"),
+        (F.unix_millis("_metadata.file_modification_time") * F.lit(2**20)).alias("pull_seq"),
     )
 
 
@@ -49,13 +47,6 @@ def pulled_fields(pulls: DataFrame) -> DataFrame:
     )
 
 
-def line_fields(lines: DataFrame) -> DataFrame:
-    """One record per line -> ``fields`` and ``arrival_seq``."""
-    return lines.select(flat_string_map(F.col("body")).alias("fields"), F.col("pull_seq").alias("arrival_seq")).where(
-        F.col("fields").isNotNull()
-    )
-
-
 def missing_id(fields: Column, id_field: str) -> Column:
     return is_blank(F.element_at(fields, F.lit(id_field)))
 
@@ -81,8 +72,7 @@ def read_batch_sources(spark: SparkSession, sources: list[BatchSource]) -> DataF
     frames = []
     for source in sources:
         if source.enabled:
-            pulls = read_pulls(spark, source)
-            frames.append(batch_records(line_fields(pulls) if source.lines else pulled_fields(pulls), source))
+            frames.append(batch_records(pulled_fields(read_pulls(spark, source)), source))
     if not frames:
         raise ValueError("no batch source is enabled")
     return all_channels(*frames)

@@ -12,6 +12,7 @@ from quayside.operators.events import EventQuery, events_page, filter_events, pa
 from quayside.plans import medallion, reconcile
 from quayside.session import work_path, work_root
 from quayside.sinks.landing import append_if_absent, compact, file_rows, write_landing
+from quayside.sources.store import from_store, to_store
 from quayside.sources.landed import claimed_keys, read_bronze, read_landed, to_snake_case
 
 
@@ -165,6 +166,27 @@ def test_page(parsed):
     assert tuple(info) == (20, 50, 40)
 
 
+def test_deep_pages_count_past_whole_dates(spark, parsed, tmp_path):
+    rows = [record(rid=str(i), tradedAtUtc=f"2026-07-{1 + i % 7:02d}T{i % 24:02d}:00:00Z") for i in range(50)]
+    root = str(tmp_path / "landing")
+    write_landing(first_valid(parsed(*rows)), root)
+    stored = read_landed(spark, root)
+    expected = [r.event_id for r in stored.orderBy(F.desc("occurred_at_utc"), "event_id").collect()]
+    for offset in (0, 1, 7, 8, 30, 49, 50, 500):
+        query = EventQuery(limit=9, offset=offset)
+        page = events_page(stored, query, deep_offset=-1).collect()
+        assert [r.event_id for r in page] == expected[offset:offset + 9]
+
+
+def test_the_store_rounds_amounts_and_totals_them_again(parsed):
+    accepted = first_valid(parsed(record(quantityMt="1.0625", priceUsdPerMt="100.00005")))
+    stored = to_store(accepted, clock())
+    row = from_store(stored).first()
+    assert (row.quantity_mt, row.price_usd_per_mt) == (Decimal("1.063"), Decimal("100.0001"))
+    assert (accepted.first().total_usd, row.total_usd) == (Decimal("106.25"), Decimal("106.30"))
+    assert "landed_at_utc" in stored.columns and "total_usd" not in stored.columns
+
+
 def test_filters(parsed):
     stored = first_valid(parsed(record(rid="1"), record("erp", "2", product="MGO"), record(rid="3", tradedAtUtc="2026-07-01")))
     def ids(**query):

@@ -12,7 +12,7 @@ TABLES = (
 
 # Those that write many date folders or run streams are left to the driver's comparison and their own tests.
 SLOW = {"bronze_scan", "compact_partition", "land_trade_rows", "stream_ingest", "landed_count", "landed_by_date",
-        "events_filtered", "events_page", "events_page_info", "stream_dedupe_window"}
+        "events_filtered", "events_page", "events_deep_page", "events_page_info", "stream_dedupe_window"}
 NAMES = [n for n in entry.queries() if n not in SLOW]
 
 

@@ -19,10 +19,12 @@ def test_batch_files(spark, tmp_path):
         json.dumps([{**BASE, "sourceRecordId": "1"}, {"port": "X"}, {"sourceRecordId": "2", "qty": 5}, {"sourceRecordId": " "}])
     )
     (tmp_path / "b").mkdir()
-    (tmp_path / "b" / "pull.jsonl").write_text('{"no":"7","port":"P"}\nnot json\n{"no":"8"}\n')
+    (tmp_path / "b" / "one.json").write_text('[{"no":"7","port":"P"}]')
+    (tmp_path / "b" / "two.json").write_text('[{"no":"8"}]')
+    (tmp_path / "b" / "broken.json").write_text("not json")
     sources = [
         BatchSource("desk", str(tmp_path / "a")),
-        BatchSource("erp", str(tmp_path / "b"), record_id_field="no", lines=True),
+        BatchSource("erp", str(tmp_path / "b"), record_id_field="no"),
         BatchSource("off", "/nowhere", enabled=False),
     ]
     got = {(r.source_system, r.source_record_id, r.channel) for r in read_batch_sources(spark, sources).collect()}

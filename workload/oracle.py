@@ -374,6 +374,19 @@ def oracle() -> dict[str, str]:
         "append_if_absent": f"""{EVENTS} SELECT event_id, source_record_id, arrival_seq FROM accepted
             WHERE dedup_key NOT IN (SELECT dedup_key FROM valid WHERE arrival_day < {CUT_DAY})""",
         "land_trade_rows": f"{EVENTS} SELECT {landed_columns.format(version='1')} FROM accepted",
+        "query_store": f"""{EVENTS}, fine AS (
+              SELECT *, CAST(CAST(l_quantity AS INTEGER) || '.0625' AS DECIMAL(12, 4)) AS q0,
+                CAST(dollars || '.' || cents || '125' AS DECIMAL(12, 5)) AS p0
+              FROM lines
+            ), fit AS (
+              SELECT *, CAST(round(q0, 3) AS DECIMAL(12, 3)) AS q, CAST(round(p0, 4) AS DECIMAL(12, 4)) AS p,
+                party IS NOT NULL AND {imo_ok("imo")} AND regexp_full_match(upper(locode), '[A-Z]{{5}}') AND grade IN {GRADES} AS good
+              FROM fine
+            ), firsts AS (
+              SELECT *, {EVENT_ID} AS event_id, row_number() OVER (PARTITION BY dedup_key ORDER BY arrival_seq) AS nth FROM fit WHERE good
+            ) SELECT event_id, {double("q")} AS quantity_mt, {double("p")} AS price_usd_per_mt,
+            {double("round_even(CAST(q AS DECIMAL(15, 3)) * p, 2)")} AS total_usd, {iso("received_at")} AS ingested_at_utc
+            FROM firsts WHERE nth = 1""",
         "landed_count": f"{EVENTS} SELECT count(*) AS landed_events FROM accepted",
         "landed_by_date": f"""{EVENTS} SELECT strftime(traded_at, '%Y-%m-%d') AS dt, count(*) AS "rows" FROM accepted GROUP BY 1""",
         "bronze_scan": f"{BRONZE} {by_date}",
@@ -409,6 +422,9 @@ def oracle() -> dict[str, str]:
             FROM accepted WHERE source_system = 'erp' AND grade = 'VLSFO'
             AND traded_at BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1998-09-30 12:00:00'""",
         "events_page": f"{EVENTS} {page}",
+        "events_deep_page": f"""{EVENTS} SELECT *, row_number() OVER (ORDER BY occurred_at_utc DESC, event_id) AS position FROM (
+            SELECT event_id, {iso("traded_at")} AS occurred_at_utc, port, {double("tonnes")} AS quantity_mt FROM accepted
+            ORDER BY traded_at DESC, event_id LIMIT 200 OFFSET 2000)""",
         "events_page_info": f"""{EVENTS} SELECT count(*) AS "count", 500 AS "limit", 25 AS "offset" FROM ({page})""",
         # streaming
         "stream_ingest": stream_sql(),

@@ -6,7 +6,7 @@ engine itself keeps decimals, dates and timestamps.
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from quayside.plans import medallion, reconcile
 from quayside.session import prepare, work_path
 from quayside.sinks import landing, publish
 from quayside.sinks.deadletters import write_dead_letters
-from quayside.sources import all_channels, batch, bus, push, stream
+from quayside.sources import all_channels, batch, bus, push, store, stream
 from quayside.sources.landed import claimed_keys, read_bronze, read_landed, snake_columns
 from quayside.streaming.dedupe import dedupe_within_window
 from quayside.streaming.ingest import Store, start_ingest
@@ -543,6 +543,21 @@ def land_trade_rows(spark: SparkSession, sf: str) -> DataFrame:
     return plain(read_landed(spark, root).select(*LANDED_COLUMNS, "dt"))
 
 
+def query_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Events through the query store: amounts rounded to its types, totals computed again."""
+    fine = I.lines(spark, sf).withColumns(
+        {
+            "t_quantity_mt": F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".0625")),
+            "t_price_usd_per_mt": F.concat(F.col("dollars").cast("string"), F.lit("."), F.col("cents"), F.lit("125")),
+        }
+    )
+    accepted = first_valid(parse(I.as_records(fine, "received_at"), I.as_of(), F.col("received_at")))
+    stored = store.to_store(accepted, I.as_of())
+    return plain(
+        store.from_store(stored).select("event_id", "quantity_mt", "price_usd_per_mt", "total_usd", "ingested_at_utc")
+    )
+
+
 def landed_count(spark: SparkSession, sf: str) -> DataFrame:
     return events.landed_count(event_store(spark, sf))
 
@@ -615,6 +630,7 @@ def gold_reconcile(spark: SparkSession, sf: str) -> DataFrame:
 FILTER = events.EventQuery(
     source_system="erp", product="vlsfo", from_utc=datetime(1996, 3, 1), to_utc=datetime(1998, 9, 30, 12, 0)
 )
+DEEP_PAGE = events.EventQuery(limit=200, offset=2000)
 PAGE = events.EventQuery(product="mgo", from_utc=datetime(1997, 1, 1), limit=100_000, offset=25)
 
 
@@ -626,13 +642,20 @@ def events_filtered(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _numbered(page: DataFrame) -> DataFrame:
+    in_order = Window.orderBy(F.desc("occurred_at_utc"), "event_id")
+    shown = page.select("event_id", "occurred_at_utc", "port", "quantity_mt")
+    return plain(shown.withColumn("position", F.row_number().over(in_order)))
+
+
 def events_page(spark: SparkSession, sf: str) -> DataFrame:
     """A page with the position of each event in it (the page limit is clamped)."""
-    from pyspark.sql import Window
+    return _numbered(events.events_page(event_store(spark, sf), PAGE))
 
-    page = events.events_page(event_store(spark, sf), PAGE).select("event_id", "occurred_at_utc", "port", "quantity_mt")
-    in_order = Window.orderBy(F.desc("occurred_at_utc"), "event_id")
-    return plain(page.withColumn("position", F.row_number().over(in_order)))
+
+def events_deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page far down the store, found by counting past whole dates."""
+    return _numbered(events.events_page(event_store(spark, sf), DEEP_PAGE, deep_offset=1000))
 
 
 def events_page_info(spark: SparkSession, sf: str) -> DataFrame:
@@ -663,18 +686,18 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
         F.timestamp_seconds(F.col("arrival_day") * 86400).alias("timestamp"),
         "arrival_day",
     )
-    topic, store = work_path(spark, "topic"), Store(work_path(spark, "stream"))
+    topic, kept = work_path(spark, "topic"), Store(work_path(spark, "stream"))
     start = 0
     for end in RUN_ENDS:
         arrived = messages.where((F.col("arrival_day") >= start) & (F.col("arrival_day") < end))
         arrived.drop("arrival_day").write.mode("append").parquet(topic)
         run = start_ingest(
-            stream.file_messages(spark, topic), stream.StreamSource(), store,
+            stream.file_messages(spark, topic), stream.StreamSource(), kept,
             now=datetime.fromisoformat("2026-08-02T10:00:00+00:00"), available_now=True,
         )
         run.awaitTermination()
         start = end
-    landed = read_landed(spark, store.landing, batches=True)
+    landed = read_landed(spark, kept.landing, batches=True)
     return plain(landed.select("event_id", "source_record_id", "trade_reference", "quantity_mt", "total_usd", "dt", "batch_id"))
 
 
@@ -701,8 +724,8 @@ def stream_dedupe_window(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = (
     gold_port_product, gold_top, gold_reconcile, channel_summary, silver_trades, silver_rename, silver_delta,
-    ingest_lag, bronze_scan, landing_profile, land_trade_rows, landed_count, landed_by_date, append_if_absent,
-    compact_partition, events_filtered, events_page, events_page_info, normalize_aliases, normalize_decimals,
+    ingest_lag, bronze_scan, landing_profile, land_trade_rows, query_store, landed_count, landed_by_date, append_if_absent,
+    compact_partition, events_filtered, events_page, events_deep_page, events_page_info, normalize_aliases, normalize_decimals,
     normalize_timestamps, normalize_errors, normalize_routable, event_identity, trade_totals, dq_imo_check,
     dq_failures, dq_rule_counts, classify_outcomes, outcome_counts, outcome_totals, batch_summary, pull_summary,
     publish_retries, dedupe_against_history, dedupe_reserve_release, dead_letters, dead_letter_summary,
