@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.contract import LANDED, LANDED_COLUMNS, pascal
-from quayside.sources.landed import read_bronze
+from quayside.sources.landed import batch_folder, read_bronze
 
 
 def landed_rows(accepted: DataFrame) -> DataFrame:
@@ -24,27 +24,20 @@ def write_landing(
     root: str,
     batch_id: int | None = None,
     max_records_per_file: int = 5_000_000,
-    mode: str = "append",
 ) -> None:
-    """Write accepted events below ``root`` as ``dt=YYYY-MM-DD[/batch_id=n]``.
+    """Write accepted events below ``root`` as ``[batch_id=n/]dt=YYYY-MM-DD``.
 
-    With a ``batch_id`` the write replaces exactly the partitions of that batch, so running a batch again
-    leaves one copy. Without one it appends. ``rebalance`` brings the rows of a date together for few,
-    large files and lets adaptive execution cut a date that is too big for one task; sorting by port and
-    product makes row-group statistics selective.
+    With a ``batch_id`` the folder of that batch is replaced as a whole, so running a batch again leaves one
+    copy, whatever an earlier attempt left behind. Without one the write appends. ``rebalance`` brings the
+    rows of a date together for few, large files and lets adaptive execution cut a date that is too big for
+    one task; sorting by port and product makes row-group statistics selective.
     """
-    rows = file_rows(accepted)
-    partitions = ["dt"]
-    if batch_id is not None:
-        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        partitions.append("batch_id")
-    shaped = rows.hint("rebalance", "dt").sortWithinPartitions("dt", "Port", "Product")
-    writer = shaped.write.partitionBy(*partitions).option("maxRecordsPerFile", max_records_per_file)
-    if batch_id is not None:
-        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    shaped = file_rows(accepted).hint("rebalance", "dt").sortWithinPartitions("dt", "Port", "Product")
+    writer = shaped.write.partitionBy("dt").option("maxRecordsPerFile", max_records_per_file)
+    if batch_id is None:
+        writer.mode("append").parquet(root)
     else:
-        writer = writer.mode(mode)
-    writer.parquet(root)
+        writer.mode("overwrite").parquet(batch_folder(root, batch_id))
 
 
 def append_if_absent(incoming: DataFrame, landed: DataFrame, order: str = "arrival_seq") -> DataFrame:

@@ -16,6 +16,11 @@ def to_snake_case(name: str) -> str:
     return re.sub(r"(?<=.)[A-Z]", lambda capital: "_" + capital.group(), name).lower()
 
 
+def batch_folder(root: str, batch_id: int) -> str:
+    """Where a micro-batch keeps its part of a dataset."""
+    return f"{root}/batch_id={batch_id}"
+
+
 def snake_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[to_snake_case(c) for c in df.columns])
 

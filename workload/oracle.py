@@ -249,7 +249,7 @@ def oracle() -> dict[str, str]:
       imo AS vessel_imo, port, grade AS product, {double("tonnes")} AS quantity_mt, {double("price")} AS price_usd_per_mt,
       {double("round_even(usd, 2)")} AS total_usd, party AS counterparty, {iso("traded_at")} AS traded_at_utc,
       strftime(traded_at, '%Y-%m-%d') AS dt"""
-    page = f"""SELECT *, row_number() OVER (ORDER BY occurred_at_utc DESC, event_id) AS position FROM (
+    page = f"""SELECT *, CAST(row_number() OVER (ORDER BY occurred_at_utc DESC, event_id) AS INTEGER) AS position FROM (
       SELECT event_id, {iso("traded_at")} AS occurred_at_utc, port, {double("tonnes")} AS quantity_mt FROM accepted
       WHERE grade = 'MGO' AND traded_at >= TIMESTAMP '1997-01-01' ORDER BY traded_at DESC, event_id LIMIT 500 OFFSET 25)"""
     k16 = "CASE l_partkey % 16"
@@ -422,7 +422,7 @@ def oracle() -> dict[str, str]:
             FROM accepted WHERE source_system = 'erp' AND grade = 'VLSFO'
             AND traded_at BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1998-09-30 12:00:00'""",
         "events_page": f"{EVENTS} {page}",
-        "events_deep_page": f"""{EVENTS} SELECT *, row_number() OVER (ORDER BY occurred_at_utc DESC, event_id) AS position FROM (
+        "events_deep_page": f"""{EVENTS} SELECT *, CAST(row_number() OVER (ORDER BY occurred_at_utc DESC, event_id) AS INTEGER) AS position FROM (
             SELECT event_id, {iso("traded_at")} AS occurred_at_utc, port, {double("tonnes")} AS quantity_mt FROM accepted
             ORDER BY traded_at DESC, event_id LIMIT 200 OFFSET 2000)""",
         "events_page_info": f"""{EVENTS} SELECT count(*) AS "count", 500 AS "limit", 25 AS "offset" FROM ({page})""",
