@@ -1,7 +1,7 @@
 """Column builders. Everything here is a composition of built-in Spark expressions."""
 
 from quayside.functions.identity import business_key, event_id
-from quayside.functions.jsonmap import flat_string_map, last_wins
+from quayside.functions.jsonmap import flat_string_maps, string_maps, whole_values
 from quayside.functions.numbers import clean_number, is_number, number_text, number_value, packed_number
 from quayside.functions.once import evaluate_once
 from quayside.functions.text import filled_only, first_present, is_blank, strip
@@ -15,15 +15,16 @@ __all__ = [
     "evaluate_once",
     "filled_only",
     "first_present",
-    "flat_string_map",
+    "flat_string_maps",
     "imo_is_valid",
     "is_blank",
     "is_number",
-    "last_wins",
     "number_text",
     "number_value",
     "packed_number",
     "parse_timestamp",
+    "string_maps",
     "strip",
+    "whole_values",
     "wire_time",
 ]

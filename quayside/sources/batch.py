@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.contract import DEFAULT_RECORD_ID_FIELD
-from quayside.functions import is_blank
-from quayside.functions.jsonmap import string_map_array
+from quayside.functions import is_blank, string_maps
+from quayside.functions.jsonmap import JSON_OPTIONS
 from quayside.operators.normalize import with_record_id
 
 CHANNEL = "Batch"
@@ -40,8 +40,10 @@ def pulled_fields(pulls: DataFrame) -> DataFrame:
 
     Elements that are not flat string objects are left out one by one; the rest of the pull is kept.
     """
+    array = F.from_json("body", "array<map<string,variant>>", JSON_OPTIONS)
+    elements = pulls.select("pull_seq", F.posexplode(array).alias("position", "element"))
     return (
-        pulls.select("pull_seq", F.posexplode(string_map_array(F.col("body"))).alias("position", "fields"))
+        string_maps(elements, "element", "fields")
         .where(F.col("fields").isNotNull())
         .select("fields", (F.col("pull_seq") + F.col("position")).alias("arrival_seq"))
     )

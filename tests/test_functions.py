@@ -12,7 +12,7 @@ from quayside.functions import (
     clean_number,
     event_id,
     filled_only,
-    flat_string_map,
+    flat_string_maps,
     imo_is_valid,
     is_blank,
     is_number,
@@ -153,5 +153,7 @@ JSON = [
 
 
 def test_flat_string_maps_are_strict(spark):
-    rows = sorted(values(spark, [t for t, _ in JSON]).select("i", flat_string_map(F.col("v"))).collect())
+    decoded = flat_string_maps(values(spark, [t for t, _ in JSON]), F.col("v"))
+    assert decoded.columns == ["i", "v", "fields"]
+    rows = decoded.select("i", "fields").orderBy("i").collect()
     assert [r[1] for r in rows] == [m for _, m in JSON]
