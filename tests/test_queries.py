@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from workload.oracle import oracle
+from workload.queries import registered
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
@@ -13,7 +14,8 @@ TABLES = (
 # Those that write many date folders or run streams are left to the driver's comparison and their own tests.
 SLOW = {"bronze_scan", "compact_partition", "land_trade_rows", "stream_ingest", "landed_count", "landed_by_date",
         "events_filtered", "events_page", "events_deep_page", "events_page_info", "stream_dedupe_window"}
-NAMES = [n for n in entry.queries() if n not in SLOW]
+QUERIES = registered()
+NAMES = [n for n in QUERIES if n not in SLOW]
 
 
 @pytest.fixture(scope="module")
@@ -29,15 +31,15 @@ def plain(value):
 
 
 def test_every_query_but_the_window_dedupe_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"stream_dedupe_window"}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(oracle()) == {"stream_dedupe_window"}
+    assert set(oracle()) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, duck, name):
-    got = entry.queries()[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    rows = duck.execute(entry.oracle_sql()[name])
+    rows = duck.execute(oracle()[name])
     names = [d[0] for d in rows.description]
     assert sorted(names) == columns
     expected = [tuple(plain(r[names.index(c)]) for c in columns) for r in rows.fetchall()]
@@ -46,5 +48,5 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_outcome_counts_of_the_source_records(spark):
-    counts = {r.outcome: r.records for r in entry.queries()["outcome_totals"](spark, SF).collect()}
+    counts = {r.outcome: r.records for r in QUERIES["outcome_totals"](spark, SF).collect()}
     assert counts == {"Accepted": 3099, "Duplicate": 606, "Rejected": 61 + 2234, "Failed": 0}
