@@ -248,8 +248,8 @@ def score_documents(docs: DataFrame, vocabulary: str, training: str, rounds: int
                     batch.column("training"),
                     pa.array(np.diff(rows) + 1, pa.int64()),
                     pa.array(np.bincount(r, t * (c > 0), minlength=m).astype(np.int64)),
-                    pa.array(np.bincount(r, t * np.log10(c + 1.0), minlength=m)),
-                    pa.array(np.bincount(r, t * scores[k], minlength=m)),
+                    pa.array(np.bincount(r, t * np.log10(c + 1.0), minlength=m).astype(float)),
+                    pa.array(np.bincount(r, t * scores[k], minlength=m).astype(float)),
                     pa.ListArray.from_arrays(pa.array(starts), struct),
                 ],
                 ["doc_id", "training", "tokens", "known", "logs", "score", "words"],
