@@ -28,7 +28,7 @@ from quayside.llm.common import SPACE_WORDS, map_arrow, slices, text_buffers, wo
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MOST_REPEATS = 2.0
-BLOCK = 20_000
+BLOCK = 2_000
 RESERVE = 10
 
 

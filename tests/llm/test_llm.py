@@ -314,7 +314,7 @@ def expected_targets(sizes, weights=(5, 2, 1)):
         fixed |= {n: 2.0 * sizes[n] for n in over}
 
 
-@pytest.mark.parametrize("block", [20_000, 9])
+@pytest.mark.parametrize("block", [2_000, 9])
 def test_mix_meets_its_targets(spark, docs, odd, block):
     both = docs.select("doc_id", "text", "source").union(odd.select("doc_id", "text", "source"))
     got = cube.mix(both, block=block).collect()
