@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quayside.session import work_path
 
 # A task handles this much text at a time, whatever the size of the batches it is handed.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 ASCII_SPACE = frozenset((0x20, *range(0x09, 0x0E)))
 

@@ -35,7 +35,7 @@ DISCOUNT = 0.75
 # So many words, at most, are sent to the tasks with their counts and scores.
 FREQUENT = 65_536
 # Words that share a forward recursion, and its longest piece in bytes.
-LANES = 1 << 16
+LANES = 1 << 14
 
 # The byte alphabet of public byte-level vocabularies. Printable bytes stand for themselves; the
 # others, in ascending order, for the code points from 256 on.

@@ -32,7 +32,7 @@ from quayside.llm.common import map_arrow, mixed, slices, text_buffers, written
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # an anchor's strings start at most so far before it
-PIECE = 2 << 20  # bytes that are hashed at a time
+PIECE = 1 << 20  # bytes that are hashed at a time
 SAMPLE_DOCUMENTS = 20_000
 FREQUENT_SHARE = 0.01
 MOST_FREQUENT = 50_000
