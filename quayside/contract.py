@@ -43,7 +43,7 @@ DEFAULT_PAGE = 50
 MAX_PAGE = 500
 
 # --- fixed values: broker settings that shape the data ---------------------------------------
-DUPLICATE_WINDOW = "10 minutes"
+DUPLICATE_WINDOW_MINUTES = 10
 MAX_DELIVERIES = 5
 MESSAGE_TTL_DAYS = 14
 LANDING_TRIGGER = "15 seconds"
@@ -54,14 +54,24 @@ DEFAULT_RECORD_ID_FIELD = "sourceRecordId"
 AMOUNT = "decimal(18,9)"
 MONEY = "decimal(18,2)"
 
+# Where a record stands in arrival order: structs are compared field by field, so no part is packed or cut.
+# Streams: partition, nothing, offset. Pulls: time of the file, its path, position in the pull.
+ARRIVAL = T.StructType(
+    [
+        T.StructField("at", T.LongType()),
+        T.StructField("lane", T.StringType()),
+        T.StructField("position", T.LongType()),
+    ]
+)
+
 SOURCE_RECORD = T.StructType(
     [
         T.StructField("source_system", T.StringType()),
         T.StructField("source_record_id", T.StringType()),
         T.StructField("channel", T.StringType()),
         T.StructField("fields", T.MapType(T.StringType(), T.StringType(), True)),
-        # Position in arrival order; must be deterministic (an offset, a file position, a sequence).
-        T.StructField("arrival_seq", T.LongType()),
+        # Position in arrival order; must be deterministic.
+        T.StructField("arrival_seq", ARRIVAL),
     ]
 )
 

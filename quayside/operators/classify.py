@@ -8,8 +8,9 @@ Skew. A business key may own a large share of all rows, so no task may have to s
 
 * :func:`first_valid` filters ``row_number() = 1``, for which Spark keeps one row per key per map task
   before the shuffle.
-* :func:`classify` must keep the duplicates. It finds the few heaviest keys with a map-side combined
-  count, broadcasts their first arrival, and gives every row of a heavy key a window group of its own.
+* :func:`classify` keeps the duplicates. Each key's first arrival is a minimum, combined before the shuffle,
+  and comes back to the rows over a join. One side has one row per key, so adaptive execution can split
+  a hot key on the other. Rejected rows take no part in either.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,12 +19,7 @@ from pyspark.sql import functions as F
 from quayside.contract import DUPLICATE, NORMALIZATION_FAILED, VALIDATION_FAILED
 from quayside.operators.normalize import normalize
 from quayside.operators.validate import failure_summary, trade_rules, validate
-
-BEFORE_EVERYTHING = -(2**63)
-
-# At most MAX_HEAVY_KEYS rows are ever broadcast; keys beyond that stay on the exact window path.
-HEAVY_KEY_ROWS = 1_000_000
-MAX_HEAVY_KEYS = 10_000
+from quayside.session import stored
 
 
 def parse(records: DataFrame, as_of: Column, ingested_at: Column | None = None, rules=trade_rules) -> DataFrame:
@@ -49,100 +45,62 @@ def claims_for(parsed: DataFrame, history: DataFrame) -> DataFrame:
     return history.select("dedup_key").join(wanted, "dedup_key", "left_semi")
 
 
-def _with_claims(parsed: DataFrame, claims: DataFrame | None) -> DataFrame:
-    marked = parsed.withColumn("is_claim", F.lit(False))
-    if claims is None:
-        return marked
-    earlier = claims.select(
-        "dedup_key",
-        F.lit(BEFORE_EVERYTHING).cast("bigint").alias("arrival_seq"),
-        F.lit(True).alias("is_valid"),
-        F.lit(True).alias("is_claim"),
-    )
-    return marked.unionByName(earlier, allowMissingColumns=True)
-
-
 def first_valid(parsed: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """The accepted records: one per business key not claimed before."""
-    arrival = Window.partitionBy("dedup_key").orderBy("arrival_seq")
+    marked = parsed.where(_publishable(parsed)).withColumn("is_claim", F.lit(False))
+    if claims is not None:
+        earlier = claims.select("dedup_key", F.lit(True).alias("is_claim"))
+        marked = marked.unionByName(earlier, allowMissingColumns=True)
+    arrival = Window.partitionBy("dedup_key").orderBy(F.desc("is_claim"), "arrival_seq")
     return (
-        _with_claims(parsed.where(_publishable(parsed)), claims)
-        .withColumn("arrival_rank", F.row_number().over(arrival))
+        marked.withColumn("arrival_rank", F.row_number().over(arrival))
         .where("arrival_rank = 1 AND NOT is_claim")
         .drop("arrival_rank", "is_claim")
     )
 
 
-def classify(
-    parsed: DataFrame,
-    claims: DataFrame | None = None,
-    heavy_key_rows: int | None = HEAVY_KEY_ROWS,
-    max_heavy_keys: int = MAX_HEAVY_KEYS,
-) -> DataFrame:
+def first_arrivals(parsed: DataFrame, claims: DataFrame | None = None, order: str = "arrival_seq") -> DataFrame:
+    """Per business key: the first publishable arrival (``first_seq``) and whether it was ``claimed`` before."""
+    sent = parsed.where(_publishable(parsed)).select("dedup_key", F.col(order).alias("seq"), F.lit(False).alias("claim"))
+    if claims is not None:
+        earlier = claims.select("dedup_key", F.lit(None).cast(parsed.schema[order].dataType).alias("seq"), F.lit(True).alias("claim"))
+        sent = sent.unionByName(earlier)
+    return sent.groupBy("dedup_key").agg(F.min("seq").alias("first_seq"), F.bool_or("claim").alias("claimed"))
+
+
+def classify(parsed: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """Parsed records plus ``outcome``, ``reason`` and ``detail``, one output row per input row.
 
-    ``heavy_key_rows=None`` skips the search for heavy keys (one pass over the input instead of two).
+    Parsed records are written once and read by each branch. Of arrivals at one position the place in the
+    written files decides, so that one of them wins.
     """
-    publishable = _publishable(parsed)
-    rows = _with_claims(parsed, claims).withColumns(
-        {
-            "claim_key": F.when(F.col("is_valid"), F.col("dedup_key")),
-            "claim_seq": F.when(publishable, F.col("arrival_seq")),
-        }
-    )
-    if heavy_key_rows is None:
-        rows = rows.withColumns({"heavy": F.lit(False), "heavy_first_seq": F.lit(None).cast("bigint")})
-    else:
-        heavy = (
-            rows.where(F.col("claim_key").isNotNull())
-            .groupBy("claim_key")
-            .agg(F.count("*").alias("key_rows"), F.min("claim_seq").alias("heavy_first_seq"))
-            .where(F.col("key_rows") > heavy_key_rows)
-            .orderBy(F.desc("key_rows"), "claim_key")
-            .limit(max_heavy_keys)
-            .select("claim_key", "heavy_first_seq", F.lit(True).alias("heavy"))
-        )
-        rows = rows.join(F.broadcast(heavy), "claim_key", "left").withColumn(
-            "heavy", F.coalesce("heavy", F.lit(False))
-        )
-
-    # Rows of heavy keys, and rows that cannot claim anything, need no neighbours: their own sequence
-    # number becomes part of the window key and spreads them over all tasks.
-    rows = rows.withColumn(
-        "lane", F.when(F.col("heavy") | F.col("claim_key").isNull(), F.col("arrival_seq")).otherwise(F.lit(0))
-    )
-    in_key = Window.partitionBy("claim_key", "lane").orderBy(F.asc_nulls_last("claim_seq"))
-    ranked = rows.withColumns(
+    columns = parsed.columns
+    rows = stored(parsed, "parsed")
+    place = F.struct("arrival_seq", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = rows.withColumn("place", place)
+    firsts = first_arrivals(rows, claims, "place")
+    valid = rows.where("is_valid").join(firsts, "dedup_key", "left")
+
+    claimed = F.coalesce("claimed", F.lit(False))
+    has_error = "publish_error" in columns
+    failed = F.col("publish_error").isNotNull() if has_error else F.lit(False)
+    wins = ~failed & ~claimed & F.col("place").eqNullSafe(F.col("first_seq"))
+    undelivered = failed & ~claimed & (F.col("first_seq").isNull() | (F.col("place") < F.col("first_seq")))
+    outcome = F.when(wins, "Accepted").when(undelivered, "Failed").otherwise("Duplicate")
+    decided = valid.withColumn("outcome", outcome).withColumns(
         {
-            "claim_rank": F.row_number().over(in_key),
-            "first_seq": F.when(F.col("heavy"), F.col("heavy_first_seq")).otherwise(
-                F.first("claim_seq").over(in_key)
+            "reason": F.when(F.col("outcome") == "Duplicate", DUPLICATE).when(
+                F.col("outcome") == "Failed", F.col("publish_error") if has_error else F.lit(None)
             ),
-        }
-    ).where(~F.col("is_claim"))
-
-    wins = (F.col("claim_rank") == 1) & (F.col("claim_seq") == F.col("first_seq"))
-    undelivered = (
-        F.col("claim_seq").isNull() & (F.col("first_seq").isNull() | (F.col("arrival_seq") < F.col("first_seq")))
-    )
-    has_error = "publish_error" in parsed.columns
-    return ranked.withColumn(
-        "outcome",
-        F.when(~F.col("is_valid"), "Rejected").when(wins, "Accepted").when(undelivered, "Failed").otherwise(
-            "Duplicate"
-        ),
-    ).withColumns(
-        {
-            "reason": rejection_reason()
-            .when(F.col("outcome") == "Duplicate", DUPLICATE)
-            .when(F.col("outcome") == "Failed", F.col("publish_error") if has_error else F.lit(None)),
             # Fixed text: how a duplicate is described.
-            "detail": rejection_detail().when(
+            "detail": F.when(
                 F.col("outcome") == "Duplicate",
                 F.format_string("Business key '%s' has already been ingested.", F.col("dedup_key")),
             ),
         }
-    ).drop("is_claim", "claim_key", "claim_seq", "heavy", "heavy_first_seq", "lane", "claim_rank", "first_seq")
+    )
+    shown = [*columns, "outcome", "reason", "detail"]
+    return decided.select(*shown).unionByName(rejected(rows).select(*shown))
 
 
 def rejection_reason() -> Column:

@@ -3,17 +3,19 @@
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.contract import DEFAULT_PAGE, MAX_PAGE
 
-DEEP_OFFSET = 10_000
-
 
 @dataclass(frozen=True)
 class EventQuery:
-    """Optional filters and paging. Bounds are UTC and inclusive on both sides."""
+    """Optional filters and paging. Bounds are UTC and inclusive on both sides.
+
+    ``after`` is the time and event id of the last event seen; the page goes on from there. It is the cheap way
+    to read on, at any depth. An ``offset`` counts from there, or from the newest event.
+    """
 
     source_system: str | None = None
     port: str | None = None
@@ -22,6 +24,7 @@ class EventQuery:
     to_utc: datetime | None = None
     limit: int = DEFAULT_PAGE
     offset: int = 0
+    after: tuple[datetime, str] | None = None
 
     def __post_init__(self):
         if self.from_utc is not None and self.to_utc is not None and self.from_utc > self.to_utc:
@@ -65,36 +68,50 @@ def filter_events(events: DataFrame, query: EventQuery) -> DataFrame:
     return events
 
 
-def _skip_dates(events: DataFrame, skip: int, take: int) -> tuple[DataFrame, int]:
-    """Narrow a deep page to the trade dates it lies in, with what is left to skip there.
+def _overlapping(rows: DataFrame, into: list[str], by: str, skip: int, take: int) -> DataFrame:
+    """Groups of ``by`` (newest first) that hold some of the wanted positions, and how many rows are ``before`` each.
 
-    Newest first means newest dates first, so whole dates before the page can be counted past. Only one
-    count per date comes to the driver.
+    ``rows`` may be cut into parts already, each with a ``before`` of its own (columns ``into``).
     """
-    sizes = events.groupBy("dt").agg(F.count("*").alias("n")).orderBy(F.desc("dt")).collect()
-    position = 0
-    while position < len(sizes) and skip >= sizes[position].n:
-        skip -= sizes[position].n
-        position += 1
-    if position == len(sizes):
-        return events.where(F.lit(False)), 0
-    last, found = position, sizes[position].n
-    while found < skip + take and last + 1 < len(sizes):
-        last += 1
-        found += sizes[last].n
-    return events.where(F.col("dt").between(F.lit(sizes[last].dt), F.lit(sizes[position].dt))), skip
-
-
-def events_page(events: DataFrame, query: EventQuery, deep_offset: int = DEEP_OFFSET) -> DataFrame:
-    """One page, newest first, ties by event id. Never larger than the page maximum.
-
-    A top-k keeps ``offset + limit`` rows per task, so pages far down a partitioned store are first
-    narrowed to their dates.
+    sizes = rows.groupBy(*into, by).agg(F.count("*").alias("n"))
+    newest = Window.partitionBy(*[c for c in into if c != "before"]).orderBy(F.desc(by))
+    start = F.col("before") if into else F.lit(0)
+    placed = sizes.withColumn("upto", start + F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = placed.where((F.col("upto") > skip) & (F.col("upto") - F.col("n") < skip + take))
+    return wanted.select(*[c for c in into if c != "before"], by, (F.col("upto") - F.col("n")).alias("before"))
+
+
+def _at_offset(matching: DataFrame, skip: int, take: int) -> DataFrame:
+    """The rows at positions ``skip`` to ``skip + take``, newest first, without a top-k of ``skip`` rows.
+
+    Positions are found by counting: past whole days, then past whole minutes of the days that are left. Only
+    rows of the minutes that are left are ranked.
     """
-    matching, skip = filter_events(events, query), query.page_offset
-    if skip > deep_offset and "dt" in events.columns:
-        matching, skip = _skip_dates(matching, skip, query.page_limit)
-    return matching.orderBy(F.desc("occurred_at_utc"), "event_id").offset(skip).limit(query.page_limit)
+    day = F.to_date("occurred_at_utc") if "dt" not in matching.columns else F.col("dt")
+    rows = matching.withColumns({"page_day": day, "page_minute": F.date_trunc("minute", "occurred_at_utc")})
+    days = _overlapping(rows, [], "page_day", skip, take)
+    near = rows.join(days, "page_day")
+    minutes = _overlapping(near, ["page_day", "before"], "page_minute", skip, take)
+    left = near.drop("before").join(minutes, ["page_day", "page_minute"])
+    newest = Window.partitionBy("page_day", "page_minute").orderBy(F.desc("occurred_at_utc"), "event_id")
+    position = F.col("before") + F.row_number().over(newest)
+    return left.withColumn("page_position", position).where(
+        (F.col("page_position") > skip) & (F.col("page_position") <= skip + take)
+    ).select(*matching.columns)
+
+
+def events_page(events: DataFrame, query: EventQuery) -> DataFrame:
+    """One page, newest first, ties by event id. Never larger than the page maximum. Runs nothing while planned."""
+    matching, skip, take = filter_events(events, query), query.page_offset, query.page_limit
+    if query.after is not None:
+        at, event_id = _utc(query.after[0]), F.lit(query.after[1])
+        older = F.col("occurred_at_utc") < at
+        matching = matching.where(older | ((F.col("occurred_at_utc") == at) & (F.col("event_id") > event_id)))
+        if "dt" in matching.columns:
+            matching = matching.where(F.col("dt") <= F.to_date(at))
+    if skip:
+        matching = _at_offset(matching, skip, take)
+    return matching.orderBy(F.desc("occurred_at_utc"), "event_id").limit(take)
 
 
 def page_info(page: DataFrame, query: EventQuery) -> DataFrame:

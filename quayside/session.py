@@ -1,9 +1,8 @@
 """Session settings the semantics rely on, and the shared scratch folder for written tables."""
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings: UTC wall clocks, ANSI errors instead of silent NULLs, adaptive plans. Parsing makes
 # wide projections; past 8000 bytes of byte code a generated method is never compiled by HotSpot, so such
@@ -20,7 +19,7 @@ REQUIRED = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
-_WORK_ROOTS: dict[str, str] = {}
+_PREPARED: dict[str, SparkSession] = {}
 
 
 def build_session(app: str = "quayside", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,36 +29,47 @@ def build_session(app: str = "quayside", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**REQUIRED, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return prepare(builder.getOrCreate())
+    return builder.getOrCreate()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bring a session somebody else built to the required settings."""
-    for key, value in REQUIRED.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
-    return spark
+    """A session with the required settings: the given one if it has them, else one of its own beside it.
+
+    A session that somebody else built keeps its settings; the one beside it takes over those that are not
+    required here, as they are now.
+    """
+    if all(spark.conf.get(key, None) == value for key, value in REQUIRED.items()):
+        return spark
+    key = f"{spark.sparkContext.applicationId}/{id(spark._jsparkSession)}"
+    if key not in _PREPARED:
+        _PREPARED[key] = spark.newSession()
+    own = _PREPARED[key]
+    for name, value in {**spark.conf.getAll, **REQUIRED}.items():
+        if spark.conf.isModifiable(name) and own.conf.get(name, None) != value:
+            own.conf.set(name, value)
+    return own
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: what ``spark.checkpoint.dir`` names.
+    """The shared folder for written intermediates: what ``spark.checkpoint.dir`` names, else the warehouse.
 
-    Only a local master may fall back to a temporary folder; on a cluster executors on other
-    machines could not read it, so a missing setting is an error there.
+    Both are folders that all executors share; nothing is ever written to a machine's own temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _WORK_ROOTS:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        _WORK_ROOTS[app] = tempfile.mkdtemp(prefix="quayside-")
-    return _WORK_ROOTS[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the work root; never reused, so a retry cannot see half-written output."""
     return f"{work_root(spark)}/quayside/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back, so that several branches read what was computed once."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,10 +1,20 @@
 """Landing events as Parquet partitioned by UTC trade date."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quayside.contract import LANDED, LANDED_COLUMNS, pascal
-from quayside.sources.landed import batch_folder, read_bronze
+from quayside.sources.landed import (
+    LANDED_FILE,
+    batch_folder,
+    compacted_upto,
+    generation_folder,
+    manifest,
+    read_batches,
+    read_bronze,
+    read_or_empty,
+)
 
 
 def landed_rows(accepted: DataFrame) -> DataFrame:
@@ -28,14 +38,16 @@ def write_landing(
     """Write accepted events below ``root`` as ``[batch_id=n/]dt=YYYY-MM-DD``.
 
     With a ``batch_id`` the folder of that batch is replaced as a whole, so running a batch again leaves one
-    copy, whatever an earlier attempt left behind. Without one the write appends. ``rebalance`` brings the
+    copy, whatever an earlier attempt left behind. Without one the write appends, and nothing is written if there
+    is nothing to append. ``rebalance`` brings the
     rows of a date together for few, large files and lets adaptive execution cut a date that is too big for
     one task; sorting by port and product makes row-group statistics selective.
     """
     shaped = file_rows(accepted).hint("rebalance", "dt").sortWithinPartitions("dt", "Port", "Product")
     writer = shaped.write.partitionBy("dt").option("maxRecordsPerFile", max_records_per_file)
     if batch_id is None:
-        writer.mode("append").parquet(root)
+        if not accepted.isEmpty():
+            writer.mode("append").parquet(root)
     else:
         writer.mode("overwrite").parquet(batch_folder(root, batch_id))
 
@@ -43,32 +55,56 @@ def write_landing(
 def append_if_absent(incoming: DataFrame, landed: DataFrame, order: str = "arrival_seq") -> DataFrame:
     """Rows of ``incoming`` whose event id has not landed; of several with one id, the first.
 
-    Both sides of the anti join have one row per event id, so a much repeated id cannot skew it.
+    Landed ids take part as arrivals before all others, in one window that keeps a row per id and task.
     """
-    first = Window.partitionBy("event_id").orderBy(order)
-    fresh = (
-        incoming.withColumn("arrival_rank", F.row_number().over(first)).where("arrival_rank = 1").drop("arrival_rank")
-    )
-    wanted = fresh.select("event_id")
-    present = landed.select("event_id").join(wanted, "event_id", "left_semi")
-    return fresh.join(present, "event_id", "left_anti")
+    present = landed.select("event_id", F.lit(True).alias("is_landed"))
+    both = incoming.withColumn("is_landed", F.lit(False)).unionByName(present, allowMissingColumns=True)
+    first = Window.partitionBy("event_id").orderBy(F.desc("is_landed"), order)
+    ranked = both.withColumn("arrival_rank", F.row_number().over(first))
+    return ranked.where("arrival_rank = 1 AND NOT is_landed").drop("arrival_rank", "is_landed")
 
 
-def compact(spark, root: str, staging: str, first_date: str, last_date: str) -> None:
-    """Rewrite the dates between the two bounds (inclusive) into few files.
+def _by_date(rows: DataFrame) -> DataFrame:
+    return rows.hint("rebalance", "dt").sortWithinPartitions("dt", "Port", "Product")
 
-    Spark cannot overwrite what it is reading, so the compacted dates go to ``staging`` first and replace
-    the originals from there, whole partitions at a time. A run that dies in between can be repeated.
+
+def _is_marked(spark: SparkSession, marker: str) -> bool:
+    return not read_or_empty(spark, T.StructType().add("done", T.BooleanType()), marker).isEmpty()
+
+
+def _mark(spark: SparkSession, marker: str) -> None:
+    spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(marker)
+
+
+def compact(spark: SparkSession, root: str, staging: str, first_date: str, last_date: str) -> None:
+    """Rewrite the dates between the two bounds (inclusive) of an appended dataset into few files.
+
+    The dates must be closed: nothing is appended to them meanwhile. Spark cannot overwrite what it is
+    reading, so the dates go to ``staging`` first and replace the originals from there, whole partitions at a
+    time. A run that died is repeated with the same ``staging``: once that is marked as complete it is never
+    built again, for the originals may be half replaced by then.
+    """
+    if not _is_marked(spark, f"{staging}/_complete"):
+        bounds = [F.lit(d).cast("date") for d in (first_date, last_date)]
+        chosen = read_bronze(spark, root).where(F.col("dt").between(*bounds))
+        _by_date(chosen).write.mode("overwrite").partitionBy("dt").parquet(f"{staging}/rows")
+        _mark(spark, f"{staging}/_complete")
+    staged = read_bronze(spark, f"{staging}/rows")
+    writer = _by_date(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dt").parquet(root)
+
+
+def compact_batches(spark: SparkSession, root: str, upto: int, schema: T.StructType = LANDED_FILE, by: str = "dt") -> None:
+    """Rewrite the closed micro-batches up to one of them into a new generation.
+
+    The generation is built beside the batches and becomes visible by one small append to the manifest; until
+    then readers see the batches, from then on the generation and the batches after it. A run that died
+    before that is repeated from the untouched batches.
     """
-    chosen = read_bronze(spark, root).where(F.col("dt").between(F.lit(first_date).cast("date"), F.lit(last_date).cast("date")))
-    shaped = chosen.hint("rebalance", "dt").sortWithinPartitions("dt", "Port", "Product")
-    shaped.write.mode("overwrite").partitionBy("dt").parquet(staging)
-    staged = read_bronze(spark, staging)
-    (
-        staged.hint("rebalance", "dt")
-        .sortWithinPartitions("dt", "Port", "Product")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt")
-        .parquet(root)
-    )
+    before = compacted_upto(spark, root)
+    if before is not None and before >= upto:
+        return
+    rows = read_batches(spark, root, schema).where(F.col("batch_id") <= upto)
+    shaped = rows.hint("rebalance", by).sortWithinPartitions(by)
+    shaped.write.mode("overwrite").partitionBy(by).parquet(generation_folder(root, upto))
+    spark.range(1).select(F.lit(upto).cast("bigint").alias("upto")).write.mode("append").parquet(manifest(root))

@@ -24,28 +24,32 @@ class BatchSource:
 
 
 def read_pulls(spark: SparkSession, source: BatchSource) -> DataFrame:
-    """Files of a drop folder, one pull each, as rows of ``body`` and ``pull_seq`` (order of arrival).
+    """Files of a drop folder, one pull each, as rows of ``body``, ``pulled_at`` (microseconds) and ``path``.
 
     A pull is one bounded response of a source system, so a file is read as a whole; many pulls spread
-    over many tasks. The sequence leaves room for a million records per pull.
+    over many tasks.
     """
     return spark.read.text(source.path, wholetext=True).select(
         F.col("value").alias("body"),
-        (F.unix_millis("_metadata.file_modification_time") * F.lit(2**20)).alias("pull_seq"),
+        F.unix_micros("_metadata.file_modification_time").alias("pulled_at"),
+        F.col("_metadata.file_path").alias("path"),
     )
 
 
 def pulled_fields(pulls: DataFrame) -> DataFrame:
-    """Pull bodies -> one row per element: ``fields`` and ``arrival_seq`` within the pull order.
+    """Pull bodies -> one row per element: ``fields`` and ``arrival_seq``, by time, path and place in the pull.
 
     Elements that are not flat string objects are left out one by one; the rest of the pull is kept.
     """
     array = F.from_json("body", "array<map<string,variant>>", JSON_OPTIONS)
-    elements = pulls.select("pull_seq", F.posexplode(array).alias("position", "element"))
+    elements = pulls.select("pulled_at", "path", F.posexplode(array).alias("position", "element"))
+    arrival = F.struct(
+        F.col("pulled_at").alias("at"), F.col("path").alias("lane"), F.col("position").cast("bigint").alias("position")
+    )
     return (
         string_maps(elements, "element", "fields")
         .where(F.col("fields").isNotNull())
-        .select("fields", (F.col("pull_seq") + F.col("position")).alias("arrival_seq"))
+        .select("fields", arrival.alias("arrival_seq"))
     )
 
 

@@ -1,19 +1,18 @@
 """Scans of landed Parquet."""
 
-import re
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.contract import LANDED, pascal
+from quayside.contract import LANDED, LANDED_COLUMNS, pascal
 from quayside.functions import business_key
 
+# File name of every landed column -> its table name.
+TABLE_NAMES = {pascal(column): column for column in LANDED_COLUMNS}
 
-def to_snake_case(name: str) -> str:
-    """``EventId`` -> ``event_id``; consecutive capitals are split one by one."""
-    return re.sub(r"(?<=.)[A-Z]", lambda capital: "_" + capital.group(), name).lower()
+# Landed columns under their file names, with the date folder, for scans that must not infer a schema.
+LANDED_FILE = T.StructType([T.StructField(pascal(f.name), f.dataType) for f in LANDED.fields]).add("dt", T.DateType())
 
 
 def batch_folder(root: str, batch_id: int) -> str:
@@ -21,34 +20,59 @@ def batch_folder(root: str, batch_id: int) -> str:
     return f"{root}/batch_id={batch_id}"
 
 
-def snake_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[to_snake_case(c) for c in df.columns])
-
+def generation_folder(root: str, upto: int) -> str:
+    """Where compaction keeps what the batches up to one held; plain scans of the root pass it over."""
+    return f"{root}/_generations/{upto}"
 
-def read_bronze(spark: SparkSession, root: str) -> DataFrame:
-    """Landed files as written, plus the partition columns Spark discovers in the folder names."""
-    return spark.read.parquet(root)
 
+def manifest(root: str) -> str:
+    """One row per finished compaction: the last batch it covers."""
+    return f"{root}/_manifest"
 
-# Landed columns under their file names, for scans that must not infer a schema.
-LANDED_FILE = T.StructType([T.StructField(pascal(f.name), f.dataType) for f in LANDED.fields])
 
+def snake_columns(df: DataFrame) -> DataFrame:
+    """Landed files under their table names. Columns that the contract does not declare keep their names."""
+    return df.withColumnsRenamed(TABLE_NAMES)
 
-def read_landed(spark: SparkSession, root: str, batches: bool = False) -> DataFrame:
-    """Landed events under their snake_case names; an unwritten root reads as empty.
 
-    ``batches`` adds the ``batch_id`` partition that streaming writers use. No schema inference, so
-    opening the dataset reads no file footers.
-    """
-    schema = T.StructType(list(LANDED_FILE.fields)).add("dt", T.DateType())
-    schema = schema.add("batch_id", T.LongType()) if batches else schema
+def read_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """A Parquet dataset with a declared schema; one that was never written is empty."""
     try:
-        found = spark.read.schema(schema).parquet(root)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        found = spark.createDataFrame([], schema)
-    return snake_columns(found)
+        return spark.createDataFrame([], schema)
+
+
+def compacted_upto(spark: SparkSession, root: str) -> int | None:
+    """The last batch that compaction covers. One row per compaction ever finished is read."""
+    schema = T.StructType().add("upto", T.LongType())
+    return read_or_empty(spark, schema, manifest(root)).agg(F.max("upto")).first()[0]
+
+
+def read_batches(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """A dataset of micro-batches with its ``batch_id``: the newest generation and the batches after it."""
+    schema = T.StructType(list(schema.fields)).add("batch_id", T.LongType())
+    upto = compacted_upto(spark, root)
+    batches = read_or_empty(spark, schema, root)
+    if upto is None:
+        return batches
+    return batches.where(F.col("batch_id") > upto).unionByName(read_or_empty(spark, schema, generation_folder(root, upto)))
+
+
+def read_bronze(spark: SparkSession, root: str, batches: bool = False) -> DataFrame:
+    """Landed files under their file names, with the folders' columns; an unwritten root reads as empty.
+
+    ``batches``: the root holds micro-batches, and ``batch_id`` is a column. No schema inference, so
+    opening the dataset reads no file footers.
+    """
+    return read_batches(spark, root, LANDED_FILE) if batches else read_or_empty(spark, LANDED_FILE, root)
+
+
+def read_landed(spark: SparkSession, root: str, batches: bool = False) -> DataFrame:
+    """Landed events under their table names."""
+    return snake_columns(read_bronze(spark, root, batches))
 
 
 def claimed_keys(landed: DataFrame) -> DataFrame:

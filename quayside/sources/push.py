@@ -8,9 +8,6 @@ from quayside.functions import is_blank
 
 CHANNEL = "Api"
 
-# Lanes a request is spread over when its verdict is joined back to its records.
-LANES = 32
-
 
 def admit(requests: DataFrame, records: DataFrame, max_records: int = MAX_PUSH_BATCH) -> DataFrame:
     """One verdict per request: ``admitted``, ``invalid_request`` (empty) or ``batch_too_large``.
@@ -31,19 +28,14 @@ def admit(requests: DataFrame, records: DataFrame, max_records: int = MAX_PUSH_B
     )
 
 
-def admitted_records(records: DataFrame, verdicts: DataFrame, lanes: int = LANES) -> DataFrame:
+def admitted_records(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The records of admitted requests.
 
-    A refused request may hold any share of all rows, so the join is salted: records are spread over
-    ``lanes`` and the (narrow) verdicts are repeated once per lane.
+    A refused request may hold any share of all rows. Verdicts have one row per request, so adaptive
+    execution can split such a request on the side of the records.
     """
-    admitted = verdicts.where(F.col("verdict") == "admitted").select(
-        "request_id", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
-    )
-    lane = F.pmod(F.xxhash64("arrival_seq"), F.lit(lanes)).cast("int")
-    return (
-        records.withColumn("lane", lane).join(admitted, ["request_id", "lane"], "left_semi").drop("lane")
-    )
+    admitted = verdicts.where(F.col("verdict") == "admitted").select("request_id")
+    return records.join(admitted, "request_id", "left_semi").select(*records.columns)
 
 
 def guard(records: DataFrame) -> DataFrame:

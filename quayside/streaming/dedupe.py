@@ -1,19 +1,47 @@
 """Short-term message dedupe, the kind a broker does."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from quayside.contract import DUPLICATE_WINDOW_MINUTES
+
+WINDOW = pd.Timedelta(minutes=DUPLICATE_WINDOW_MINUTES)
 
-from quayside.contract import DUPLICATE_WINDOW
+
+def kept_after(times: pd.Series, last: pd.Timestamp | None, window: pd.Timedelta) -> tuple[list[int], pd.Timestamp | None]:
+    """Positions of the messages to keep, of rising enqueue times, and the time of the last one kept."""
+    kept = []
+    for position, at in enumerate(times):
+        if last is None or at - last > window:
+            kept.append(position)
+            last = at
+    return kept, last
 
 
 def dedupe_within_window(
-    messages: DataFrame, message_id: str = "message_id", enqueued_at: str = "enqueued_at", window: str = DUPLICATE_WINDOW
+    messages: DataFrame, message_id: str = "message_id", enqueued_at: str = "enqueued_at", window: pd.Timedelta = WINDOW
 ) -> DataFrame:
-    """Drop messages whose id was seen within ``window``.
+    """Drop messages whose id was kept at most ``window`` before.
 
-    The clock is the enqueue time, never the trade time: late trades are welcome and would be dropped by
-    a watermark on their own time. State is one timestamp per id. An id is forgotten when the watermark (the
-    newest enqueue time less the window) has passed the end of its window, so replays are held back for the
-    window at least, and for longer while no traffic moves the watermark. This is a cheap first filter; the
-    claims on landed keys remain the authority.
+    The clock is the enqueue time, never the trade time: late trades are welcome. State is one instant per id,
+    that of the last message kept. Messages of an id are taken in enqueue order, so the result is the same for one
+    micro-batch and for many, as long as batches follow each other in that order, as a queue delivers them. A task
+    holds one id's messages of one micro-batch, which the source's rate cap bounds.
     """
-    return messages.withWatermark(enqueued_at, window).dropDuplicatesWithinWatermark([message_id])
+    state = T.StructType().add("last", T.LongType())
+
+    def dedupe(_: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(chunks)).sort_values(enqueued_at, kind="stable")
+        last = pd.Timestamp(held.get[0], unit="us") if held.exists else None
+        kept, last = kept_after(rows[enqueued_at], last, window)
+        if last is not None:
+            held.update((last.value // 1000,))
+        yield rows.iloc[kept]
+
+    return messages.groupBy(message_id).applyInPandasWithState(
+        dedupe, messages.schema, state, "append", GroupStateTimeout.NoTimeout
+    )

@@ -1,4 +1,5 @@
 import os
+import shutil
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -11,9 +12,9 @@ from quayside.operators.classify import first_valid
 from quayside.operators.events import EventQuery, events_page, filter_events, page_info
 from quayside.plans import medallion, reconcile
 from quayside.session import work_path, work_root
-from quayside.sinks.landing import append_if_absent, compact, file_rows, write_landing
+from quayside.sinks.landing import append_if_absent, compact, compact_batches, file_rows, write_landing
 from quayside.sources.store import from_store, to_store
-from quayside.sources.landed import claimed_keys, read_bronze, read_landed, to_snake_case
+from quayside.sources.landed import claimed_keys, compacted_upto, generation_folder, read_bronze, read_landed, snake_columns
 
 
 def folders(root):
@@ -41,7 +42,7 @@ def test_two_dates_two_partitions(spark, parsed, tmp_path):
     assert back.columns == [*LANDED_COLUMNS, "dt"]
     row = back.where("source_record_id = '3'").first()
     assert row.occurred_at_utc == datetime(2026, 7, 30, 23, 30) and row.dt == date(2026, 7, 30)
-    assert (row.quantity_mt, row.total_usd) == (Decimal("850.5"), Decimal("520718.62"))
+    assert (row.quantity_mt, row.total_usd) == (Decimal("412.5"), Decimal("302713.12"))
     assert reconcile.schema_differences(read_bronze(spark, root)) == []
     assert read_bronze(spark, root).columns[0] == "EventId"
 
@@ -78,15 +79,102 @@ def test_compaction(spark, parsed, tmp_path):
     assert sorted(tuple(r) for r in read_bronze(spark, root).collect()) == before
 
 
-def test_snake_case():
-    assert [to_snake_case(n) for n in ("EventId", "dt", "QuantityMt", "ABC")] == ["event_id", "dt", "quantity_mt", "a_b_c"]
+def test_table_names(spark):
+    frame = spark.createDataFrame([("a", 1, 2, 3)], ["EventId", "dt", "QuantityMt", "NotDeclared"])
+    assert snake_columns(frame).columns == ["event_id", "dt", "quantity_mt", "NotDeclared"]
+
+
+def test_an_empty_append_writes_nothing(spark, parsed, tmp_path):
+    root = str(tmp_path / "landing")
+    write_landing(two_days(parsed).where("false"), root)
+    assert not os.path.exists(root) and read_bronze(spark, root).count() == 0
+    write_landing(two_days(parsed).where("false"), root, batch_id=0)
+    assert read_bronze(spark, root, batches=True).count() == 0 and read_landed(spark, root, batches=True).count() == 0
+
+
+def test_compaction_goes_on_from_a_complete_staging_folder(spark, parsed, tmp_path):
+    root, staging = str(tmp_path / "landing"), str(tmp_path / "staging")
+    for _ in range(2):
+        write_landing(two_days(parsed), root)
+    before = sorted(tuple(r) for r in read_bronze(spark, root).collect())
+    # A run that died while it built the folder: there are rows, but no mark.
+    read_bronze(spark, root).limit(1).write.partitionBy("dt").parquet(staging + "/rows")
+    compact(spark, root, staging, "2026-07-01", "2026-07-31")
+    assert sorted(tuple(r) for r in read_bronze(spark, root).collect()) == before
+    # A run that died during the swap: one date is gone.
+    shutil.rmtree(root + "/dt=2026-07-31")
+    compact(spark, root, staging, "2026-07-01", "2026-07-31")
+    assert sorted(tuple(r) for r in read_bronze(spark, root).collect()) == before
+
+
+def test_batches_are_compacted_into_generations(spark, parsed, tmp_path):
+    root = str(tmp_path / "landing")
+
+    def rows():
+        return sorted(tuple(r) for r in read_landed(spark, root, batches=True).collect())
+
+    for batch in range(4):
+        write_landing(first_valid(parsed(record(rid=str(batch)), record(rid=f"x{batch}", tradedAtUtc="2026-07-30"))), root, batch)
+    before = rows()
+    assert len(before) == 8
+    # A run that died before it was published changes nothing.
+    read_bronze(spark, root, batches=True).limit(1).write.partitionBy("dt").parquet(generation_folder(root, 1))
+    assert rows() == before
+    compact_batches(spark, root, 1)
+    assert rows() == before and compacted_upto(spark, root) == 1
+    compact_batches(spark, root, 0)
+    compact_batches(spark, root, 2)
+    assert rows() == before and compacted_upto(spark, root) == 2
+    assert len(files(generation_folder(root, 2))) == 2
+    write_landing(first_valid(parsed(record(rid="new"))), root, 4)
+    assert len(rows()) == 9
+    assert read_bronze(spark, root, batches=True).count() == 9
+
+
+def test_gold_of_refreshed_parts(spark, parsed, tmp_path):
+    rows = medallion.silver(sample(parsed))
+    root = str(tmp_path / "parts")
+    expected = sorted(tuple(r) for r in medallion.gold(rows).collect())
+    assert sorted(tuple(r) for r in medallion.refresh_gold_parts(rows, root, "2026-01-01", "2026-12-31").collect()) == expected
+    # Other dates stay as they are.
+    none = medallion.refresh_gold_parts(rows.where("false"), root, "2025-01-01", "2025-12-31")
+    assert sorted(tuple(r) for r in none.collect()) == expected
+    more = rows.withColumn("quantity_mt", (F.col("quantity_mt") + 1).cast("decimal(12,3)"))
+    again = medallion.refresh_gold_parts(more, root, "2026-08-01", "2026-08-01")
+    assert sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in medallion.gold(more).collect())
+
+
+def test_pages_after_an_event(parsed):
+    stored = first_valid(parsed(*[record(rid=str(i), tradedAtUtc=f"2026-07-{1 + i % 5:02d}T00:00:00Z") for i in range(40)]))
+    expected = [(r.occurred_at_utc, r.event_id) for r in stored.orderBy(F.desc("occurred_at_utc"), "event_id").collect()]
+    seen, after = [], None
+    while True:
+        page = events_page(stored, EventQuery(limit=7, after=after)).collect()
+        if not page:
+            break
+        seen += [(r.occurred_at_utc, r.event_id) for r in page]
+        after = seen[-1]
+    assert seen == expected
+    got = events_page(stored, EventQuery(limit=5, offset=3, after=expected[9])).collect()
+    assert [r.event_id for r in got] == [e for _, e in expected[13:18]]
+
+
+def test_planning_a_page_runs_nothing_and_keeps_no_skipped_rows(spark, parsed, tmp_path):
+    root = str(tmp_path / "landing")
+    write_landing(two_days(parsed), root)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-a-page", "")
+    page = events_page(read_landed(spark, root), EventQuery(limit=9, offset=50_000_000))
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert tracker.getJobIdsForGroup("plan-a-page") == [] and "TakeOrderedAndProject(limit=9," in plan
+    assert page.collect() == []
 
 
 def bronze_of(parsed, *rows):
     """Landed file rows with their own ingestion time and schema version: ``(record, minute, version)``."""
     frame = parsed(*[r for r, _, _ in rows])
-    minute = F.element_at(F.array(*[F.lit(m) for _, m, _ in rows]), (F.col("arrival_seq") + 1).cast("int"))
-    version = F.element_at(F.array(*[F.lit(v) for _, _, v in rows]), (F.col("arrival_seq") + 1).cast("int"))
+    minute = F.element_at(F.array(*[F.lit(m) for _, m, _ in rows]), (F.col("arrival_seq.position") + 1).cast("int"))
+    version = F.element_at(F.array(*[F.lit(v) for _, _, v in rows]), (F.col("arrival_seq.position") + 1).cast("int"))
     return file_rows(
         frame.withColumns(
             {"ingested_at_utc": clock("2026-08-01T09:00:00Z") + F.make_dt_interval(mins=minute), "schema_version": version}
@@ -108,7 +196,7 @@ def sample(parsed):
 def test_silver_keeps_the_newest_supported_version(parsed):
     rows = {r.source_record_id: r for r in medallion.silver(sample(parsed)).collect()}
     assert len(rows) == 3 and rows["1"].quantity_mt == 200
-    assert rows["1"].ingest_lag_seconds == 35 * 60 and rows["1"].trade_date == date(2026, 8, 1)
+    assert rows["1"].ingest_lag_seconds == 140 * 60 and rows["1"].trade_date == date(2026, 8, 1)
     delta = medallion.silver_delta(sample(parsed)).first()
     assert (delta.bronze_rows, delta.dropped_version, delta.dropped_duplicate, delta.silver_rows) == (5, 1, 1, 3)
 
@@ -121,9 +209,9 @@ def test_silver_drops_older_versions_before_the_shuffle(parsed):
 def test_gold_rounds_half_up(parsed):
     rows = medallion.gold(medallion.silver(sample(parsed))).collect()
     first = rows[1]
-    assert [r["product"] for r in rows] == ["MGO", "VLSFO"]
-    # 200.25 t; mean price (612.25 + 100.005) / 2 = 356.1275
-    assert (first.trades, first.total_mt, first.avg_price_usd_per_mt, first.vessels) == (2, Decimal("200.3"), Decimal("356.13"), 1)
+    assert [r["product"] for r in rows] == ["MGO", "LSMGO"]
+    # 200.25 t; mean price (733.85 + 100.005) / 2 = 416.9275
+    assert (first.trades, first.total_mt, first.avg_price_usd_per_mt, first.vessels) == (2, Decimal("200.3"), Decimal("416.93"), 1)
     top = medallion.gold_top(medallion.gold(medallion.silver(sample(parsed))), 1).collect()
     assert [(r["rank"], r["product"]) for r in top] == [(1, "MGO")]
 
@@ -134,7 +222,7 @@ def test_reconciliation(parsed):
     assert reconcile.gold_differences(bronze, gold).count() == 0
     wrong = gold.withColumn("trades", F.col("trades") + F.when(F.col("product") == "MGO", 1).otherwise(0))
     got = reconcile.gold_differences(bronze, wrong.where("product = 'MGO'")).collect()
-    assert {(r["product"], r.measure) for r in got} == {("MGO", "trades")} | {("VLSFO", m) for m in reconcile.MEASURES}
+    assert {(r["product"], r.measure) for r in got} == {("MGO", "trades")} | {("LSMGO", m) for m in reconcile.MEASURES}
 
 
 def test_profile(parsed):
@@ -166,7 +254,7 @@ def test_page(parsed):
     assert tuple(info) == (20, 50, 40)
 
 
-def test_deep_pages_count_past_whole_dates(spark, parsed, tmp_path):
+def test_deep_pages_count_past_whole_days_and_minutes(spark, parsed, tmp_path):
     rows = [record(rid=str(i), tradedAtUtc=f"2026-07-{1 + i % 7:02d}T{i % 24:02d}:00:00Z") for i in range(50)]
     root = str(tmp_path / "landing")
     write_landing(first_valid(parsed(*rows)), root)
@@ -174,7 +262,7 @@ def test_deep_pages_count_past_whole_dates(spark, parsed, tmp_path):
     expected = [r.event_id for r in stored.orderBy(F.desc("occurred_at_utc"), "event_id").collect()]
     for offset in (0, 1, 7, 8, 30, 49, 50, 500):
         query = EventQuery(limit=9, offset=offset)
-        page = events_page(stored, query, deep_offset=-1).collect()
+        page = events_page(stored, query).collect()
         assert [r.event_id for r in page] == expected[offset:offset + 9]
 
 
@@ -192,9 +280,9 @@ def test_filters(parsed):
     def ids(**query):
         return sorted(r.source_record_id for r in filter_events(stored, EventQuery(**query)).collect())
 
-    assert ids(product="mgo") == ["2"] and ids(port="dkfrc") == ["1", "2", "3"]
+    assert ids(product="mgo") == ["2"] and ids(port="sgsin") == ["1", "2", "3"]
     assert ids(source_system="erp") == ["2"] and ids(source_system="ERP") == []
-    exact = datetime(2026, 8, 1, 8, 30)
+    exact = datetime(2026, 8, 1, 6, 45)
     assert ids(from_utc=exact) == ["1", "2"] and ids(to_utc=exact) == ["1", "2", "3"]
     with pytest.raises(ValueError, match="invalid_range"):
         EventQuery(from_utc=datetime(2026, 8, 2), to_utc=datetime(2026, 8, 1))
@@ -203,10 +291,10 @@ def test_filters(parsed):
 def test_time_bounds_prune_date_folders(spark, parsed, tmp_path):
     root = str(tmp_path / "landing")
     write_landing(two_days(parsed), root)
-    query = EventQuery(from_utc=datetime(2026, 7, 31), port="dkfrc")
+    query = EventQuery(from_utc=datetime(2026, 7, 31), port="sgsin")
     found = filter_events(read_landed(spark, root), query)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(dt" in plan and "GreaterThanOrEqual(OccurredAtUtc" in plan and "EqualTo(Port,DKFRC)" in plan
+    assert "PartitionFilters: [isnotnull(dt" in plan and "GreaterThanOrEqual(OccurredAtUtc" in plan and "EqualTo(Port,SGSIN)" in plan
     assert [r.source_record_id for r in found.collect()] == ["2"]
 
 

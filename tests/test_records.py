@@ -18,9 +18,9 @@ def test_the_base_record(records):
     row = one(normalize(records(record()), clock()))
     assert row.normalization_error is None
     assert row.event_id == "ece334fd-407d-e3fa-8ae4-734e2aa239d2"
-    assert row.total_usd == Decimal("520718.62")  # half-even of 520718.625
-    assert row.quantity_mt == Decimal("850.5")
-    assert row.occurred_at_utc == row.traded_at_utc == datetime(2026, 8, 1, 8, 30)
+    assert row.total_usd == Decimal("302713.12")  # half-even of 302713.125
+    assert row.quantity_mt == Decimal("412.5")
+    assert row.occurred_at_utc == row.traded_at_utc == datetime(2026, 8, 1, 6, 45)
     assert (row.event_type, row.schema_version, row.dedup_key) == ("bunker.trade.recorded", 1, "trading-desk:TD-1")
 
 
@@ -127,7 +127,7 @@ def test_messages(parsed):
 
 def test_own_rules_can_be_added(records):
     events = normalize(records(record()), clock())
-    extra = Rule("counterparty", "sanctioned", F.col("counterparty").startswith("Nordic"), F.lit("No."))
+    extra = Rule("counterparty", "sanctioned", F.col("counterparty").startswith("Lantern"), F.lit("No."))
     checked = validate(events, [*trade_rules(events, clock()), extra])
     assert [f.code for f in checked.first().failures] == ["sanctioned"]
     assert [tuple(r) for r in rule_counts(checked).collect()] == [("counterparty", "sanctioned", 1)]

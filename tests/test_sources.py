@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import Observation
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import BASE, clock, record
 from quayside.contract import MESSAGE
-from quayside.operators.classify import first_valid
+from quayside.operators.classify import first_valid, parse
 from quayside.sinks.publish import envelopes, kafka_rows
 from quayside.sources import all_channels, bus, push
 from quayside.sources.batch import BatchSource, batch_records, pulled_fields, read_batch_sources, read_pulls
@@ -45,6 +46,29 @@ def test_elements_keep_their_order(spark, tmp_path):
     assert [r.source_record_id for r in rows] == [str(i) for i in range(20)]
 
 
+def test_pulls_of_one_file_time_stay_apart(spark, tmp_path):
+    for name, port in (("b", "BBBBB"), ("a", "AAAAA")):
+        file = tmp_path / f"{name}.json"
+        file.write_text(json.dumps([{"sourceRecordId": str(i), "port": port} for i in range(3)]))
+        os.utime(file, (1_700_000_000, 1_700_000_000))
+    source = BatchSource("desk", str(tmp_path))
+    rows = batch_records(pulled_fields(read_pulls(spark, source)), source).orderBy("arrival_seq").collect()
+    assert [r.fields["port"] for r in rows] == ["AAAAA"] * 3 + ["BBBBB"] * 3
+    assert len({tuple(r.arrival_seq) for r in rows}) == 6
+
+
+@pytest.mark.parametrize("offsets", [(1048575, 1048576), (10, 11), (2**40, 2**40 + 1)])
+def test_the_lower_offset_arrives_first_whatever_the_producers_clock_says(spark, offsets):
+    rows = [
+        (None, json.dumps({**BASE, "sourceRecordId": "PT-1", "quantityMt": str(n)}), "trades", 0, offset, at)
+        for n, (offset, at) in enumerate(zip(offsets, ("2026-08-01 00:00:05", "2026-08-01 00:00:00"), strict=True), 1)
+    ]
+    text = "key string, value string, topic string, partition int, offset bigint, at string"
+    frame = spark.createDataFrame(rows, text).withColumn("timestamp", F.col("at").cast("timestamp"))
+    accepted = first_valid(parse(stream_records(frame, StreamSource()), clock())).collect()
+    assert [float(r.quantity_mt) for r in accepted] == [1.0]
+
+
 def test_no_enabled_source(spark):
     with pytest.raises(ValueError):
         read_batch_sources(spark, [BatchSource("off", "x", enabled=False)])
@@ -122,9 +146,9 @@ def test_published_body(parsed):
         "trading-desk:TD-1", "ece334fd-407d-e3fa-8ae4-734e2aa239d2", "bunker.trade.recorded",
     )
     body = json.loads(row.body)
-    assert body["occurredAtUtc"] == "2026-08-01T08:30:00.000000+00:00"
+    assert body["occurredAtUtc"] == "2026-08-01T06:45:00.000000+00:00"
     assert body["deduplicationKey"] == "trading-desk:TD-1" and body["channel"] == "Batch"
-    assert body["payload"]["quantityMt"] == 850.5 and body["payload"]["totalUsd"] == 520718.62
+    assert body["payload"]["quantityMt"] == 412.5 and body["payload"]["totalUsd"] == 302713.12
 
 
 def test_kafka_rows(parsed):

@@ -4,12 +4,16 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import BASE
+from conftest import BASE, clock, record
 from quayside.contract import MESSAGE
+from quayside.operators.classify import first_valid
+from quayside.sinks.publish import envelopes
 from quayside.sources.landed import read_landed
 from quayside.sources.stream import StreamSource, file_messages
 from quayside.streaming.dedupe import dedupe_within_window
-from quayside.streaming.ingest import Store, batch_clock, ingest_batch, start_ingest
+from quayside.sources.store import read_stored
+from quayside.streaming.buslanding import BusStore, land_bus_batch, start_bus_landing
+from quayside.streaming.ingest import Store, batch_clock, compact_store, earlier_keys, ingest_batch, start_ingest
 
 NOW = datetime(2026, 8, 2, 10, 0, tzinfo=timezone.utc)
 
@@ -116,3 +120,88 @@ def test_window_dedupe_runs_on_enqueue_time(spark, tmp_path):
     assert send(m=5) == [0]  # a replay within ten minutes
     assert send(other=40) == [0]  # traffic moves the watermark past the window of "m"
     assert send(m=61) == [0, 61]
+
+
+@pytest.mark.parametrize("cut", [[], [3], [1, 2, 3, 4, 5, 6], [4, 6]])
+def test_window_dedupe_does_not_depend_on_the_batches(spark, tmp_path, cut):
+    """Ten minutes from the last message kept, not from the last one seen; a message after exactly ten goes."""
+    minutes = [0, 6, 10, 12, 12, 21, 23, 100]
+    rows = [(m_id, NOW + timedelta(minutes=m)) for m in minutes for m_id in ("a", "b")] + [("c", NOW)]
+    schema = "message_id string, enqueued_at timestamp"
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for first, end in zip([0, *cut], [*cut, len(minutes)], strict=True):
+        part = [r for r in rows if NOW + timedelta(minutes=minutes[first]) <= r[1]]
+        part = [r for r in part if end == len(minutes) or r[1] < NOW + timedelta(minutes=minutes[end])]
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(source)
+        query = (
+            dedupe_within_window(spark.readStream.schema(schema).parquet(source))
+            .writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+            .start(out, format="parquet")
+        )
+        query.awaitTermination()
+    got = sorted((r.message_id, (r.enqueued_at - NOW.replace(tzinfo=None)).seconds // 60) for r in spark.read.parquet(out).collect())
+    assert got == [(m, t) for m in "ab" for t in (0, 12, 23, 100)] + [("c", 0)]
+
+
+def test_a_batch_reads_the_buckets_of_its_keys_only(spark, topic, store, parsed):
+    topic.send(*[trade(f"PT-{i}") for i in range(200)])
+    run(spark, topic, store)
+    found = earlier_keys(parsed(record("port-telemetry", "PT-7", "Stream")), 1, store)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan and "OccurredAtUtc" not in plan
+    keys = {r.dedup_key for r in found.collect()}
+    assert "port-telemetry:PT-7" in keys and len(keys) < 60 and len({r.bucket for r in found.collect()}) == 1
+
+
+def test_ingestion_goes_on_after_compaction(spark, topic, store):
+    for i in range(3):
+        topic.send(trade(f"PT-{i}"), trade("PT-0"))
+        run(spark, topic, store)
+    before = landed(spark, store)
+    compact_store(spark, store, 1)
+    assert landed(spark, store) == before
+    topic.send(*[trade(f"PT-{i}") for i in range(4)])
+    run(spark, topic, store)
+    assert [r[0] for r in landed(spark, store)] == ["PT-0", "PT-1", "PT-2", "PT-3"]
+
+
+def test_the_outbox_holds_what_landed(spark, topic, store):
+    topic.send(trade("PT-1"), trade("PT-1"), trade("PT-2", port="x"))
+    run(spark, topic, store)
+    row = spark.read.parquet(store.outbox).first()
+    headers = {h.key: bytes(h.value).decode() for h in row.headers}
+    assert row.key == "port-telemetry:PT-1" and headers["contentType"] == "application/json" and headers["channel"] == "Stream"
+    assert spark.read.parquet(store.outbox).count() == 1
+
+
+def bus_messages(spark, parsed, *rows):
+    sent = envelopes(first_valid(parsed(*rows))).select("message_id", "schema_version", "body")
+    return sent.withColumns({"delivery_count": F.lit(1), "enqueued_at": clock()})
+
+
+def test_bus_messages_land_once(spark, parsed, tmp_path):
+    where = BusStore(str(tmp_path / "bus"))
+    good = bus_messages(spark, parsed, record(rid="1"), record(rid="2"))
+    bad = spark.createDataFrame([("x", 1, "null", 1), ("y", 1, "{", 1), ("z", 2, "{", 1), ("w", 1, "late", 9)], "message_id string, schema_version int, body string, delivery_count int")
+    both = good.unionByName(bad.withColumn("enqueued_at", clock()))
+    for batch, messages in ((0, both), (0, both), (1, good.unionByName(bus_messages(spark, parsed, record(rid="3"))))):
+        land_bus_batch(messages, batch, where, NOW)
+    rows = read_landed(spark, where.landing, batches=True).collect()
+    assert sorted((r.source_record_id, r.batch_id) for r in rows) == [("1", 0), ("2", 0), ("3", 1)]
+    stored = read_stored(spark, where.events).collect()
+    assert sorted((r.source_record_id, r.batch_id, str(r.landed_at_utc)) for r in stored) == [
+        ("1", 0, "2026-08-02 10:00:00"), ("2", 0, "2026-08-02 10:00:00"), ("3", 1, "2026-08-02 10:00:00"),
+    ]
+    letters = sorted(r.reason for r in spark.read.parquet(where.dead_letters).collect())
+    assert letters == ["MaxDeliveryCountExceeded", "deserialization_failed", "empty_payload"]
+
+
+def test_bus_landing_as_a_stream(spark, parsed, tmp_path):
+    source, where = str(tmp_path / "messages"), BusStore(str(tmp_path / "bus"))
+    for rows in ((record(rid="1"),), (record(rid="1"), record(rid="2"))):
+        frame = bus_messages(spark, parsed, *rows)
+        frame.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(frame.schema).parquet(source)
+        start_bus_landing(stream, where, NOW, available_now=True).awaitTermination()
+    got = sorted((r.source_record_id, r.batch_id) for r in read_landed(spark, where.landing, batches=True).collect())
+    assert got == [("1", 0), ("2", 1)]

@@ -41,15 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores (a small file with one row group) a split per core.
-
-    Large inputs have more splits than cores and pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def letter(n: Column) -> Column:
     return F.char((F.lit(65) + n % 26).cast("int"))
 
@@ -61,7 +52,8 @@ def check_digit(base: Column) -> Column:
 
 def derive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with the plain (not yet spelled out) values of the trades they stand for."""
-    li = spread(table(spark, sf_dir, "lineitem"))
+    # Dealt out evenly: the tables come as one file with one row group, and what follows is costly per row.
+    li = table(spark, sf_dir, "lineitem").repartition("l_orderkey", "l_linenumber")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     joined = li.join(part, li.l_partkey == part.p_partkey).join(supplier, li.l_suppkey == supplier.s_suppkey)
@@ -179,6 +171,11 @@ def spelled(trades: DataFrame) -> DataFrame:
     )
 
 
+def packed_arrival(arrival: Column) -> Column:
+    """The arrival order of the derived trades as one number, for results; the tie is below ``ARRIVAL_DAY_UNIT``."""
+    return arrival["at"] * F.lit(ARRIVAL_DAY_UNIT) + arrival["position"]
+
+
 _DROPS: dict[tuple[str, str], str] = {}
 
 
@@ -211,7 +208,10 @@ def as_records(trades: DataFrame, *extra: str) -> DataFrame:
         return F.create_map(*pairs)
 
     fields = F.when(F.col("dialect") == 0, names(0)).when(F.col("dialect") == 1, names(1)).otherwise(names(2))
-    plain = trades.select("source_system", "source_record_id", "channel", "arrival_seq", *extra, fields.alias("map"))
+    arrival = F.struct(
+        F.col("arrival_day").alias("at"), F.lit("").alias("lane"), F.col("arrival_tie").alias("position")
+    ).alias("arrival_seq")
+    plain = trades.select("source_system", "source_record_id", "channel", arrival, *extra, fields.alias("map"))
     # As opaque as a scanned map: later lookups must not be rewritten into the expressions behind it.
     return evaluate_once(plain, {"fields": F.col("map")}).drop("map")
 

@@ -50,6 +50,7 @@ lines AS (
 )"""
 
 # What the three systems call each field, for the texts of missing-field errors.
+# The accepted spellings, as problem descriptions list them.
 ALIAS_TEXT = {
     "tradedAtUtc": "tradedAtUtc, traded_at_utc, tradedAt, traded_at, timestamp, trade_date",
     "tradeReference": "tradeReference, trade_reference, trade_ref, TradeRef, deal_id, dealId",
@@ -224,13 +225,13 @@ WITH {LINES}, {CHECKED}, typed AS (
 
 def stream_sql() -> str:
     """Each run keeps the first valid message per id that no earlier run has landed."""
-    cases = " ".join(f"WHEN arrival_day < {end} THEN {i}" for i, end in enumerate(RUN_ENDS))
+    cases = " ".join(f"WHEN arrival_day < {end} THEN {i}" for i, end in enumerate(RUN_ENDS)) + f" ELSE {len(RUN_ENDS)}"
     return f"""
 WITH {LINES}, {CHECKED}, sent AS (
   SELECT * REPLACE ('port-telemetry:' || source_record_id AS dedup_key), CASE {cases} END AS run
   FROM checked WHERE is_valid AND l_partkey % 29 <> 0 AND l_partkey % 31 <> 0
 ), firsts AS (
-  SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY run, arrival_day, arrival_tie % 1048576) AS nth FROM sent
+  SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY run, arrival_seq) AS nth FROM sent
 )
 SELECT {EVENT_ID} AS event_id, source_record_id, trade_reference, {double("tonnes")} AS quantity_mt,
   {double("round_even(usd, 2)")} AS total_usd, strftime(traded_at, '%Y-%m-%d') AS dt, CAST(run AS BIGINT) AS batch_id
@@ -255,8 +256,8 @@ def oracle() -> dict[str, str]:
     k16 = "CASE l_partkey % 16"
     sql = {
         # sources
-        "src_batch_records": f"""WITH {LINES} SELECT source_record_id, arrival_seq * 8 + pos AS arrival_seq,
-            'trading-desk' AS source_system, 'Batch' AS channel, CASE pos WHEN 0 THEN locode ELSE lower(locode) END AS port
+        "src_batch_records": f"""WITH {LINES} SELECT source_record_id, arrival_day AS pulled_at,
+            CAST(arrival_tie AS VARCHAR) AS path, CAST(pos AS BIGINT) AS position, 'trading-desk' AS source_system, 'Batch' AS channel, CASE pos WHEN 0 THEN locode ELSE lower(locode) END AS port
             FROM lines, (VALUES (0), (3)) p(pos) WHERE l_partkey % 41 <> 0""",
         "src_missing_record_id": f"""WITH {LINES} SELECT source_system, count(*) AS pulled,
             count(*) FILTER (l_partkey % 19 < 4) AS skipped, count(*) FILTER (l_partkey % 19 >= 4) AS kept FROM lines GROUP BY 1""",
@@ -390,7 +391,7 @@ def oracle() -> dict[str, str]:
         "landed_count": f"{EVENTS} SELECT count(*) AS landed_events FROM accepted",
         "landed_by_date": f"""{EVENTS} SELECT strftime(traded_at, '%Y-%m-%d') AS dt, count(*) AS "rows" FROM accepted GROUP BY 1""",
         "bronze_scan": f"{BRONZE} {by_date}",
-        "compact_partition": f"{BRONZE} {by_date}",
+        "compact_partition": f"{BRONZE} SELECT * FROM (VALUES ('dates'), ('batches')) l(layout), ({by_date})",
         "landing_profile": f"""{BRONZE} SELECT 'channel' AS kind, channel AS label, count(*) AS "rows" FROM bronze GROUP BY 2
             UNION ALL SELECT 'source', source_system, count(*) FROM bronze GROUP BY 2
             UNION ALL SELECT 'total', 'rows', count(*) FROM bronze
@@ -425,8 +426,31 @@ def oracle() -> dict[str, str]:
         "events_deep_page": f"""{EVENTS} SELECT *, CAST(row_number() OVER (ORDER BY occurred_at_utc DESC, event_id) AS INTEGER) AS position FROM (
             SELECT event_id, {iso("traded_at")} AS occurred_at_utc, port, {double("tonnes")} AS quantity_mt FROM accepted
             ORDER BY traded_at DESC, event_id LIMIT 200 OFFSET 2000)""",
+        "events_page_after": f"""{EVENTS} SELECT *, CAST(row_number() OVER (ORDER BY occurred_at_utc DESC, event_id) AS INTEGER) AS position FROM (
+            SELECT event_id, {iso("traded_at")} AS occurred_at_utc, port, {double("tonnes")} AS quantity_mt FROM accepted
+            WHERE traded_at < TIMESTAMP '1997-06-01 07:30:00' OR (traded_at = TIMESTAMP '1997-06-01 07:30:00' AND event_id > '8')
+            ORDER BY traded_at DESC, event_id LIMIT 100)""",
         "events_page_info": f"""{EVENTS} SELECT count(*) AS "count", 500 AS "limit", 25 AS "offset" FROM ({page})""",
         # streaming
         "stream_ingest": stream_sql(),
+        "stream_dedupe_window": f"""WITH RECURSIVE log AS (
+              SELECT DISTINCT user_id || '-' || event_type AS id, CAST(ts AS TIMESTAMP) AS sent FROM events
+            ), kept(id, sent) AS (
+              SELECT id, min(sent) FROM log GROUP BY id
+              UNION ALL
+              SELECT l.id, min(l.sent) FROM kept k JOIN log l ON l.id = k.id AND l.sent > k.sent + INTERVAL 10 MINUTE GROUP BY l.id
+            ) SELECT id AS message_id, {iso("sent")} AS enqueued_at FROM kept""",
+        "gold_refresh": f"{BRONZE} SELECT * FROM gold",
+        "bus_landing": f"""{EVENTS} SELECT event_id, strftime(traded_at, '%Y-%m-%d') AS dt,
+            CAST(CASE WHEN substr(event_id, 2, 1) < '8' THEN 0 ELSE 1 END AS BIGINT) AS landed_batch,
+            CAST(CASE WHEN substr(event_id, 2, 1) < '8' THEN 0 ELSE 1 END AS BIGINT) AS batch_id, port,
+            {double("tonnes")} AS quantity_mt, {double("round_even(usd, 2)")} AS total_usd,
+            {iso(f"TIMESTAMP '{AS_OF}'")} AS landed_at_utc
+            FROM accepted WHERE substr(event_id, 1, 1) NOT IN ('0', '1', '2', 'a', 'b')""",
+        "bus_landing_letters": f"""{EVENTS}, m AS (
+              SELECT event_id, CASE substr(event_id, 1, 1) WHEN '0' THEN 'deserialization_failed' WHEN '1' THEN 'empty_payload'
+                WHEN '2' THEN 'deserialization_failed' WHEN 'b' THEN 'MaxDeliveryCountExceeded' END AS reason FROM accepted
+            ) SELECT CAST(b AS BIGINT) AS batch_id, reason, count(*) AS letters FROM m, (VALUES (0), (1)) v(b)
+            WHERE reason IS NOT NULL AND (b = 1 OR substr(event_id, 2, 1) < '8') GROUP BY ALL""",
     }
     return {name: dedent(text).strip() for name, text in sql.items()}

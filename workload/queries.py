@@ -17,11 +17,12 @@ from quayside.operators.classify import claims_for, classify, first_valid, parse
 from quayside.operators.normalize import is_routable, normalize
 from quayside.operators.validate import explode_failures, rule_counts, trade_rules, validate
 from quayside.plans import medallion, reconcile
-from quayside.session import prepare, work_path
+from quayside.session import prepare, stored, work_path
 from quayside.sinks import landing, publish
 from quayside.sinks.deadletters import write_dead_letters
 from quayside.sources import all_channels, batch, bus, push, store, stream
-from quayside.sources.landed import claimed_keys, read_bronze, read_landed, snake_columns
+from quayside.sources.landed import batch_folder, read_bronze, read_landed, snake_columns
+from quayside.streaming.buslanding import BusStore, land_bus_batch
 from quayside.streaming.dedupe import dedupe_within_window
 from quayside.streaming.ingest import Store, start_ingest
 from workload import inputs as I
@@ -69,9 +70,14 @@ def src_batch_records(spark: SparkSession, sf: str) -> DataFrame:
     body = F.when(F.col("l_partkey") % 41 == 0, F.lit("not json")).otherwise(
         F.concat(F.lit("["), F.concat_ws(", ", good, nameless, numeric, again), F.lit("]"))
     )
-    pulls = t.select(body.alias("body"), (F.col("arrival_seq") * 8).alias("pull_seq"))
+    path = F.col("arrival_tie").cast("string")
+    pulls = t.select(body.alias("body"), F.col("arrival_day").alias("pulled_at"), path.alias("path"))
     records = batch.batch_records(batch.pulled_fields(pulls), batch.BatchSource("trading-desk"))
-    return records.select(*ROW, "source_system", "channel", F.element_at("fields", F.lit("port")).alias("port"))
+    return records.select(
+        "source_record_id", F.col("arrival_seq.at").alias("pulled_at"), F.col("arrival_seq.lane").alias("path"),
+        F.col("arrival_seq.position").alias("position"), "source_system", "channel",
+        F.element_at("fields", F.lit("port")).alias("port"),
+    )
 
 
 def src_missing_record_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,12 +201,12 @@ def ingest_all_channels(spark: SparkSession, sf: str) -> DataFrame:
     records = I.source_records(spark, sf)
     wire = records.withColumn("json", F.to_json("fields"))
     pulls = wire.where("source_system = 'erp'").select(
-        F.concat(F.lit("["), "json", F.lit("]")).alias("body"), F.col("arrival_seq").alias("pull_seq")
+        F.concat(F.lit("["), "json", F.lit("]")).alias("body"),
+        F.col("arrival_seq.at").alias("pulled_at"),
+        F.lpad(F.col("arrival_seq.position").cast("string"), 12, "0").alias("path"),
     )
     sent = wire.where("source_system = 'port-telemetry'").select(
-        F.col("json").alias("value"),
-        F.col("arrival_seq").alias("offset"),
-        F.timestamp_seconds(F.lit(0)).alias("timestamp"),
+        F.col("json").alias("value"), F.lit(0).alias("partition"), I.packed_arrival(F.col("arrival_seq")).alias("offset")
     )
     pushed = records.where("source_system = 'trading-desk'")
     union = all_channels(
@@ -216,7 +222,7 @@ def _published(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def publish_envelope(spark: SparkSession, sf: str) -> DataFrame:
-    """Published envelopes, body decoded member by member with a JSON reader."""
+    """The outbox, read back: headers as they are sent, body decoded member by member with a JSON reader."""
     body = T.StructType(
         [T.StructField(n, T.StringType()) for n in (
             "eventId", "eventType", "schemaVersion", "sourceSystem", "sourceRecordId", "channel",
@@ -226,10 +232,18 @@ def publish_envelope(spark: SparkSession, sf: str) -> DataFrame:
             "tradeReference", "vesselImo", "port", "product", "counterparty", "tradedAtUtc",
         )] + [T.StructField(n, T.DoubleType()) for n in ("quantityMt", "priceUsdPerMt", "totalUsd")]))]
     )
-    opened = _published(spark, sf).withColumn("b", F.from_json("body", body))
-    return opened.select("correlation_id", "message_id", "subject", "content_type", "schema_version", "b.*").select(
-        "*", "payload.*"
-    ).drop("payload")
+    outbox = work_path(spark, "outbox")
+    publish.write_outbox(_published(spark, sf), outbox, batch_id=0)
+
+    def header(name: str) -> Column:
+        value = F.get(F.filter("headers", lambda h: h["key"] == name), F.lit(0))["value"]
+        return value.cast("string")
+
+    opened = spark.read.parquet(batch_folder(outbox, 0)).withColumn("b", F.from_json("value", body))
+    return opened.select(
+        F.col("key").alias("correlation_id"), header("messageId").alias("message_id"), header("subject").alias("subject"),
+        header("contentType").alias("content_type"), header("schemaVersion").cast("int").alias("schema_version"), "b.*",
+    ).select("*", "payload.*").drop("payload")
 
 
 def bus_schema_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -430,7 +444,7 @@ def publish_retries(spark: SparkSession, sf: str) -> DataFrame:
 
 def _history_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Parsed trades that arrived before the cut day, and those after."""
-    all_trades = parsed_trades(spark, sf, "arrival_day")
+    all_trades = stored(parsed_trades(spark, sf, "arrival_day"), "trades")
     before = F.col("arrival_day") < I.CUT_DAY
     return all_trades.where(before), all_trades.where(~before)
 
@@ -501,8 +515,8 @@ def inbox_expiry(spark: SparkSession, sf: str) -> DataFrame:
 
 def append_if_absent(spark: SparkSession, sf: str) -> DataFrame:
     """Valid records offered to a store that already has the earlier events."""
-    history, _ = _history_split(spark, sf)
-    offered = parsed_trades(spark, sf).where("is_valid")
+    history, later = _history_split(spark, sf)
+    offered = history.union(later).where("is_valid")
     added = landing.append_if_absent(offered, first_valid(history))
     return added.select("event_id", *ROW)
 
@@ -574,13 +588,19 @@ def bronze_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compact_partition(spark: SparkSession, sf: str) -> DataFrame:
-    """A year of a fragmented landing dataset rewritten into few files; every row is still there."""
-    root = work_path(spark, "fragmented")
+    """Fragmented landing datasets rewritten into few files, by date and by micro-batch; every row is still there."""
+    dates, batches = work_path(spark, "fragmented"), work_path(spark, "fragmented-batches")
+    events_ = stored(_bronze_events(spark, sf), "fragments")
     for half in (0, 1):
-        part = _bronze_events(spark, sf).where(F.col("l_orderkey") % 2 == half)
-        landing.write_landing(part, root)
-    landing.compact(spark, root, work_path(spark, "staging"), "1996-01-01", "1996-12-31")
-    return plain(read_bronze(spark, root).groupBy("dt").agg(F.count("*").alias("rows"), F.sum("QuantityMt").alias("mt")))
+        part = events_.where(F.col("l_orderkey") % 2 == half)
+        landing.write_landing(part, dates)
+        landing.write_landing(part, batches, batch_id=half)
+    landing.compact(spark, dates, work_path(spark, "staging"), "1996-01-01", "1996-12-31")
+    landing.compact_batches(spark, batches, 0)
+    found = read_bronze(spark, dates).withColumn("layout", F.lit("dates")).unionByName(
+        read_bronze(spark, batches, batches=True).drop("batch_id").withColumn("layout", F.lit("batches"))
+    )
+    return plain(found.groupBy("layout", "dt").agg(F.count("*").alias("rows"), F.sum("QuantityMt").alias("mt")))
 
 
 def landing_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -631,6 +651,7 @@ FILTER = events.EventQuery(
     source_system="erp", product="vlsfo", from_utc=datetime(1996, 3, 1), to_utc=datetime(1998, 9, 30, 12, 0)
 )
 DEEP_PAGE = events.EventQuery(limit=200, offset=2000)
+PAGE_AFTER = events.EventQuery(limit=100, after=(datetime(1997, 6, 1, 7, 30), "8"))
 PAGE = events.EventQuery(product="mgo", from_utc=datetime(1997, 1, 1), limit=100_000, offset=25)
 
 
@@ -654,8 +675,13 @@ def events_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events_deep_page(spark: SparkSession, sf: str) -> DataFrame:
-    """A page far down the store, found by counting past whole dates."""
-    return _numbered(events.events_page(event_store(spark, sf), DEEP_PAGE, deep_offset=1000))
+    """A page far down the store, found by counting past whole days and minutes."""
+    return _numbered(events.events_page(event_store(spark, sf), DEEP_PAGE))
+
+
+def events_page_after(spark: SparkSession, sf: str) -> DataFrame:
+    """The page after a given event, whatever came before it."""
+    return _numbered(events.events_page(event_store(spark, sf), PAGE_AFTER))
 
 
 def events_page_info(spark: SparkSession, sf: str) -> DataFrame:
@@ -665,7 +691,7 @@ def events_page_info(spark: SparkSession, sf: str) -> DataFrame:
 # --- streaming -------------------------------------------------------------------------------
 
 # Arrival days (since 1970-01-01) at which one scheduled run of the stream ends and the next begins.
-RUN_ENDS = (9900, 10800, 20000)
+RUN_ENDS = (9900, 10800)
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
@@ -682,27 +708,27 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
         value.alias("value"),
         F.lit("trades.raw").alias("topic"),
         F.lit(0).alias("partition"),
-        F.col("arrival_tie").alias("offset"),
+        I.packed_arrival(F.col("arrival_seq")).alias("offset"),
         F.timestamp_seconds(F.col("arrival_day") * 86400).alias("timestamp"),
         "arrival_day",
     )
     topic, kept = work_path(spark, "topic"), Store(work_path(spark, "stream"))
-    start = 0
-    for end in RUN_ENDS:
-        arrived = messages.where((F.col("arrival_day") >= start) & (F.col("arrival_day") < end))
+    day = F.col("arrival_day")
+    for start, end in zip((None, *RUN_ENDS), (*RUN_ENDS, None), strict=True):
+        arrived = messages.where(day >= start) if start is not None else messages
+        arrived = arrived.where(day < end) if end is not None else arrived
         arrived.drop("arrival_day").write.mode("append").parquet(topic)
         run = start_ingest(
             stream.file_messages(spark, topic), stream.StreamSource(), kept,
             now=datetime.fromisoformat("2026-08-02T10:00:00+00:00"), available_now=True,
         )
         run.awaitTermination()
-        start = end
     landed = read_landed(spark, kept.landing, batches=True)
     return plain(landed.select("event_id", "source_record_id", "trade_reference", "quantity_mt", "total_usd", "dt", "batch_id"))
 
 
 def stream_dedupe_window(spark: SparkSession, sf: str) -> DataFrame:
-    """The event log as a message stream, replays within ten minutes dropped."""
+    """The event log as a message stream, what comes within ten minutes of a kept message of its id dropped."""
     log = I.table(spark, sf, "events").select(
         F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("message_id"),
         F.col("ts").cast("timestamp").alias("enqueued_at"),
@@ -719,19 +745,79 @@ def stream_dedupe_window(spark: SparkSession, sf: str) -> DataFrame:
         .start()
     )
     run.awaitTermination()
-    return spark.read.schema(log.schema).parquet(out).select("message_id")
+    return plain(spark.read.schema(log.schema).parquet(out))
+
+
+# --- bus to landing --------------------------------------------------------------------------
+
+
+def _bus_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Published messages as the landing subscription holds them; some broken, some of version 2, some expired."""
+    k = F.substring(F.col("message_id"), 1, 1)
+    body = (
+        F.when(k == "0", F.substring(F.col("body"), 1, 80))
+        .when(k == "1", F.lit("null"))
+        .when(k == "2", F.replace(F.col("body"), F.lit('"port":'), F.lit('"harbour":')))
+        .otherwise(F.col("body"))
+    )
+    return _published(spark, sf).select(
+        "message_id",
+        F.when(k == "a", 2).otherwise(F.col("schema_version")).alias("schema_version"),
+        body.alias("body"),
+        F.when(k == "b", 5).otherwise(1).alias("delivery_count"),
+        I.as_of().alias("enqueued_at"),
+    )
+
+
+def _landed_from_bus(spark: SparkSession, sf: str) -> BusStore:
+    """Two batches, the second of which delivers the messages of the first once more."""
+    key = (spark.sparkContext.applicationId, sf, "bus-landing")
+    if key in _WRITTEN:
+        return BusStore(_WRITTEN[key])
+    messages = stored(_bus_messages(spark, sf), "bus")
+    where = BusStore(work_path(spark, "bus-landing"))
+    now = datetime.fromisoformat("2026-08-02T10:00:00+00:00")
+    land_bus_batch(messages.where(F.substring(F.col("message_id"), 2, 1) < "8"), 0, where, now)
+    land_bus_batch(messages, 1, where, now)
+    _WRITTEN[key] = where.root
+    return where
+
+
+def bus_landing(spark: SparkSession, sf: str) -> DataFrame:
+    """What landed from the bus, each event once, with its row in the query store."""
+    where = _landed_from_bus(spark, sf)
+    rows = store.read_stored(spark, where.events)
+    landed = read_landed(spark, where.landing, batches=True).select("event_id", "dt", F.col("batch_id").alias("landed_batch"))
+    return plain(landed.join(rows, "event_id", "full").select(
+        "event_id", "dt", "landed_batch", "batch_id", "port", "quantity_mt", "total_usd", "landed_at_utc"
+    ))
+
+
+def bus_landing_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Dead letters of the bus subscription per batch and reason."""
+    where = _landed_from_bus(spark, sf)
+    return spark.read.parquet(where.dead_letters).groupBy(F.col("batch_id").cast("bigint").alias("batch_id"), "reason").agg(
+        F.count("*").alias("letters")
+    )
+
+
+def gold_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold from stored parts, all dates first and then a year of them once more."""
+    rows, root = stored(medallion.silver(bronze(spark, sf)), "silver"), work_path(spark, "gold-parts")
+    medallion.refresh_gold_parts(rows, root, "0001-01-01", "9999-12-31")
+    return plain(medallion.refresh_gold_parts(rows, root, "1996-01-01", "1996-12-31"))
 
 
 QUERIES = (
     gold_port_product, gold_top, gold_reconcile, channel_summary, silver_trades, silver_rename, silver_delta,
     ingest_lag, bronze_scan, landing_profile, land_trade_rows, query_store, landed_count, landed_by_date, append_if_absent,
-    compact_partition, events_filtered, events_page, events_deep_page, events_page_info, normalize_aliases, normalize_decimals,
+    compact_partition, events_filtered, events_page, events_deep_page, events_page_after, events_page_info, normalize_aliases, normalize_decimals,
     normalize_timestamps, normalize_errors, normalize_routable, event_identity, trade_totals, dq_imo_check,
     dq_failures, dq_rule_counts, classify_outcomes, outcome_counts, outcome_totals, batch_summary, pull_summary,
     publish_retries, dedupe_against_history, dedupe_reserve_release, dead_letters, dead_letter_summary,
     dead_letter_replay, inbox_expiry, src_batch_records, src_missing_record_id, src_push_guard,
     src_batch_admission, ingest_all_channels, stream_decode, publish_envelope, bus_schema_filter, bus_decode,
-    stream_ingest, stream_dedupe_window,
+    bus_landing, bus_landing_letters, gold_refresh, stream_ingest, stream_dedupe_window,
 )
 
 
@@ -740,7 +826,10 @@ def registered():
 
     def prepared(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return query(prepare(spark), str(sf_dir).rstrip("/"))
+            result = query(prepare(spark), str(sf_dir).rstrip("/"))
+            if isinstance(dict((f.name, f.dataType) for f in result.schema.fields).get("arrival_seq"), T.StructType):
+                result = result.withColumn("arrival_seq", I.packed_arrival(F.col("arrival_seq")))
+            return result
 
         run.__name__, run.__doc__ = query.__name__, query.__doc__
         return run
