@@ -36,8 +36,8 @@ from quayside.session import work_path
 MAGIC = b"QIDS\x01"
 BLOCK = 1024
 LANES = 4096  # blocks that advance together
-TEXT_BYTES = 8 << 20  # of a segment
-CACHED_WORDS = 400_000
+TEXT_BYTES = 4 << 20  # of a segment
+CACHED_WORDS = 200_000
 
 SLOTS = 1 << 10  # contexts an order remembers in a block
 SURE = 4  # confidences 1 to 4; 0 is an empty slot
