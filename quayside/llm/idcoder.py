@@ -25,7 +25,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +35,8 @@ from quayside.session import work_path
 MAGIC = b"QIDS\x01"
 BLOCK = 1024
 LANES = 4096  # blocks that advance together
-TEXT_BYTES = 4 << 20  # of a segment
-CACHED_WORDS = 200_000
+TEXT_BYTES = 12 << 20  # of a segment
+CACHED_WORDS = 600_000
 
 SLOTS = 1 << 10  # contexts an order remembers in a block
 SURE = 4  # confidences 1 to 4; 0 is an empty slot
@@ -184,33 +183,33 @@ def _decode_blocks(codes: list[np.ndarray], lengths: np.ndarray, prior: np.ndarr
     at, width = np.full(m, 4), np.full(m, 2**64 - 1, U)
     out = np.zeros((int(lengths[0]), m), np.int64)
     top = np.int64((1 << TOTAL_BITS) - 1)
-    kinds = class_of(np.arange(1 << len(prior) - 1))
+    kinds = class_of(np.arange((1 << len(prior) - 1) - 1))
     for step in range(int(lengths[0])):
         m = len(lengths) if step < lengths[-1] else int((lengths > step).sum())
         models.predict(m)
         unit = width[:m] >> U(TOTAL_BITS)
         v = np.minimum((value[:m] // unit).view(np.int64), top)
         big1, big2 = models.m1 << 24, models.m2 << 24
-        # An empty slot has no weight; any rank will do for it.
-        p1, p2 = np.maximum(models.p1, 0), np.maximum(models.p2, 0)
-        s1, n1 = models.flat_part(kinds[p1], p1)
-        s2, n2 = models.flat_part(kinds[p2], p2)
-        s1 += big2 * (p2 < p1)
-        s2 += big1 * (p1 < p2)
-        n1 += s1 + big1
-        n2 += s2 + big2
-        rest = v - big1 * (v >= n1) - big2 * (v >= n2)
+        # An empty slot has no weight; what is said of its rank doesn't count.
+        s1, n1 = models.flat_part(kinds[models.p1], models.p1)
+        s2, n2 = models.flat_part(kinds[models.p2], models.p2)
+        s1 += big2 * (models.p2 < models.p1)
+        s2 += big1 * (models.p1 < models.p2)
+        n1 += big1
+        n2 += big2
+        e1, e2 = s1 + n1, s2 + n2
+        rest = v - big1 * (v >= e1) - big2 * (v >= e2)
         quotient = ((rest >> 8) // models.m0).astype(np.int32)
         kind = (quotient[:, None] >= models.cdf[:m, 1:-1]).sum(axis=1)
-        base, size = models.flat_part(kind, (np.int64(1) << kind) - 1)
-        place = np.minimum((rest - base) // size, (np.int64(1) << kind) - 1)
-        rank = np.maximum(place, 0) + (np.int64(1) << kind) - 1
-        rank = np.where((big1 > 0) & (v >= s1) & (v < n1), p1, rank)
-        rank = np.where((big2 > 0) & (v >= s2) & (v < n2), p2, rank)
+        lowest = (np.int64(1) << kind) - 1
+        base, size = models.flat_part(kind, lowest)
+        place = np.maximum(np.minimum((rest - base) // size, lowest), 0)
+        start = base + place * size + (v - rest)
+        rank = place + lowest
+        for big, p, first, end, n in ((big1, models.p1, s1, e1, n1), (big2, models.p2, s2, e2, n2)):
+            inside = np.flatnonzero((big > 0) & (v >= first) & (v < end))
+            rank[inside], start[inside], size[inside] = p[inside], first[inside], n[inside]
         kind = kinds[rank]
-        start, size = models.flat_part(kind, rank)
-        start += big1 * (p1 < rank) + big2 * (p2 < rank)
-        size += big1 * (p1 == rank) + big2 * (p2 == rank)
         value[:m] -= unit * start.view(U)
         width[:m] = unit * size.view(U)
         models.advance(rank, kind)
@@ -351,11 +350,12 @@ class WordTokenizer:
             counts.append(np.diff(last, prepend=0))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _learn(self, words: pa.Array) -> None:
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Encode new words; their numbers."""
         raw, offsets = text_buffers(words)
         odd = np.concatenate([[0], np.cumsum(~PLAIN[raw])])[offsets]
-        plain = pa.array(odd[1:] == odd[:-1])
-        some, others = words.filter(plain).to_pylist(), words.filter(pc.invert(plain)).to_pylist()
+        plain = odd[1:] == odd[:-1]
+        some, others = words.filter(pa.array(plain)).to_pylist(), words.filter(pa.array(~plain)).to_pylist()
         ids, counts = [], []
         if some:
             found, n = self._plain_ids(some)
@@ -368,7 +368,12 @@ class WordTokenizer:
         if ids:
             self.ids = np.concatenate([self.ids, *ids])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))])
-            self.number.update(zip([*some, *others], range(len(self.number), len(self.starts)), strict=False))
+        first = len(self.number)
+        self.number.update(zip([*some, *others], range(first, first + len(words)), strict=True))
+        numbers = np.empty(len(words), np.int64)
+        numbers[plain] = np.arange(first, first + len(some))
+        numbers[~plain] = np.arange(first + len(some), first + len(words))
+        return numbers
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; number of ids of each)."""
@@ -376,19 +381,18 @@ class WordTokenizer:
         words = distinct.to_pylist()
         if len(self.number) > CACHED_WORDS:
             self._forget()
-        known = [self.number.get(w, -1) for w in words]
-        if -1 in known:
-            self._learn(distinct.filter(pa.array(np.array(known) < 0)))
-            known = [self.number[w] for w in words]
-        word = np.array(known, np.int64)[codes] if words else np.zeros(0, np.int64)
+        known = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        new = known < 0
+        if new.any():
+            known[new] = self._learn(distinct.filter(pa.array(new)))
+        word = known[codes]
         lengths = self.starts[word + 1] - self.starts[word]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.arange(upto[-1]) + np.repeat(self.starts[word] - upto[:-1], lengths)]
-        ends = upto[rows[1:]]
-        n = np.diff(upto[rows]) + 1
+        n = np.diff(upto[rows])
         out = np.full(len(ids) + len(texts), self.end_id, np.uint32)
-        out[np.arange(len(ids)) + np.searchsorted(ends, np.arange(len(ids)), side="right")] = ids
-        return out, n
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), n)] = ids
+        return out, n + 1
 
 
 SEGMENT = "part int, segment int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint, ids binary"
