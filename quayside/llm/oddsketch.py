@@ -33,7 +33,7 @@ SKETCH_BITS = 512
 # Four and a half standard deviations of the estimate lie between a similarity of 0.8 and this share of it.
 SLACK = 0.76
 # So often is one member of a bucket compared with all others, before the rest are compared pair by pair.
-LEADERS = 3
+LEADERS = 2
 
 SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sketch binary"
 
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     crowded, sketches = crowded_buckets(classes), classes.select("id", "sketch")
     limit = most_ones(percent / 100 * SLACK)
     pair = "a bigint, b bigint"
-    tested, links = docs.sparkSession.createDataFrame([], pair), docs.sparkSession.createDataFrame([], pair)
+    tested = docs.sparkSession.createDataFrame([], pair)
     placed = docs.sparkSession.createDataFrame([], "id bigint, component bigint")
     led = docs.sparkSession.createDataFrame([], "band int, key bigint, id bigint")
     for turn in range(LEADERS + 1):
@@ -225,7 +225,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if fresh.isEmpty():
             continue
         tested = tested.union(fresh)
-        links = written(links.union(confirmed(fresh, docs, size, percent)), "links")
+        # What is linked already is a star per component; new links join stars.
+        stars = placed.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
+        links = written(confirmed(fresh, docs, size, percent).union(stars), "links")
         placed = written(connected_components(links).withColumnRenamed("node", "id"), "placed")
 
     of_class = classes.join(placed, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
