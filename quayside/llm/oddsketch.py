@@ -7,9 +7,9 @@ far below the threshold go no further; all others are confirmed on their full sh
 
 Groups of any size. Equal sets are one class, by a combined minimum. In a bucket, every member is compared with
 one leader, which costs a row per member. The leader is the member that meets most others in its bands: copies of
-one text meet it more than each other. After some rounds, each with a leader of another component, what is left in
-different components of one bucket is compared pair by pair, in cells of bounded size; pairs within a component
-need no comparison, for they can't change it. So no link between components is lost that the bands have found: a pair at the threshold
+one text meet it more than each other. What that leaves in different components of one bucket is compared and
+confirmed in cells of bounded size, which return a forest of links; pairs within a component need no comparison, for
+they can't change it. So no link between components is lost that the bands have found: a pair at the threshold
 is missed by all 32 bands of four rows with a probability below one in ten million.
 
 Cases. Null or empty texts, and texts without words, have an empty set and link with nothing. Documents that
@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 
 from quayside.llm.buckets import cells, in_cells, pairs_within, whole_groups
 from quayside.llm.common import encoded_words, map_arrow, mixed, shingle_hashes, slices, written
-from quayside.llm.components import connected_components
+from quayside.llm.components import connected_components, forest
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 # Four and a half standard deviations of the estimate lie between a similarity of 0.8 and this share of it.
 SLACK = 0.76
-# So often is one member of a bucket compared with all others, before the rest are compared pair by pair.
-LEADERS = 2
+# So often is one member of a bucket compared with all others, before the rest are compared in cells.
+LEADERS = 1
 
 SIGNED = "doc_id bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sketch binary"
 
@@ -115,27 +115,36 @@ def close_sketches(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFra
     return map_arrow(both.select("a", "b", "sketch_a", "sketch_b"), check, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough; sets are made again for these documents only."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``percent`` or more."""
+    most = min(len(x), len(y))
+    if 100 * most < percent * max(len(x), len(y)):
+        return False
+    common = most + max(len(x), len(y)) - len(np.union1d(x, y))
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, members): the sorted shingle sets of the documents that ``wanted`` (doc_id) lists, made again and written."""
 
     def sets(batches):
         for batch in slices(batches):
             found = [s.tobytes() for s in distinct_sets(batch, size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["id", "members"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
-    # Of documents that share an id, the one whose set was signed: the smallest set hash decides there, too.
-    members = written(map_arrow(texts, sets, "id bigint, members binary"), "shingle-sets")
+    return written(map_arrow(texts, sets, "id bigint, members binary"), "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets are similar enough; sets are made again for these documents only."""
+    members = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
 
     def check(batches):
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for k, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            sets = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("set_a", "set_b"))
+            keep = [similar(x, y, percent) for x, y in zip(*sets, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("set_a")), "a").join(
         members.select(F.col("id").alias("b"), F.col("members").alias("set_b")), "b"
@@ -176,24 +185,57 @@ def _with_leaders(open_: DataFrame, led: DataFrame) -> tuple[DataFrame, DataFram
     return pairs, written(led.union(leaders.select(*BUCKET, F.col("leader").alias("id"))), "leaders")
 
 
-def _pair_by_pair(open_: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components, with close sketches."""
-    spread = cells(open_.select(*BUCKET, "id", "component"), BUCKET, "id").join(sketches.select("id", "sketch"), "id")
+def _cell_rows(open_: DataFrame, classes: DataFrame) -> DataFrame:
+    spread = cells(open_.select(*BUCKET, "id", "component"), BUCKET, "id")
+    return spread.join(classes.select("id", "sketch", "bands"), "id")
+
+
+def _close_pairs(batch: pa.RecordBatch, starts: np.ndarray, limit: int):
+    """Row numbers of pairs in different components with close sketches, in the first bucket that they share."""
+    part, component = batch.column("part").to_numpy(), batch.column("component").to_numpy()
+    one, band = batch.column("low").to_numpy() == batch.column("high").to_numpy(), batch.column("band").to_numpy()
+    bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(batch), -1)
+    keys = batch.column("bands").flatten().to_numpy().reshape(len(batch), -1)
+    for a, b in pairs_within(starts):
+        keep = (component[a] != component[b]) & (one[a] | (part[a] != part[b]))
+        a, b = a[keep], b[keep]
+        keep = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= limit
+        a, b = a[keep], b[keep]
+        keep = (keys[a] == keys[b]).argmax(axis=1) == band[a] if len(a) else np.zeros(0, bool)
+        yield a[keep], b[keep]
+
+
+def _linked_pair_by_pair(open_: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, limit: int) -> DataFrame:
+    """Links (a, b) between components of one bucket: a spanning forest of them per task.
+
+    First the members with any close sketch are found, a row each; then these meet again with their sets and are
+    confirmed where they meet. No pair leaves a task unless it is a link that is needed.
+    """
+    keys = ["cell", *BUCKET, "low", "high"]
+
+    def candidates(batches):
+        for batch, starts in whole_groups(batches, keys):
+            ids = batch.column("id").to_numpy()
+            for a, b in _close_pairs(batch, starts, limit):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(ids[np.concatenate([a, b])]))], ["id"])
+
+    close = map_arrow(in_cells(_cell_rows(open_, classes), BUCKET), candidates, "id bigint")
+    close = written(close.distinct(), "close-members")
+    members = shingle_sets(docs, close.select(F.col("id").alias("doc_id")), size)
+    rows = _cell_rows(open_.join(close, "id", "left_semi"), classes).join(members, "id")
 
-    def compare(batches):
-        for batch, starts in whole_groups(batches, ["cell", *BUCKET, "low", "high"]):
+    def confirm(batches):
+        for batch, starts in whole_groups(batches, keys):
             ids = batch.column("id").to_numpy()
-            part, component = batch.column("part").to_numpy(), batch.column("component").to_numpy()
-            low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
-            bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(batch), -1)
-            for a, b in pairs_within(starts):
-                keep = (component[a] != component[b]) & ((low[a] == high[a]) | (part[a] != part[b]))
-                a, b = a[keep], b[keep]
-                keep = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= limit
-                a, b = ids[a[keep]], ids[b[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("members")]
+            found = []
+            for a, b in _close_pairs(batch, starts, limit):
+                found += [(ids[i], ids[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if similar(sets[i], sets[j], percent)]
+            if found:
+                left, right = forest(*np.array(found, np.int64).T)
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
 
-    return map_arrow(in_cells(spread, BUCKET), compare, "a bigint, b bigint").distinct()
+    return map_arrow(in_cells(rows, BUCKET), confirm, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -218,16 +260,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             break
         if turn < LEADERS:
             pairs, led = _with_leaders(open_, led)
-            pairs = close_sketches(pairs, sketches, limit)
+            fresh = written(close_sketches(pairs, sketches, limit).join(tested, ["a", "b"], "left_anti"), "candidates")
+            tested = tested.union(fresh)
+            found = confirmed(fresh, docs, size, percent)
         else:
-            pairs = _pair_by_pair(open_, sketches, limit)
-        fresh = written(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        if fresh.isEmpty():
-            continue
-        tested = tested.union(fresh)
+            found = _linked_pair_by_pair(open_, classes, docs, size, percent, limit)
         # What is linked already is a star per component; new links join stars.
         stars = placed.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
-        links = written(confirmed(fresh, docs, size, percent).union(stars), "links")
+        links = written(found.union(stars), "links")
         placed = written(connected_components(links).withColumnRenamed("node", "id"), "placed")
 
     of_class = classes.join(placed, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
