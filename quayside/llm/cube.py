@@ -8,8 +8,10 @@ the probabilities of a source to zeros and ones while two totals stand still: it
   along it, one way or the other by chance, until one of them is decided. It costs a step per document.
 * Sources are cut into blocks of bounded size, which fly apart from each other and leave two undecided documents
   at most. These meet in the next, much smaller round, until a source has one block. Hot sources are many blocks.
-* Landing. The two documents that are left, and a few of graded sizes that were kept back, are rounded so that
-  words and documents come nearest to their expectation.
+* What flights leave are a source's largest documents, which hardly move along the null space. So a source of many
+  blocks keeps back documents of graded sizes before its first flight; they wait for its own last round.
+* Landing. In its own last round the two documents that are left of a source, and a few of graded sizes, are rounded
+  so that words and documents come nearest to their expectation.
 
 Chance comes from hashes of document ids, so reruns agree. Cases. Null and empty texts have size zero and may be
 taken or not without effect. A null source is a source of its own, the last one. Repeated rows are mixed each,
@@ -29,7 +31,11 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MOST_REPEATS = 2.0
 BLOCK = 2_000
-RESERVE = 10
+RESERVE = 14
+# Each document kept back has at most this share of the words of the one before, so that all smaller ones make up for it.
+GRADE = 0.6
+# Size classes per doubling in which a source of many blocks keeps back a document.
+CLASSES = 4
 
 
 def word_numbers(docs: DataFrame) -> DataFrame:
@@ -116,26 +122,28 @@ def land(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Round what is undecided, all ways tried, so that words and documents come nearest to their expectation."""
     open_ = np.flatnonzero((chance > 0) & (chance < 1))
     out = chance.copy()
-    ways = (np.arange(2 ** len(open_))[:, None] >> np.arange(len(open_))) & 1
-    words, number = size[open_].astype(float), ways.sum(axis=1)
-    miss = np.abs(ways @ words - chance[open_] @ words) + np.abs(number - chance[open_].sum())
-    out[open_] = ways[miss.argmin()]
+    # Bit k of a way tells whether the k-th document is taken.
+    words, number = np.zeros(1), np.zeros(1)
+    for z in size[open_].tolist():
+        words, number = np.concatenate([words, words + z]), np.concatenate([number, number + 1])
+    miss = np.abs(words - chance[open_] @ size[open_]) + np.abs(number - chance[open_].sum())
+    out[open_] = (miss.argmin() >> np.arange(len(open_))) & 1
     return out
 
 
 def fly_and_land(chance: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """The last flight keeps back ``RESERVE`` documents whose sizes halve from one to the next.
+    """The last flight keeps back ``RESERVE`` documents whose sizes fall by ``GRADE`` from one to the next.
 
     What the flight leaves may be large documents; with these beside them the landing can make up for it.
     Expects the largest documents first.
     """
     open_ = np.flatnonzero((chance > 0) & (chance < 1))
     kept: list[int] = []
-    wanted = float(size[open_].max(initial=0)) / 2
+    wanted = size[open_].max(initial=0) * GRADE
     for i in open_.tolist():
         if len(kept) < RESERVE and size[i] <= wanted:
             kept.append(i)
-            wanted = size[i] / 2
+            wanted = size[i] * GRADE
     kept += [i for i in open_[::-1].tolist() if i not in kept][: RESERVE - len(kept)]
     rest = np.setdiff1d(open_, kept)
     out = chance.copy()
@@ -143,7 +151,7 @@ def fly_and_land(chance: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.n
     return land(out, size)
 
 
-FLOWN = "source string, doc_id bigint, size bigint, copy int, chance double"
+FLOWN = "source string, doc_id bigint, size bigint, copy int, chance double, lands boolean"
 
 
 def _uniform(ids: list, copies: list, salt: int) -> np.ndarray:
@@ -151,8 +159,8 @@ def _uniform(ids: list, copies: list, salt: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(t) for t in texts], dtype=np.uint64).astype(float) / 2.0**64
 
 
-def _fly_blocks(rows: DataFrame, last: bool, salt: int) -> DataFrame:
-    """Blocks brought together, flown, and in the last round landed."""
+def _fly_blocks(rows: DataFrame, salt: int) -> DataFrame:
+    """Blocks brought together, flown, and landed if it is their source's last round."""
 
     def run(batches):
         for batch, starts in whole_groups(batches, ["cell", "no_source", "block"]):
@@ -160,39 +168,61 @@ def _fly_blocks(rows: DataFrame, last: bool, salt: int) -> DataFrame:
             names = batch.column("source").to_pylist()
             ids, copies = batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist()
             size, chance = batch.column("size").to_numpy(), batch.column("chance").to_numpy().copy()
-            draw = _uniform(ids, copies, salt)
+            draw, lands = _uniform(ids, copies, salt), batch.column("lands").to_pylist()
             for first, end in zip(starts[:-1], starts[1:], strict=True):
                 cuts = [first, *(k for k in range(first + 1, end) if names[k] != names[k - 1]), end]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    chance[a:b] = (fly_and_land if last else fly)(chance[a:b], size[a:b], draw[a:b])
+                    chance[a:b] = (fly_and_land if lands[a] else fly)(chance[a:b], size[a:b], draw[a:b])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("source"), batch.column("doc_id"), batch.column("size"), batch.column("copy"), pa.array(chance)],
-                ["source", "doc_id", "size", "copy", "chance"],
+                [*(batch.column(c) for c in ("source", "doc_id", "size", "copy")), pa.array(chance), batch.column("lands")],
+                ["source", "doc_id", "size", "copy", "chance", "lands"],
             )
 
     keyed = rows.withColumn("no_source", F.col("source").isNull().cast("int")).withColumn("cell", F.xxhash64("no_source", "source", "block"))
-    # Large documents first: what stays undecided to the end is small.
+    # Large documents first, as the landing expects them.
     sorted_ = keyed.repartition("cell").sortWithinPartitions("cell", "no_source", "source", "block", F.desc("size"), "doc_id", "copy")
     return map_arrow(sorted_, run, FLOWN)
 
 
+UNDECIDED = "chance > 0 AND chance < 1"
+UNIT = ("source", "doc_id", "size", "copy")
+
+
+def _with_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Undecided rows with the number of blocks of their source; documents kept back need none."""
+    counts = rows.where(UNDECIDED).groupBy("source").agg(F.count_if(~F.col("held")).alias("n"))
+    counts = written(counts.select(F.col("source").alias("s"), F.ceil(F.col("n") / F.lit(block)).cast("bigint").alias("blocks")), "blocks")
+    return rows.where(UNDECIDED).join(counts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+
+
+def _hold_back(rows: DataFrame, block: int) -> DataFrame:
+    """Rows with ``held``: the smallest document of every size class of every source that has more than one block."""
+    many = _with_blocks(rows.withColumn("held", F.lit(False)), block).where("blocks > 1")
+    grade = F.floor(F.log2(F.greatest("size", F.lit(1))) * CLASSES)
+    # The minimum is combined before the shuffle.
+    least = F.min(F.struct("size", F.xxhash64("doc_id", "copy").alias("draw"), "doc_id", "copy")).alias("least")
+    held = written(many.groupBy("source", grade.alias("grade")).agg(least).select("source", "least.*"), "held")
+    held = held.select(*(F.col(c).alias(f"held_{c}") for c in UNIT))
+    same = [F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in UNIT]
+    return rows.join(held, same, "left").select(*rows.columns, F.col("held_copy").isNotNull().alias("held"))
+
+
 def balanced(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows (source, doc_id, size, copy, chance) -> the same with chances of zero and one."""
-    decided, rows, salt = None, written(rows, "chances"), 0
+    columns, rows = rows.columns, written(rows, "chances")
+    rows, salt = written(_hold_back(rows, block), "open"), 0
+    decided = rows.where(f"NOT ({UNDECIDED})").select(*columns)
     while True:
-        counts = rows.where("chance > 0 AND chance < 1").groupBy("source").agg(F.count("*").alias("n"))
-        counts = written(counts.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("bigint")), "blocks")
-        last = (counts.agg(F.max("blocks")).first()[0] or 0) <= 1
-        open_ = rows.where("chance > 0 AND chance < 1").join(
-            counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))
-        )
-        open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc_id", "copy", F.lit(salt)), F.col("blocks")))
-        flown = written(_fly_blocks(open_, last, salt), "flown")
-        done = rows.where("chance <= 0 OR chance >= 1")
-        decided = done if decided is None else decided.unionByName(done)
-        if last:
-            return decided.unionByName(flown)
-        rows, salt = flown, salt + 1
+        open_ = _with_blocks(rows, block).withColumn("lands", F.col("blocks") <= 1)
+        goes = open_.where("lands OR NOT held")
+        number = F.pmod(F.xxhash64("doc_id", "copy", F.lit(salt)), F.greatest("blocks", F.lit(1)))
+        flown = written(_fly_blocks(goes.withColumn("block", number), salt), "flown")
+        decided = decided.unionByName(flown.where(f"lands OR NOT ({UNDECIDED})").select(*columns))
+        left = flown.where(f"NOT lands AND {UNDECIDED}").select(*columns, F.lit(False).alias("held"))
+        rows = written(left.unionByName(open_.where("held AND NOT lands").select(*columns, "held")), "open")
+        if rows.isEmpty():
+            return decided
+        salt += 1
 
 
 # Sources whose targets may be sent to the tasks; more of them are joined by shuffle.

@@ -362,6 +362,24 @@ def test_flight_keeps_both_totals():
     assert np.allclose(mean, 0.4, atol=0.04)
 
 
+def test_small_sources_land_well_beside_one_of_many_blocks(spark):
+    """Every source lands in its own last round, and its largest document is made up for."""
+    draw = np.random.default_rng(8)
+    rows = []
+    for source, n in (("big", 2_000), ("one", 150), ("two", 199), (None, 120)):
+        size = np.minimum(draw.lognormal(5.5, 1.2, n).astype(int) + 1, 9_000)
+        size[:2] = (20_000, 9_500)
+        rows += [(source, len(rows) + k, int(z), 0, 0.43) for k, z in enumerate(size)]
+    frame = spark.createDataFrame(rows, "source string, doc_id bigint, size bigint, copy int, chance double")
+    got = cube.balanced(frame, block=200).collect()
+    assert len(got) == len(rows) and {r.chance for r in got} == {0.0, 1.0}
+    for source in {r[0] for r in rows}:
+        wanted = sum(0.43 * r[2] for r in rows if r[0] == source)
+        n = sum(0.43 for r in rows if r[0] == source)
+        taken = [r.size for r in got if r.source == source and r.chance == 1]
+        assert abs(sum(taken) - wanted) <= 8 and abs(len(taken) - n) <= 12, source
+
+
 def test_mixed_documents_keep_their_columns(spark, odd, empty):
     got = cube.mixed_documents(odd)
     assert got.columns == odd.columns and cube.mixed_documents(empty).collect() == [] and cube.mix(empty).collect() == []
