@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quayside.llm import common, cube, idcoder, oddsketch, phrases, queries, ranklang
 
-# A text in a learned language spares half of the greatest distance to its profile; noise spares almost nothing.
-LEAST_SCORE = 0.2
+# A text has to score what all but 0.1 % of the labelled documents of its language do, less this margin. Texts in other
+# languages and random letters still spare 0.15 to 0.4 of the greatest distance, so the threshold is learned.
+SHARE_BELOW, MARGIN = 0.001, 0.05
 SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones are in. Unlabelled documents are judged by text, too."""
-    return ranklang.in_a_known_language(docs, ranklang.profiles(docs), LEAST_SCORE)
+    learned = ranklang.profiles(docs)
+    return ranklang.in_a_known_language(docs, learned, ranklang.least_scores(docs, learned, SHARE_BELOW, MARGIN))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

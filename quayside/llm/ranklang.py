@@ -160,8 +160,37 @@ def predict(docs: DataFrame, learned: dict[str, list[int]], size: int = PROFILE,
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-def in_a_known_language(docs: DataFrame, learned: dict[str, list[int]], least: float) -> DataFrame:
-    """The documents whose text resembles a learned language at least so much; columns as they were."""
+# Scores are counted in steps of this size.
+STEPS = 10_000
+
+
+def least_scores(docs: DataFrame, learned: dict[str, list[int]], share: float, margin: float) -> dict[str, float]:
+    """Language -> the score that only ``share`` of its labelled documents stay below, less ``margin``.
+
+    All labelled documents are counted that are nearest to the language they are labelled with; with few of them it is
+    the least score. Counts are combined before the shuffle. A language without such a document gets the smallest
+    threshold of the others.
+    """
+    judged = predict(docs.where("lang IS NOT NULL").select("text", "lang"), learned).where("lang_pred = lang")
+    counts = judged.groupBy("lang", F.floor(F.col("score") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    of_language = Window.partitionBy("lang")
+    upto = F.sum("n").over(of_language.orderBy("step"))
+    counts = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(of_language))
+    found = counts.where(F.col("upto") > F.col("all") * share).groupBy("lang").agg(F.min("step").alias("step")).collect()
+    least = {r.lang: max(0.0, r.step / STEPS - margin) for r in found}
+    return {name: least.get(name, min(least.values(), default=0.0)) for name in learned}
+
+
+def in_a_known_language(docs: DataFrame, learned: dict[str, list[int]], least: float | dict[str, float]) -> DataFrame:
+    """The documents whose text resembles a learned language at least so much; columns as they were.
+
+    ``least`` is one score, or one for each language.
+    """
     into = tuple(f"{name}_{len(docs.columns)}_{'_'.join(docs.columns)}" for name in ("lang", "score"))
     judged = predict(docs, learned, into=into)
-    return judged.where((F.col(into[0]) != UNKNOWN) & (F.col(into[1]) >= least)).select(*docs.columns)
+    if isinstance(least, dict):
+        pairs = [F.lit(x) for name in sorted(least) for x in (name, least[name])]
+        wanted = F.element_at(F.create_map(*pairs), F.col(into[0])) if pairs else F.lit(0.0)
+    else:
+        wanted = F.lit(least)
+    return judged.where((F.col(into[0]) != UNKNOWN) & (F.col(into[1]) >= wanted)).select(*docs.columns)

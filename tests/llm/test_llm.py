@@ -670,6 +670,29 @@ def test_language_corner_cases(spark, odd, docs, empty):
     assert ranklang.in_a_known_language(empty, learned, 0.0).collect() == []
 
 
+def test_the_language_stage_rejects_foreign_texts_and_noise(spark):
+    labelled = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    draw = np.random.default_rng(3)
+
+    def noise(n):
+        return " ".join("".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), draw.integers(2, 9))) for _ in range(n))
+
+    foreign = [
+        "La citt\u00e0 \u00e8 molto bella e il sole splende sul mare mentre i bambini giocano nella piazza vicino alla chiesa",
+        "Suomen kieli on kaunis ja vaikea kieli jota puhutaan pohjoisessa maassa jossa on paljon j\u00e4rvi\u00e4 ja mets\u00e4",
+        "Wszyscy ludzie rodz\u0105 si\u0119 wolni i r\u00f3wni pod wzgl\u0119dem swej godno\u015bci i swych praw",
+    ]
+    bad = [*foreign, noise(5), noise(20), noise(200), noise(2_000)]
+    # Clean short documents: the first words of labelled ones.
+    clean = [" ".join(r.text.split()[:30]) for r in labelled.where("lang = 'en' AND doc_id % 50 = 0").orderBy("doc_id").collect()]
+    extra = [(900_000 + k, t, None, "x") for k, t in enumerate([*bad, *clean])]
+    both = labelled.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(extra, SCHEMA))
+    ids = {r.doc_id for r in corpus_pipeline.language(spark, both, SF).select("doc_id").collect()}
+    assert not ids & set(range(900_000, 900_000 + len(bad)))
+    assert clean and {900_000 + len(bad) + k for k in range(len(clean))} <= ids
+    assert ids >= {r.doc_id for r in labelled.select("doc_id").collect()}
+
+
 # --- 9 phrases --------------------------------------------------------------------------------
 
 
