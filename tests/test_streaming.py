@@ -1,6 +1,8 @@
 import json
+import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from quayside.operators.classify import first_valid
 from quayside.sinks.publish import envelopes
 from quayside.sources.landed import read_landed
 from quayside.sources.stream import StreamSource, file_messages
-from quayside.streaming.dedupe import dedupe_within_window
+from quayside.streaming.dedupe import WINDOW, dedupe_batch, dedupe_within_window, kept_after
 from quayside.sources.store import read_stored
 from quayside.streaming.buslanding import BusStore, land_bus_batch, start_bus_landing
 from quayside.streaming.ingest import Store, batch_clock, compact_store, earlier_keys, ingest_batch, start_ingest
@@ -143,6 +145,33 @@ def test_window_dedupe_does_not_depend_on_the_batches(spark, tmp_path, cut):
     assert got == [(m, t) for m in "ab" for t in (0, 12, 23, 100)] + [("c", 0)]
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_a_hot_id_is_deduped_in_sessions(spark, tmp_path, batches):
+    """Rows come in chunks of seven; the result is that of the plain loop."""
+    draw = random.Random(4)
+    seconds = sorted(draw.choice((0, 40_000, 90_000)) + draw.randrange(9_000) for _ in range(3_000))
+    sent = [("hot", s) for s in seconds + seconds[::2]] + [(f"m{k % 40}", s) for k, s in enumerate(seconds[::5])] + [(None, 5), (None, 605), (None, 606)]
+    rows = [(name, NOW + timedelta(seconds=s)) for name, s in sent] + [("untimed", None), ("m1", None)]
+    schema, out, state = "message_id string, enqueued_at timestamp", str(tmp_path / "out"), str(tmp_path / "state")
+    conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for k in range(batches):
+            low, high = (NOW + timedelta(seconds=x * 99_100 / batches) for x in (k, k + 1))
+            part = [r for r in rows if (low <= r[1] < high if r[1] else k == 0)]
+            draw.shuffle(part)
+            for _ in range(2):  # delivered again
+                dedupe_batch(spark.createDataFrame(part, schema), k, out, state)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", conf)
+    got = [(r.message_id, r.at) for r in spark.read.schema(schema).parquet(out).select("message_id", F.unix_seconds("enqueued_at").alias("at")).collect()]
+    expected = [("untimed", None)]
+    for name in {n for n, _ in sent}:
+        times = pd.Series(sorted(pd.Timestamp(NOW) + pd.Timedelta(seconds=s) for n, s in sent if n == name))
+        expected += [(name, int(times[i].timestamp())) for i in kept_after(times, None, WINDOW)[0]]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_a_batch_reads_the_buckets_of_its_keys_only(spark, topic, store, parsed):
     topic.send(*[trade(f"PT-{i}") for i in range(200)])
     run(spark, topic, store)

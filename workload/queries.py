@@ -21,9 +21,9 @@ from quayside.session import prepare, stored, work_path
 from quayside.sinks import landing, publish
 from quayside.sinks.deadletters import write_dead_letters
 from quayside.sources import all_channels, batch, bus, push, store, stream
-from quayside.sources.landed import batch_folder, read_bronze, read_landed, snake_columns
+from quayside.sources.landed import batch_folder, read_bronze, read_landed, read_or_empty, snake_columns
 from quayside.streaming.buslanding import BusStore, land_bus_batch
-from quayside.streaming.dedupe import dedupe_within_window
+from quayside.streaming.dedupe import dedupe_batch
 from quayside.streaming.ingest import Store, start_ingest
 from workload import inputs as I
 
@@ -733,19 +733,17 @@ def stream_dedupe_window(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("message_id"),
         F.col("ts").cast("timestamp").alias("enqueued_at"),
     )
-    folder, out, checkpoint = (work_path(spark, n) for n in ("log", "deduped", "dedupe-checkpoint"))
+    folder, out, state, checkpoint = (work_path(spark, n) for n in ("log", "deduped", "dedupe-state", "dedupe-checkpoint"))
     log.write.parquet(folder)
-    kept = dedupe_within_window(spark.readStream.schema(log.schema).parquet(folder))
     run = (
-        kept.writeStream.format("parquet")
-        .option("path", out)
+        spark.readStream.schema(log.schema).parquet(folder)
+        .writeStream.foreachBatch(lambda batch, batch_id: dedupe_batch(batch, batch_id, out, state))
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return plain(spark.read.schema(log.schema).parquet(out))
+    return plain(read_or_empty(spark, log.schema, out).select(*log.columns))
 
 
 # --- bus to landing --------------------------------------------------------------------------
