@@ -6,7 +6,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import chat, common, cube, idcoder, lattice, oddsketch, phrases, pstable, ranklang, repeats, urlfilter
+from quayside.llm import (
+    chat, common, convrepair, cube, filteraudit, idcoder, lattice, oddsketch, phrases, pstable, ranklang, recompress, repeats,
+    urlfilter,
+)
 
 # Fixed values of the queries' contracts.
 URL_RULES = (
@@ -94,9 +97,25 @@ def op10_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.without_repeats(common.documents(spark, sf)).drop("kept")
 
 
+def op11_filter_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of five filters removes of every language, in all orders of them."""
+    return filteraudit.audit(common.documents(spark, sf), table(spark, sf, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    return convrepair.repaired(convrepair.damaged(table(spark, sf, "conversations")))
+
+
+def op13_recompressed_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """What remains of every document without passages of 50 words of earlier documents."""
+    return recompress.without_earlier_passages(common.documents(spark, sf))
+
+
 QUERIES = (
     op1_lattice_score, op2_pstable_vectors, op3_cube_mix, op4_url_rules, op5_range_coded_ids, op6_chat_windows,
-    op7_odd_sketch_groups, op8_rank_order_language, op9_phrase_index, op10_repeated_passages,
+    op7_odd_sketch_groups, op8_rank_order_language, op9_phrase_index, op10_repeated_passages, op11_filter_orders,
+    op12_conversation_repair, op13_recompressed_passages,
 )
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -195,7 +214,158 @@ LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = m.vec_id
 LEFT JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = m.vec_id
 """
 
+# Filters by mask; an order is a list of letters, and what a step finds is what no earlier letter removed.
+OP11_SQL = """
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+    FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+flags AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (len(words) < 100)::INT
+        + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+        + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text))::INT
+        + 8 * regexp_matches(text, '[#$%&*|]')::INT
+        + 16 * coalesce(d.doc_id > first, false)::INT AS mask
+    FROM d JOIN firsts USING (text) LEFT JOIN flags ON flags.doc_id = d.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+prefixes(prefix, letter, bit, applied) AS (
+    SELECT letter, letter, bit, 0 FROM letters
+    UNION ALL
+    SELECT p.prefix || l.letter, l.letter, l.bit, p.applied + p.bit
+    FROM prefixes p JOIN letters l ON ((p.applied + p.bit) & l.bit) = 0),
+steps AS (
+    SELECT part, prefix, letter,
+        coalesce(sum(n) FILTER (mask & (applied + bit) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS removed,
+        coalesce(sum(n) FILTER (mask & applied <> 0 AND mask & bit <> 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS toxic_lost
+    FROM prefixes, cells GROUP BY part, prefix, letter),
+orders AS (
+    SELECT o.part, o.prefix AS filter_order, s.*  EXCLUDE (part)
+    FROM steps o JOIN steps s ON o.part = s.part AND starts_with(o.prefix, s.prefix) WHERE len(o.prefix) = 5)
+SELECT part, filter_order, len(prefix)::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+    redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+    toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM orders
+"""
+
+# CRC-32 of an ASCII string: a bit at a time, each byte joined with the first of its eight.
+CRC32 = """xor(4294967295, list_reduce(
+            flatten(list_transform(string_split({}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+            lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384), 4294967295::BIGINT))"""
+
+# What is missing to the end is known from the last row on; then the least letter that stays among the cheapest is taken.
+OP12_STATES = ("0", "1", "2", "3")
+OP12_NEXT = {"0": "2", "1": "2", "2": "3", "3": "2"}
+OP12_KEEP = {"0": "CASE initial WHEN 's' THEN b1 WHEN 'u' THEN b2 END", "1": "CASE initial WHEN 'u' THEN b2 END", "2": "CASE initial WHEN 'a' THEN b3 END", "3": "CASE initial WHEN 'u' THEN b2 END"}
+
+
+def _op12_sql() -> str:
+    consumed = ", ".join(
+        f"least(3 + b{s}, CASE WHEN NOT doomed THEN cut + least({OP12_KEEP[s]}, 2 + b{OP12_NEXT[s]}) END) AS c{s}" for s in OP12_STATES
+    )
+    inserted = ", ".join(f"least(c{s}, 2 + c{OP12_NEXT[s]}, 4 + c{OP12_NEXT[OP12_NEXT[s]]}) AS b{s}" for s in OP12_STATES)
+    here = "list_extract([{}], state + 1)"
+    costs, after = here.format("a.b0, a.b1, a.b2, a.b3"), here.format("z.b0, z.b1, z.b2, z.b3")
+    changed = here.format("z.b2, z.b2, z.b3, z.b2")
+    added = here.format("a.b2, a.b2, a.b3, a.b2")
+    kept = "CASE WHEN state = 0 AND initial = 's' THEN z.b1 WHEN state <> 2 AND initial = 'u' THEN z.b2 WHEN state = 2 AND initial = 'a' THEN z.b3 END"
+    return f"""
+WITH RECURSIVE original AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS harm
+    FROM conversations),
+rows_left AS (
+    SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM (SELECT *, unnest(CASE harm WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM original WHERE harm <> 0)),
+ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said
+    FROM rows_left),
+faults AS (
+    SELECT *, CASE WHEN said = '' THEN 'blank' WHEN earlier > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS earlier FROM ordered)),
+kinds AS (
+    SELECT conv_id, i, role, text, initial, coalesce(fault IN ('blank', 'duplicate'), false) AS doomed,
+        (coalesce(fault, '') = 'truncated')::INT AS cut FROM faults),
+sizes AS (SELECT conv_id, max(i) AS n FROM kinds GROUP BY conv_id),
+rest(conv_id, i, b0, b1, b2, b3) AS (
+    SELECT conv_id, n + 1, 0, 4, 2, 0 FROM sizes
+    UNION ALL
+    SELECT conv_id, i, {inserted}
+    FROM (SELECT k.conv_id, k.i, {consumed} FROM rest r JOIN kinds k ON k.conv_id IS NOT DISTINCT FROM r.conv_id AND k.i = r.i - 1)),
+edits(conv_id, i, state, audit, repaired) AS (
+    SELECT conv_id, 1, 0, '', CAST([] AS VARCHAR[]) FROM sizes
+    UNION ALL
+    SELECT conv_id, CASE letter WHEN 'I' THEN i ELSE i + 1 END,
+        CASE WHEN letter = 'D' THEN state WHEN letter = 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHEN state = 2 THEN 3 ELSE 2 END,
+        audit || letter,
+        CASE letter WHEN 'D' THEN repaired WHEN 'K' THEN list_append(repaired, role || ':' || text)
+            ELSE list_append(repaired, CASE state WHEN 2 THEN 'assistant' ELSE 'user' END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END) END
+    FROM (
+        SELECT e.*, k.role, k.text, k.initial,
+            CASE WHEN k.i IS NOT NULL AND 3 + {after} = {costs} THEN 'D'
+                WHEN 2 + {added} = {costs} THEN 'I'
+                WHEN NOT k.doomed AND k.cut + ({kept}) = {costs} THEN 'K'
+                WHEN NOT k.doomed AND k.cut + 2 + {changed} = {costs} THEN 'R' END AS letter
+        FROM edits e
+        JOIN rest a ON a.conv_id IS NOT DISTINCT FROM e.conv_id AND a.i = e.i
+        LEFT JOIN rest z ON z.conv_id IS NOT DISTINCT FROM e.conv_id AND z.i = e.i + 1
+        LEFT JOIN kinds k ON k.conv_id IS NOT DISTINCT FROM e.conv_id AND k.i = e.i)
+    WHERE letter IS NOT NULL),
+done AS (
+    SELECT e.conv_id, arg_max(audit, len(audit)) AS audit, arg_max(repaired, len(audit)) AS repaired
+    FROM edits e GROUP BY e.conv_id),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b0, 0)::BIGINT AS cost,
+    coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(repaired, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN rest r ON r.conv_id IS NOT DISTINCT FROM o.conv_id AND r.i = 1
+"""
+
+
+OP12_SQL = _op12_sql()
+
+OP13_SQL = """
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+    FROM documents),
+places AS (
+    SELECT row, doc_id, k, sha256(array_to_string(words[k : k + 49], ' ')) AS run
+    FROM (SELECT row, doc_id, words, unnest(range(1, len(words) - 48)) AS k FROM d WHERE len(words) >= 50)),
+firsts AS (SELECT run, min(doc_id) AS first FROM places GROUP BY run HAVING min(doc_id) < max(doc_id)),
+starts AS (SELECT row, list(DISTINCT k) AS ks FROM places JOIN firsts USING (run) WHERE doc_id > first GROUP BY row),
+gone AS (SELECT row, list(DISTINCT word) AS gone FROM (SELECT row, unnest(range(k, k + 50)) AS word FROM (SELECT row, unnest(ks) AS k FROM starts)) GROUP BY row),
+cut AS (
+    SELECT row, string_agg(word, ' ' ORDER BY place) AS kept
+    FROM (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d) w
+    ANTI JOIN (SELECT row, unnest(gone) AS place FROM gone) g ON w.row = g.row AND w.place = g.place
+    GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (row) LEFT JOIN cut USING (row)
+"""
+
 ORACLES = {
+    "op11_filter_orders": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
+    "op13_recompressed_passages": OP13_SQL,
     "op2_pstable_vectors": OP2_SQL,
     "op4_url_rules": OP4_SQL,
     "op7_odd_sketch_groups": OP7_SQL,
