@@ -54,8 +54,8 @@ DEFAULT_RECORD_ID_FIELD = "sourceRecordId"
 AMOUNT = "decimal(18,9)"
 MONEY = "decimal(18,2)"
 
-# Where a record stands in arrival order: structs are compared field by field, so no part is packed or cut.
-# Streams: partition, nothing, offset. Pulls: time of the file, its path, position in the pull.
+# Where a record stands in arrival order, the same for all channels: structs are compared field by field, so no part is
+# packed or cut. The instant in microseconds; the partition, the path of the pull or the request; the place there.
 ARRIVAL = T.StructType(
     [
         T.StructField("at", T.LongType()),

@@ -5,16 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.contract import LANDED, LANDED_COLUMNS, pascal
-from quayside.sources.landed import (
-    LANDED_FILE,
-    batch_folder,
-    compacted_upto,
-    generation_folder,
-    manifest,
-    read_batches,
-    read_bronze,
-    read_or_empty,
-)
+from quayside.sinks.generations import by_folder, compact_batches
+from quayside.sources.landed import LANDED_FILE, batch_folder, read_bronze, read_or_empty
 
 
 def landed_rows(accepted: DataFrame) -> DataFrame:
@@ -94,17 +86,6 @@ def compact(spark: SparkSession, root: str, staging: str, first_date: str, last_
     writer.partitionBy("dt").parquet(root)
 
 
-def compact_batches(spark: SparkSession, root: str, upto: int, schema: T.StructType = LANDED_FILE, by: str = "dt") -> None:
-    """Rewrite the closed micro-batches up to one of them into a new generation.
-
-    The generation is built beside the batches and becomes visible by one small append to the manifest; until
-    then readers see the batches, from then on the generation and the batches after it. A run that died
-    before that is repeated from the untouched batches.
-    """
-    before = compacted_upto(spark, root)
-    if before is not None and before >= upto:
-        return
-    rows = read_batches(spark, root, schema).where(F.col("batch_id") <= upto)
-    shaped = rows.hint("rebalance", by).sortWithinPartitions(by)
-    shaped.write.mode("overwrite").partitionBy(by).parquet(generation_folder(root, upto))
-    spark.range(1).select(F.lit(upto).cast("bigint").alias("upto")).write.mode("append").parquet(manifest(root))
+def compact_landing(spark: SparkSession, root: str, upto: int) -> None:
+    """Compact the closed micro-batches of a landing dataset up to one of them."""
+    compact_batches(spark, root, upto, LANDED_FILE, by_folder("dt", "Port", "Product"))

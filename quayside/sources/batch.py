@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quayside.contract import DEFAULT_RECORD_ID_FIELD
 from quayside.functions import is_blank, string_maps
 from quayside.functions.jsonmap import JSON_OPTIONS
+from quayside.operators.arrival import arrival
 from quayside.operators.normalize import with_record_id
 
 CHANNEL = "Batch"
@@ -43,13 +44,10 @@ def pulled_fields(pulls: DataFrame) -> DataFrame:
     """
     array = F.from_json("body", "array<map<string,variant>>", JSON_OPTIONS)
     elements = pulls.select("pulled_at", "path", F.posexplode(array).alias("position", "element"))
-    arrival = F.struct(
-        F.col("pulled_at").alias("at"), F.col("path").alias("lane"), F.col("position").cast("bigint").alias("position")
-    )
     return (
         string_maps(elements, "element", "fields")
         .where(F.col("fields").isNotNull())
-        .select("fields", arrival.alias("arrival_seq"))
+        .select("fields", arrival(F.col("pulled_at"), F.col("path"), F.col("position")).alias("arrival_seq"))
     )
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import types as T
 
 from quayside.contract import LANDED, LANDED_COLUMNS, pascal
 from quayside.functions import business_key
+from quayside.sources.live import batch_folder, read_live
+
+__all__ = ["LANDED_FILE", "TABLE_NAMES", "batch_folder", "claimed_keys", "read_batches", "read_bronze", "read_landed", "read_or_empty", "snake_columns"]
 
 # File name of every landed column -> its table name.
 TABLE_NAMES = {pascal(column): column for column in LANDED_COLUMNS}
@@ -15,21 +18,6 @@ TABLE_NAMES = {pascal(column): column for column in LANDED_COLUMNS}
 LANDED_FILE = T.StructType([T.StructField(pascal(f.name), f.dataType) for f in LANDED.fields]).add("dt", T.DateType())
 
 
-def batch_folder(root: str, batch_id: int) -> str:
-    """Where a micro-batch keeps its part of a dataset."""
-    return f"{root}/batch_id={batch_id}"
-
-
-def generation_folder(root: str, upto: int) -> str:
-    """Where compaction keeps what the batches up to one held; plain scans of the root pass it over."""
-    return f"{root}/_generations/{upto}"
-
-
-def manifest(root: str) -> str:
-    """One row per finished compaction: the last batch it covers."""
-    return f"{root}/_manifest"
-
-
 def snake_columns(df: DataFrame) -> DataFrame:
     """Landed files under their table names. Columns that the contract does not declare keep their names."""
     return df.withColumnsRenamed(TABLE_NAMES)
@@ -45,20 +33,9 @@ def read_or_empty(spark: SparkSession, schema: T.StructType, path: str) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def compacted_upto(spark: SparkSession, root: str) -> int | None:
-    """The last batch that compaction covers. One row per compaction ever finished is read."""
-    schema = T.StructType().add("upto", T.LongType())
-    return read_or_empty(spark, schema, manifest(root)).agg(F.max("upto")).first()[0]
-
-
 def read_batches(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """A dataset of micro-batches with its ``batch_id``: the newest generation and the batches after it."""
-    schema = T.StructType(list(schema.fields)).add("batch_id", T.LongType())
-    upto = compacted_upto(spark, root)
-    batches = read_or_empty(spark, schema, root)
-    if upto is None:
-        return batches
-    return batches.where(F.col("batch_id") > upto).unionByName(read_or_empty(spark, schema, generation_folder(root, upto)))
+    """A dataset of micro-batches with its ``batch_id``: its live runs and the batches after them."""
+    return read_live(spark, root, schema)
 
 
 def read_bronze(spark: SparkSession, root: str, batches: bool = False) -> DataFrame:

@@ -1,14 +1,20 @@
 """Pushed batches: requests holding many records each."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.contract import BATCH_TOO_LARGE, INVALID_REQUEST, MAX_PUSH_BATCH
 from quayside.functions import is_blank
+from quayside.operators.arrival import arrival
 
 CHANNEL = "Api"
 
 
+def request_arrival(received_at: Column, request_id: Column, position: Column) -> Column:
+    """``arrival_seq`` of a pushed record: when its request came in, and its place there."""
+    return arrival(F.unix_micros(received_at), request_id, position)
+
+
 def admit(requests: DataFrame, records: DataFrame, max_records: int = MAX_PUSH_BATCH) -> DataFrame:
     """One verdict per request: ``admitted``, ``invalid_request`` (empty) or ``batch_too_large``.
 

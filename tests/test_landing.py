@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import clock, record
 from quayside.contract import LANDED_COLUMNS
@@ -12,9 +13,12 @@ from quayside.operators.classify import first_valid
 from quayside.operators.events import EventQuery, events_page, filter_events, page_info
 from quayside.plans import medallion, reconcile
 from quayside.session import work_path, work_root
-from quayside.sinks.landing import append_if_absent, compact, compact_batches, file_rows, write_landing
+from quayside.plans.layers import GoldStore, SilverStore
+from quayside.sinks.generations import compact_batches, in_files, plan_merge
+from quayside.sinks.landing import append_if_absent, compact, compact_landing, file_rows, write_landing
 from quayside.sources.store import from_store, to_store
-from quayside.sources.landed import claimed_keys, compacted_upto, generation_folder, read_bronze, read_landed, snake_columns
+from quayside.sources.landed import claimed_keys, read_bronze, read_landed, snake_columns
+from quayside.sources.live import Run, batch_folder, children, live_folders, read_live, run_folder
 
 
 def folders(root):
@@ -107,7 +111,7 @@ def test_compaction_goes_on_from_a_complete_staging_folder(spark, parsed, tmp_pa
     assert sorted(tuple(r) for r in read_bronze(spark, root).collect()) == before
 
 
-def test_batches_are_compacted_into_generations(spark, parsed, tmp_path):
+def test_batches_are_compacted_into_runs(spark, parsed, tmp_path):
     root = str(tmp_path / "landing")
 
     def rows():
@@ -117,31 +121,97 @@ def test_batches_are_compacted_into_generations(spark, parsed, tmp_path):
         write_landing(first_valid(parsed(record(rid=str(batch)), record(rid=f"x{batch}", tradedAtUtc="2026-07-30"))), root, batch)
     before = rows()
     assert len(before) == 8
-    # A run that died before it was published changes nothing.
-    read_bronze(spark, root, batches=True).limit(1).write.partitionBy("dt").parquet(generation_folder(root, 1))
+    # A run that was never listed changes nothing.
+    read_bronze(spark, root, batches=True).limit(1).write.partitionBy("dt").parquet(f"{root}/{run_folder(0, 1)}")
     assert rows() == before
-    compact_batches(spark, root, 1)
-    assert rows() == before and compacted_upto(spark, root) == 1
-    compact_batches(spark, root, 0)
-    compact_batches(spark, root, 2)
-    assert rows() == before and compacted_upto(spark, root) == 2
-    assert len(files(generation_folder(root, 2))) == 2
+    compact_landing(spark, root, 1)
+    assert rows() == before and live_folders(spark, root).upto == 1
+    compact_landing(spark, root, 0)
+    compact_landing(spark, root, 2)
+    live = live_folders(spark, root)
+    assert rows() == before and live.upto == 2 and live.batches == (3,)
+    assert {f.split("/dt=")[0].split("landing/")[1] for f in read_bronze(spark, root, batches=True).inputFiles()} == {
+        *(r.folder for r in live.runs), "batch_id=3"
+    }
     write_landing(first_valid(parsed(record(rid="new"))), root, 4)
     assert len(rows()) == 9
     assert read_bronze(spark, root, batches=True).count() == 9
 
 
-def test_gold_of_refreshed_parts(spark, parsed, tmp_path):
+def test_what_compaction_replaced_is_removed_one_compaction_later(spark, tmp_path):
+    root = str(tmp_path / "data")
+    written = []
+
+    def write(rows, folder):
+        written.append(rows.count())
+        in_files(rows, folder)
+
+    schema = T.StructType().add("v", T.LongType())
+    for batch in range(16):
+        spark.range(100).select(F.col("id").alias("v")).coalesce(1).write.parquet(batch_folder(root, batch))
+        compact_batches(spark, root, batch, schema, write)
+        live = live_folders(spark, root)
+        assert read_live(spark, root, schema).count() == 100 * (batch + 1) and not live.batches and len(live.runs) <= 6
+        assert len(children(spark, root)) <= 4 + 1 and len(children(spark, f"{root}/_runs")) <= 2 * 6
+    # Every row was rewritten about log2(16) times, not 8 times on average.
+    assert sum(written) <= 100 * 16 * 5
+
+
+@pytest.mark.parametrize("sizes,new,merged", [((), 10, 0), ((10,), 10, 1), ((100,), 10, 0), ((80, 40, 20), 10, 3), ((1000, 20), 10, 1)])
+def test_runs_of_like_size_are_merged(sizes, new, merged):
+    assert plan_merge(tuple(Run("", i, i, s) for i, s in enumerate(sizes)), new) == merged
+
+
+def test_gold_of_replaced_dates(spark, parsed, tmp_path):
     rows = medallion.silver(sample(parsed))
-    root = str(tmp_path / "parts")
+    store = GoldStore(str(tmp_path / "parts"))
+
+    def read():
+        return sorted(tuple(r) for r in store.read(spark).collect())
+
     expected = sorted(tuple(r) for r in medallion.gold(rows).collect())
-    assert sorted(tuple(r) for r in medallion.refresh_gold_parts(rows, root, "2026-01-01", "2026-12-31").collect()) == expected
-    # Other dates stay as they are.
-    none = medallion.refresh_gold_parts(rows.where("false"), root, "2025-01-01", "2025-12-31")
-    assert sorted(tuple(r) for r in none.collect()) == expected
+    store.replace_dates(rows, 0, "2026-01-01", "2026-12-31")
+    assert read() == expected
+    # Other dates stay as they are; a round that comes again replaces its own.
+    for _ in range(2):
+        store.replace_dates(rows.where("false"), 1, "2025-01-01", "2025-12-31")
+        assert read() == expected
     more = rows.withColumn("quantity_mt", (F.col("quantity_mt") + 1).cast("decimal(12,3)"))
-    again = medallion.refresh_gold_parts(more, root, "2026-08-01", "2026-08-01")
-    assert sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in medallion.gold(more).collect())
+    store.replace_dates(more, 2, "2026-08-01", "2026-08-01")
+    assert read() == sorted(tuple(r) for r in medallion.gold(more).collect())
+    # Dates that have no rows any more have no gold.
+    store.replace_dates(rows.where("false"), 3, "2026-08-01", "2026-08-01")
+    assert read() == []
+    store.compact(spark, 3)
+    assert read() == [] and store.parts(spark).count() == 0
+
+
+def test_layers_kept_up_to_date_equal_layers_built_anew(spark, parsed, tmp_path):
+    """Events move to another date, port and vessel, come again older, and vanish and come back."""
+    silver, gold = SilverStore(str(tmp_path / "silver"), rows_per_bucket=2), GoldStore(str(tmp_path / "gold"))
+    rounds = [
+        ([(record(rid=str(i), tradedAtUtc=f"2026-07-{10 + i}T00:00:00Z"), 0, 1) for i in range(6)], []),
+        ([(record(rid="1", tradedAtUtc="2026-07-25T00:00:00Z"), 5, 1), (record(rid="2", port="NLRTM"), 5, 1), (record(rid="3", vesselImo="9241061"), 5, 1)], [("4", 5)]),
+        ([(record(rid="1", quantityMt="1"), 3, 1), (record(rid="5", quantityMt="7"), 9, 2), (record(rid="6"), 9, 1)], [("5", 9), ("0", 9)]),
+        ([(record(rid="4", quantityMt="2"), 12, 1), (record(rid="2"), 12, 1)], [("3", 12), ("none", 12)]),
+    ]
+    ids = {r.source_record_id: r.event_id for r in parsed(*[record(rid=str(i)) for i in range(7)]).collect()}
+    known, gone = [], {}
+    for n, (rows, removed) in enumerate(rounds):
+        at = [(ids.get(rid, rid), f"2026-08-01T09:{minute:02d}:00Z") for rid, minute in removed]
+        frame = spark.createDataFrame(at, "event_id string, at string").select("event_id", F.col("at").cast("timestamp").alias("ingested_at_utc"))
+        for _ in range(2 if n == 1 else 1):  # the second time as after a failure
+            gold.apply(*silver.upsert(bronze_of(parsed, *rows), n, frame), n)
+        if n in (0, 2):
+            silver.compact(spark, n)
+            gold.compact(spark, n)
+        known += rows
+        gone |= {ids.get(rid, rid): minute for rid, minute in removed}
+        newest = {r.event_id: r for r in medallion.silver(bronze_of(parsed, *known)).collect()}
+        left = [r for r in newest.values() if r.event_id not in gone or r.ingested_at_utc.minute > gone[r.event_id]]
+        assert sorted(map(tuple, silver.read(spark).select(*left[0].asDict()).collect())) == sorted(map(tuple, left))
+        rebuilt = medallion.gold(spark.createDataFrame(left, medallion.silver(bronze_of(parsed, *known)).schema))
+        assert sorted(map(tuple, gold.read(spark).collect())) == sorted(map(tuple, rebuilt.collect()))
 
 
 def test_pages_after_an_event(parsed):

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import Observation
@@ -11,6 +12,7 @@ from quayside.operators.classify import first_valid, parse
 from quayside.sinks.publish import envelopes, kafka_rows
 from quayside.sources import all_channels, bus, push
 from quayside.sources.batch import BatchSource, batch_records, pulled_fields, read_batch_sources, read_pulls
+from quayside.operators.arrival import latest_instants, non_falling
 from quayside.sources.stream import StreamSource, decode, stream_records
 
 
@@ -69,6 +71,36 @@ def test_the_lower_offset_arrives_first_whatever_the_producers_clock_says(spark,
     assert [float(r.quantity_mt) for r in accepted] == [1.0]
 
 
+@pytest.mark.parametrize("pull_at,message_at,expected", [("00:00:05", "00:00:09", "Batch"), ("00:00:09", "00:00:05", "Stream")])
+@pytest.mark.parametrize("partition", [0, 7])
+def test_the_earlier_channel_is_accepted(spark, partition, pull_at, message_at, expected):
+    body = json.dumps({**BASE, "sourceRecordId": "PT-1"})
+    pulls = spark.createDataFrame([(f"[{body}]", f"2026-08-01 {pull_at}", "/pulls/1")], "body string, at string, path string")
+    pulls = pulls.withColumn("pulled_at", F.unix_micros(F.col("at").cast("timestamp")))
+    rows = [(body, partition, 5, f"2026-08-01 {message_at}")]
+    sent = spark.createDataFrame(rows, "value string, partition int, offset bigint, at string").withColumn("timestamp", F.col("at").cast("timestamp"))
+    both = all_channels(batch_records(pulled_fields(pulls), BatchSource("port-telemetry")), stream_records(sent, StreamSource()))
+    assert [r.channel for r in first_valid(parse(both, clock())).collect()] == [expected]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 1 << 20])
+def test_instants_of_a_partition_never_fall(spark, block):
+    """Against a plain loop; times fall back, are missing, and partitions have their own clocks."""
+    rng = random.Random(block)
+    sent = [(p, o, rng.choice([None, *range(20)])) for p in (0, 1) for o in rng.sample(range(40), 20)]
+    frame = spark.createDataFrame(sent, "partition int, offset bigint, second int").withColumn("timestamp", F.timestamp_seconds("second"))
+    carried = spark.createDataFrame([(1, 7_000_000), (5, 1)], "partition int, latest bigint")
+    got = {(r.partition, r.offset): r.instant for r in non_falling(frame, carried, block).collect()}
+    latest, want = {0: None, 1: 7_000_000}, {}
+    for p, o, second in sorted(sent, key=lambda r: (r[0], r[1])):
+        times = [t for t in (latest[p], None if second is None else second * 1_000_000) if t is not None]
+        latest[p] = max(times, default=None)
+        want[p, o] = latest[p]
+    assert got == want
+    after = {r.partition: r.latest for r in latest_instants(frame, carried).collect()}
+    assert after == {**latest, 5: 1}
+
+
 def test_no_enabled_source(spark):
     with pytest.raises(ValueError):
         read_batch_sources(spark, [BatchSource("off", "x", enabled=False)])

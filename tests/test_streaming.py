@@ -1,5 +1,6 @@
 import json
 import random
+import shutil
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
@@ -9,13 +10,15 @@ from pyspark.sql import functions as F
 from conftest import BASE, clock, record
 from quayside.contract import MESSAGE
 from quayside.operators.classify import first_valid
-from quayside.sinks.publish import envelopes
+from quayside.sinks.publish import OUTBOX, envelopes
 from quayside.sources.landed import read_landed
 from quayside.sources.stream import StreamSource, file_messages
 from quayside.streaming.dedupe import WINDOW, dedupe_batch, dedupe_within_window, kept_after
 from quayside.sources.store import read_stored
-from quayside.streaming.buslanding import BusStore, land_bus_batch, start_bus_landing
-from quayside.streaming.ingest import Store, batch_clock, compact_store, earlier_keys, ingest_batch, start_ingest
+from quayside.sinks.keyindex import KeyedStore
+from quayside.sources.live import live_folders, read_live
+from quayside.streaming.buslanding import BusStore, compact_bus_store, land_bus_batch, start_bus_landing
+from quayside.streaming.ingest import OUTCOMES, Store, batch_clock, compact_store, ingest_batch, start_ingest
 
 NOW = datetime(2026, 8, 2, 10, 0, tzinfo=timezone.utc)
 
@@ -172,14 +175,60 @@ def test_a_hot_id_is_deduped_in_sessions(spark, tmp_path, batches):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
-def test_a_batch_reads_the_buckets_of_its_keys_only(spark, topic, store, parsed):
-    topic.send(*[trade(f"PT-{i}") for i in range(200)])
-    run(spark, topic, store)
-    found = earlier_keys(parsed(record("port-telemetry", "PT-7", "Stream")), 1, store)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "bucket" in plan and "OccurredAtUtc" not in plan
-    keys = {r.dedup_key for r in found.collect()}
-    assert "port-telemetry:PT-7" in keys and len(keys) < 60 and len({r.bucket for r in found.collect()}) == 1
+def scanned_files(df):
+    """Files that the scans of a frame would read."""
+    return df.inputFiles()
+
+
+def test_a_small_batch_opens_few_files_of_a_large_index(spark, tmp_path):
+    index = KeyedStore(str(tmp_path / "keys"), rows_per_bucket=50)
+    for batch in range(4):
+        index.add(spark.range(batch * 1000, (batch + 1) * 1000).select(F.col("id").cast("string").alias("key")), batch)
+    index.compact(spark, 2)
+    run, = live_folders(spark, index.root).runs
+    assert run.bits == 6  # 3,000 keys, 50 a bucket
+    wanted = spark.createDataFrame([("7",), ("1500",), ("3500",), ("none",)], "key string")
+    found = index.candidates(wanted, 4)
+    of_run = [f for f in scanned_files(found) if "_runs" in f]
+    assert 0 < len(of_run) <= 4 and found.count() < 1000 + 4 * 120
+    assert sorted(r.key for r in index.of_keys(wanted, 4).collect()) == ["1500", "3500", "7"]
+    assert sorted(r.key for r in index.of_keys(wanted, 3).collect()) == ["1500", "7"]
+    assert sorted(r.key for r in index.of_keys(wanted, 1).collect()) == ["7"]
+    assert index.of_keys(wanted.where("false"), 4).count() == 0
+
+
+def test_bus_batches_do_not_read_the_store(spark, parsed, tmp_path, monkeypatch):
+    where = BusStore(str(tmp_path / "bus"))
+    for batch in range(3):
+        land_bus_batch(bus_messages(spark, parsed, record(rid="1"), record(rid=str(batch))), batch, where, NOW)
+        if batch == 1:
+            compact_bus_store(spark, where, 0)
+    assert sorted((r.source_record_id, r.batch_id) for r in read_stored(spark, where.events).collect()) == [("0", 0), ("1", 0), ("2", 2)]
+    shutil.rmtree(where.events)
+    shutil.rmtree(where.landing)
+    land_bus_batch(bus_messages(spark, parsed, record(rid="1"), record(rid="9")), 3, where, NOW)
+    assert [r.source_record_id for r in read_stored(spark, where.events).collect()] == ["9"]
+
+
+def test_a_clock_that_falls_back_between_batches_keeps_offset_order(spark, topic, store, tmp_path):
+    """The second batch's messages have earlier times than the first's; they still arrive after it."""
+    late = NOW - timedelta(days=30)
+
+    def send(offset, at):
+        rows = [(None, trade(f"PT-{offset}"), "trades", 0, offset, at)]
+        spark.createDataFrame(rows, MESSAGE).coalesce(1).write.mode("append").parquet(topic.path)
+
+    seen = []
+
+    def keeps(records, batch_id, where, now):
+        seen.extend((r.source_record_id, r.arrival_seq.at) for r in records.collect())
+
+    send(0, NOW)
+    run(spark, topic, store, keeps)
+    send(1, late)
+    run(spark, topic, store, keeps)
+    instant = int(NOW.timestamp()) * 1_000_000
+    assert seen == [("PT-0", instant), ("PT-1", instant)]
 
 
 def test_ingestion_goes_on_after_compaction(spark, topic, store):
@@ -187,8 +236,13 @@ def test_ingestion_goes_on_after_compaction(spark, topic, store):
         topic.send(trade(f"PT-{i}"), trade("PT-0"))
         run(spark, topic, store)
     before = landed(spark, store)
-    compact_store(spark, store, 1)
-    assert landed(spark, store) == before
+    total = outcomes(spark, store)
+    for upto in (0, 1, 2):
+        compact_store(spark, store, upto)
+        assert landed(spark, store) == before
+    counts = read_live(spark, store.outcomes, OUTCOMES).groupBy("outcome").agg(F.sum("records").alias("n")).collect()
+    assert {r.outcome: r.n for r in counts} == total
+    assert read_live(spark, store.outbox, OUTBOX).count() == 3
     topic.send(*[trade(f"PT-{i}") for i in range(4)])
     run(spark, topic, store)
     assert [r[0] for r in landed(spark, store)] == ["PT-0", "PT-1", "PT-2", "PT-3"]

@@ -176,6 +176,11 @@ def packed_arrival(arrival: Column) -> Column:
     return arrival["at"] * F.lit(ARRIVAL_DAY_UNIT) + arrival["position"]
 
 
+def arrival_micros() -> Column:
+    """The arrival order of the derived trades as instants, in microseconds; the tie is less than a day."""
+    return F.col("arrival_seq.at") * F.lit(86_400_000_000) + F.col("arrival_seq.position")
+
+
 _DROPS: dict[tuple[str, str], str] = {}
 
 

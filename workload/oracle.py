@@ -136,6 +136,14 @@ FAILING = """, failing AS (
     WHEN 'Duplicate' THEN 'duplicate' END AS reason FROM released
 )"""
 
+GOLD = """
+  SELECT port, grade AS product, count(*) AS trades,
+    CAST(CAST(sum(tonnes) AS DECIMAL(20, 1)) AS DOUBLE) AS total_mt,
+    CAST(CAST(sum(total) AS DECIMAL(28, 2)) AS DOUBLE) AS total_usd,
+    CAST((2 * CAST(sum(price * 10000) AS HUGEINT) + 100 * count(*)) // (200 * count(*)) AS DOUBLE) / 100 AS avg_price_usd_per_mt,
+    count(DISTINCT imo) AS vessels
+  FROM {} GROUP BY ALL"""
+
 BRONZE = EVENTS + """, bronze AS (
   SELECT *, CASE WHEN l_orderkey % 31 = 0 THEN 2 ELSE 1 END AS schema_version, CAST(traded_at AS DATE) AS dt,
     round_even(usd, 2) AS total
@@ -147,13 +155,7 @@ BRONZE = EVENTS + """, bronze AS (
     FROM bronze WHERE schema_version = 1
   ) WHERE version = 1
 ), gold AS (
-  SELECT port, grade AS product, count(*) AS trades,
-    CAST(CAST(sum(tonnes) AS DECIMAL(20, 1)) AS DOUBLE) AS total_mt,
-    CAST(CAST(sum(total) AS DECIMAL(28, 2)) AS DOUBLE) AS total_usd,
-    CAST((2 * CAST(sum(price * 10000) AS HUGEINT) + 100 * count(*)) // (200 * count(*)) AS DOUBLE) / 100 AS avg_price_usd_per_mt,
-    count(DISTINCT imo) AS vessels
-  FROM silver GROUP BY ALL
-)"""
+""" + GOLD.format("silver") + ")"
 
 ISO = "'%Y-%m-%dT%H:%M:%S.%f'"
 
@@ -284,10 +286,17 @@ def oracle() -> dict[str, str]:
                 PARTITION BY dedup_key, is_valid AND NOT malformed ORDER BY arrival_seq) END AS n FROM inside
             ) SELECT request_id, count(*) FILTER (n = 1) AS accepted, count(*) FILTER (n > 1) AS duplicate,
             count(*) FILTER (n IS NULL) AS rejected, CAST(0 AS BIGINT) AS failed FROM numbered GROUP BY 1""",
-        "ingest_all_channels": f"""{OUTCOMES} SELECT source_system,
-            CASE source_system WHEN 'erp' THEN 'Batch' WHEN 'port-telemetry' THEN 'Stream' ELSE 'Api' END AS channel, count(*) FILTER (outcome = 'Accepted') AS accepted,
-            count(*) FILTER (outcome = 'Duplicate') AS duplicate, count(*) FILTER (outcome = 'Rejected') AS rejected,
-            CAST(0 AS BIGINT) AS failed FROM outcomes GROUP BY ALL""",
+        "ingest_all_channels": f"""{EVENTS}, via AS (
+              SELECT *, arrival_day * 86400000000 + arrival_tie AS instant,
+                CASE source_system WHEN 'erp' THEN channel WHEN 'port-telemetry' THEN 'Stream' ELSE 'Api' END AS via FROM checked
+            ), arrived AS (
+              SELECT *, CASE via WHEN 'Stream' THEN max(instant - CASE WHEN l_partkey % 5 = 0 THEN 259200000000 ELSE 0 END) OVER (
+                PARTITION BY source_system, via, l_orderkey % 4 ORDER BY arrival_seq) ELSE instant END AS arrived_at FROM via
+            ), numbered AS (
+              SELECT *, row_number() OVER (PARTITION BY dedup_key, is_valid ORDER BY arrived_at, arrival_seq) AS n FROM arrived
+            ) SELECT source_system, via AS channel, count(*) FILTER (is_valid AND n = 1) AS accepted,
+            count(*) FILTER (is_valid AND n > 1) AS duplicate, count(*) FILTER (NOT is_valid) AS rejected,
+            CAST(0 AS BIGINT) AS failed FROM numbered GROUP BY ALL""",
         "publish_envelope": f"""{EVENTS} SELECT dedup_key AS correlation_id, event_id AS message_id,
             'bunker.trade.recorded' AS subject, 'application/json' AS content_type, 1 AS schema_version,
             event_id AS "eventId", 'bunker.trade.recorded' AS "eventType", '1' AS "schemaVersion", source_system AS "sourceSystem",
@@ -440,7 +449,9 @@ def oracle() -> dict[str, str]:
               UNION ALL
               SELECT l.id, min(l.sent) FROM kept k JOIN log l ON l.id = k.id AND l.sent > k.sent + INTERVAL 10 MINUTE GROUP BY l.id
             ) SELECT id AS message_id, {iso("sent")} AS enqueued_at FROM kept""",
-        "gold_refresh": f"{BRONZE} SELECT * FROM gold",
+        "gold_refresh": f"""{BRONZE}, changed AS (
+              SELECT * REPLACE (CASE WHEN l_orderkey % 5 = 0 THEN 'XXMOV' ELSE port END AS port) FROM silver WHERE l_orderkey % 7 <> 0
+            ) {GOLD.format("changed")}""",
         "bus_landing": f"""{EVENTS} SELECT event_id, strftime(traded_at, '%Y-%m-%d') AS dt,
             CAST(CASE WHEN substr(event_id, 2, 1) < '8' THEN 0 ELSE 1 END AS BIGINT) AS landed_batch,
             CAST(CASE WHEN substr(event_id, 2, 1) < '8' THEN 0 ELSE 1 END AS BIGINT) AS batch_id, port,
@@ -453,4 +464,5 @@ def oracle() -> dict[str, str]:
             ) SELECT CAST(b AS BIGINT) AS batch_id, reason, count(*) AS letters FROM m, (VALUES (0), (1)) v(b)
             WHERE reason IS NOT NULL AND (b = 1 OR substr(event_id, 2, 1) < '8') GROUP BY ALL""",
     }
+    sql["silver_upsert"] = sql["silver_trades"]
     return {name: dedent(text).strip() for name, text in sql.items()}

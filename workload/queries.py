@@ -17,6 +17,7 @@ from quayside.operators.classify import claims_for, classify, first_valid, parse
 from quayside.operators.normalize import is_routable, normalize
 from quayside.operators.validate import explode_failures, rule_counts, trade_rules, validate
 from quayside.plans import medallion, reconcile
+from quayside.plans.layers import GoldStore, SilverStore
 from quayside.session import prepare, stored, work_path
 from quayside.sinks import landing, publish
 from quayside.sinks.deadletters import write_dead_letters
@@ -197,21 +198,30 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ingest_all_channels(spark: SparkSession, sf: str) -> DataFrame:
-    """Each source system through its own adapter, then one pipeline: outcomes per source system."""
-    records = I.source_records(spark, sf)
+    """One pipeline for records that came in through all channels: outcomes per source system and channel.
+
+    The erp's records come in pulls, messages and pushes, so that keys occur in several; the earliest arrival is
+    accepted. Every fifth message has a clock three days slow.
+    """
+    records = I.source_records(spark, sf, "l_orderkey", "l_partkey").withColumn("instant", I.arrival_micros())
     wire = records.withColumn("json", F.to_json("fields"))
-    pulls = wire.where("source_system = 'erp'").select(
+    pulls = wire.where("source_system = 'erp' AND channel = 'Batch'").select(
         F.concat(F.lit("["), "json", F.lit("]")).alias("body"),
-        F.col("arrival_seq.at").alias("pulled_at"),
+        F.col("instant").alias("pulled_at"),
         F.lpad(F.col("arrival_seq.position").cast("string"), 12, "0").alias("path"),
     )
-    sent = wire.where("source_system = 'port-telemetry'").select(
-        F.col("json").alias("value"), F.lit(0).alias("partition"), I.packed_arrival(F.col("arrival_seq")).alias("offset")
+    slow = F.when(F.col("l_partkey") % 5 == 0, F.lit(3 * 86_400_000_000)).otherwise(F.lit(0))
+    sent = wire.select(
+        "source_system", "channel", F.col("json").alias("value"), (F.col("l_orderkey") % 4).cast("int").alias("partition"),
+        I.packed_arrival(F.col("arrival_seq")).alias("offset"), F.timestamp_micros(F.col("instant") - slow).alias("timestamp"),
+    )
+    pushed = records.where("source_system = 'trading-desk' OR source_system = 'erp' AND channel = 'Api'").withColumn(
+        "arrival_seq", push.request_arrival(F.timestamp_micros("instant"), F.lit("request"), F.col("arrival_seq.position"))
     )
-    pushed = records.where("source_system = 'trading-desk'")
     union = all_channels(
         batch.batch_records(batch.pulled_fields(pulls), batch.BatchSource("erp")),
-        stream.stream_records(sent, stream.StreamSource("port-telemetry")),
+        stream.stream_records(sent.where("source_system = 'erp' AND channel = 'Stream'"), stream.StreamSource("erp")),
+        stream.stream_records(sent.where("source_system = 'port-telemetry'"), stream.StreamSource("port-telemetry")),
         push.well_formed(pushed),
     )
     return metrics.outcome_totals_by(parse(union, I.as_of()), ["source_system", "channel"])
@@ -539,9 +549,9 @@ def event_store(spark: SparkSession, sf: str) -> DataFrame:
     return read_landed(spark, _written(spark, sf, "events", lambda: first_valid(parsed_trades(spark, sf))))
 
 
-def _bronze_events(spark: SparkSession, sf: str) -> DataFrame:
+def _bronze_events(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     """Everything valid that was ever landed: replays, and some rows of a later schema version."""
-    return parsed_trades(spark, sf, "l_orderkey").where("is_valid").withColumn(
+    return parsed_trades(spark, sf, "l_orderkey", *extra).where("is_valid").withColumn(
         "schema_version", F.when(F.col("l_orderkey") % 31 == 0, 2).otherwise(F.col("schema_version"))
     )
 
@@ -596,7 +606,7 @@ def compact_partition(spark: SparkSession, sf: str) -> DataFrame:
         landing.write_landing(part, dates)
         landing.write_landing(part, batches, batch_id=half)
     landing.compact(spark, dates, work_path(spark, "staging"), "1996-01-01", "1996-12-31")
-    landing.compact_batches(spark, batches, 0)
+    landing.compact_landing(spark, batches, 0)
     found = read_bronze(spark, dates).withColumn("layout", F.lit("dates")).unionByName(
         read_bronze(spark, batches, batches=True).drop("batch_id").withColumn("layout", F.lit("batches"))
     )
@@ -799,11 +809,31 @@ def bus_landing_letters(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def silver_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Silver merged together from three rounds of bronze, the first two of them compacted."""
+    kept = SilverStore(work_path(spark, "silver-store"))
+    rounds = stored(_bronze_events(spark, sf, "l_suppkey"), "rounds")
+    for n in range(3):
+        kept.upsert(landing.file_rows(rounds.where(F.col("l_suppkey") % 3 == n)), n)
+        if n == 1:
+            kept.compact(spark, n)
+    return plain(kept.read(spark))
+
+
 def gold_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    """Gold from stored parts, all dates first and then a year of them once more."""
-    rows, root = stored(medallion.silver(bronze(spark, sf)), "silver"), work_path(spark, "gold-parts")
-    medallion.refresh_gold_parts(rows, root, "0001-01-01", "9999-12-31")
-    return plain(medallion.refresh_gold_parts(rows, root, "1996-01-01", "1996-12-31"))
+    """Gold kept up to date by differences: of all events some move to another date and port, and some are withdrawn."""
+    silver, gold = SilverStore(work_path(spark, "silver-store")), GoldStore(work_path(spark, "gold-store"))
+    events_ = stored(_bronze_events(spark, sf), "events")
+    gold.apply(*silver.upsert(landing.file_rows(events_), 0), 0)
+    later = events_.where(F.col("l_orderkey") % 5 == 0).withColumns(
+        {c: F.col(c) + F.expr(f"INTERVAL {days} DAYS") for c, days in (
+            ("ingested_at_utc", 3650), ("traded_at_utc", 40), ("occurred_at_utc", 40),
+        )}
+    ).withColumn("port", F.lit("XXMOV"))
+    gone = events_.where(F.col("l_orderkey") % 7 == 0).select("event_id").distinct().withColumn("ingested_at_utc", I.as_of())
+    gold.apply(*silver.upsert(landing.file_rows(later), 1, gone), 1)
+    gold.compact(spark, 1)
+    return plain(gold.read(spark))
 
 
 QUERIES = (
@@ -815,7 +845,7 @@ QUERIES = (
     publish_retries, dedupe_against_history, dedupe_reserve_release, dead_letters, dead_letter_summary,
     dead_letter_replay, inbox_expiry, src_batch_records, src_missing_record_id, src_push_guard,
     src_batch_admission, ingest_all_channels, stream_decode, publish_envelope, bus_schema_filter, bus_decode,
-    bus_landing, bus_landing_letters, gold_refresh, stream_ingest, stream_dedupe_window,
+    bus_landing, bus_landing_letters, gold_refresh, silver_upsert, stream_ingest, stream_dedupe_window,
 )
 
 
