@@ -1,0 +1,317 @@
+"""Filter orders, conversation repair and passages by recompression against brute force, and their corner cases."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quayside.llm import convrepair, filteraudit, queries, recompress
+
+SF = "/root/testdata/sf0.001"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, part string, step int"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in ("documents", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "s", 1, "clash", "clash", 7) for r in rows], DOCUMENTS)
+
+
+@pytest.mark.parametrize("name", ["op11_filter_orders", "op12_conversation_repair", "op13_recompressed_passages"])
+def test_queries_equal_their_sql(spark, duck, name):
+    got = queries.registered()[name](spark, SF)
+    want = duck.execute(queries.oracle()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+# --- filter orders ---------------------------------------------------------------------------
+
+
+def failures(doc_id, text, everything):
+    text = text or ""
+    words = WORDS.findall(text)
+    copies = [i for i, t in everything if (t or "") == text and i is not None and doc_id is not None and i < doc_id]
+    fails = {
+        "A": len(words) < 100,
+        "B": 100 * len(set(words)) < 80 * len(words),
+        "C": 100 * len(re.findall("[A-Z]", text)) > 10 * len(text),
+        "D": bool(re.search(r"[#$%&*|]", text)),
+        "E": bool(copies),
+    }
+    return {f for f, failed in fails.items() if failed}
+
+
+def audited(rows, labels):
+    every = [(i, t) for i, t, _ in rows]
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    out = {}
+    for part in {lang or "" for _, _, lang in rows}:
+        mine = [(i, failures(i, t, every)) for i, t, lang in rows if (lang or "") == part]
+        for order in map("".join, itertools.permutations("ABCDE")):
+            for step, letter in enumerate(order, 1):
+                earlier = set(order[: step - 1])
+                here = [i for i, f in mine if letter in f and not f & earlier]
+                out[part, order, step] = (
+                    sum(not f & (earlier | {letter}) for _, f in mine), len(here),
+                    sum(letter in f and bool(f & earlier) for _, f in mine), sum(f == {letter} for _, f in mine),
+                    sum(i in good for i in here), sum(i in toxic for i in here),
+                )
+    totals = {}
+    for (part, order, step), row in out.items():
+        key = part, order[step - 1]
+        totals[key] = totals.get(key, 0) + row[1]
+    return {k: (*row, totals[k[0], k[1][k[2] - 1]]) for k, row in out.items()}
+
+
+def test_filter_orders_against_every_order(spark):
+    long = " ".join(f"w{i}" for i in range(120))
+    rows = [
+        (1, long, "en"), (2, long, "de"), (3, long, None), (3, long, "en"), (None, long, "en"), (None, None, ""),
+        (4, None, "en"), (5, "", "en"), (6, " \t\n ", ""), (7, "SHOUT NOW", "en"), (8, "a " * 300, "de"), (9, "50 % off", "de"),
+        (10, "É É É", "fr"), (11, long + " #", "fr"), (12, long + " #", "fr"), (12, long + " #", "fr"), (13, "x" * 200_000, "fr"),
+    ]
+    labels = [(1, 1, 0), (2, 0, 1), (2, 1, None), (3, None, None), (12, 1, 1), (None, 1, 1), (99, 1, 1)]
+    found = filteraudit.audit(frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    got = {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in found.collect()}
+    assert found.columns[3:] == ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert got == audited(rows, labels)
+
+
+def test_filter_orders_of_nothing(spark):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert filteraudit.audit(frame(spark, [(1, "x", "en")]), labels).count() == 600
+    assert filteraudit.audit(frame(spark, [(1, "x", "en")]).limit(0), labels).count() == 0
+
+
+def test_more_parts_than_a_recursion_may_have_rows(spark):
+    """Spark's own limit for the rows of a recursion is for endless ones; here the rows grow with the parts."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
+    try:
+        cells = spark.range(40).selectExpr("cast(id as string) part", "cast(id % 8 as int) mask", "1L n", "0L good", "0L toxic")
+        assert filteraudit.filter_orders(cells, "ABC").count() == 40 * 6 * 3
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+# --- conversation repair ---------------------------------------------------------------------
+
+NEXT = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+
+def best_audits(rows):
+    """Least (cost, audit) by trying every edit; rows are (initial, fault)."""
+    best = {(0, ""): (0, "")}
+    done = []
+    frontier = [(0, "", 0, "")]
+    while frontier:
+        i, state, cost, audit = frontier.pop()
+        if i == len(rows) and state in ("", "a"):
+            done.append((cost, audit))
+        steps = [(i, "u" if state != "u" else "a", 2, "I")]
+        if i < len(rows):
+            initial, fault = rows[i]
+            cut = fault == convrepair.CUT
+            steps.append((i + 1, state, 3, "D"))
+            if fault != convrepair.DOOMED:
+                if initial in NEXT[state] and initial:
+                    steps.append((i + 1, initial, cut, "K"))
+                steps.append((i + 1, "u" if state != "u" else "a", 2 + cut, "R"))
+        for j, after, more, letter in steps:
+            reached = cost + more, audit + letter
+            if reached[0] <= 3 * len(rows) and (audit + letter)[-4:] != "IIII" and reached <= best.get((j, after), reached):
+                best[j, after] = reached
+                frontier.append((j, after, *reached))
+    return min(done)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["s", "u", "a", "x", ""]), st.sampled_from([0, 0, 0, 1, 2])), max_size=9))
+def test_audits_are_the_least_of_all(rows):
+    kinds = bytes(convrepair.kind(initial, fault) for initial, fault in rows)
+    audit = convrepair.audit_of(kinds)
+    assert (convrepair.cost_of(audit, kinds), audit) == best_audits(rows)
+
+
+def test_costs_meet_in_the_middle_wherever_it_is():
+    rng = random.Random(3)
+    kinds = bytes(rng.randrange(12) for _ in range(200))
+    whole = convrepair.backward(kinds, 0, len(kinds), list(convrepair.END))[0]
+    for middle in (1, 7, 100, 199):
+        costs, _ = convrepair.forward(kinds, 0, middle, 0)
+        rest = convrepair.backward(kinds, middle, len(kinds), list(convrepair.END))
+        assert min(a + b for a, b in zip(costs, rest)) == whole
+    assert convrepair.cost_of(convrepair.audit_of(kinds), kinds) == whole
+
+
+def damage(turns):
+    out = []
+    for conv, turn, role, text in turns:
+        harm = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if harm == 0:
+            continue
+        text = "" if harm == 1 else re.sub("[.!?]", "", text) if harm == 2 else text
+        out += [(conv, turn, "user" if harm == 4 else role, text)] * (2 if harm == 3 else 1)
+    return out
+
+
+def repair(rows):
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+    seen, kinds = set(), []
+    counts = dict.fromkeys(("blank", "duplicate", "truncated"), 0)
+    for _, _, role, text in rows:
+        said = text.rstrip(" \t\n\x0b\x0c\r")
+        fault = "blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else None
+        seen.add((role, text))
+        if fault:
+            counts[fault] += 1
+        kinds.append((role[:1], 0 if not fault else 2 if fault == "truncated" else 1))
+    illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    turns = [r[1] for r in rows if r[1] is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    cost, audit = best_audits(kinds) if kinds else (0, "")
+    out, state, at = [], "", iter(rows)
+    for letter in audit:
+        role, text = ("user" if state != "u" else "assistant"), ""
+        if letter != "I":
+            _, _, own, text = next(at)
+            role = own if letter == "K" else role
+        if letter != "D":
+            out.append(f"{role}:{text}")
+            state = role[0]
+    return (gaps, *counts.values(), illegal, cost, audit, hashlib.sha256("\n".join(out).encode()).hexdigest())
+
+
+def odd_turns():
+    rng = random.Random(11)
+    turns = [
+        (conv, rng.choice([None, *range(6)]), rng.choice(["system", "user", "assistant", "tool", "", None]), rng.choice(["Hi.", "So", " ", "", None, "No!  \n"]))
+        for conv in [None, *range(60)] for _ in range(rng.randrange(1, 8))
+    ]
+    dropped = next(c for c in range(1000, 9999) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    return [*turns, (dropped, 0, "user", "All rows of this one are lost."), (5000, 0, "user", "é" * 300_000)]
+
+
+@pytest.mark.parametrize("held_bytes", [convrepair.HELD_BYTES, 70])
+def test_repairs_of_odd_conversations(spark, held_bytes):
+    turns = odd_turns()
+    rows = spark.createDataFrame([(*t, "clash", 1) for t in turns], "conv_id bigint, turn bigint, role string, text string, audit string, cost int")
+    found = convrepair.repaired(convrepair.damaged(rows), held_bytes)
+    got = {r.conv_id: tuple(r)[1:] for r in found.collect()}
+    left = damage(turns)
+    assert got == {conv: repair([r for r in left if r[0] == conv]) for conv in {t[0] for t in turns}}
+
+
+def test_no_conversations_to_repair(spark):
+    none = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert convrepair.repaired(convrepair.damaged(none)).collect() == []
+
+
+def test_a_conversation_of_many_turns():
+    kinds = bytes([convrepair.kind("u", 0), convrepair.kind("a", 0), convrepair.kind("a", 2)] * 3000)
+    audit = convrepair.audit_of(kinds)
+    assert convrepair.cost_of(audit, kinds) == convrepair.backward(kinds, 0, len(kinds), list(convrepair.END))[0]
+    assert len(audit) - audit.count("I") == len(kinds)
+
+
+# --- passages --------------------------------------------------------------------------------
+
+
+def without_passages(rows, window):
+    texts = [(i, WORDS.findall(t or "")) for i, t, *_ in rows]
+    first = {}
+    for i, words in texts:
+        for k in range(len(words) - window + 1):
+            if i is not None:
+                run = tuple(words[k : k + window])
+                first[run] = min(first.get(run, i), i)
+    out = []
+    for i, words in texts:
+        gone = set()
+        for k in range(len(words) - window + 1):
+            if i is not None and first[tuple(words[k : k + window])] < i:
+                gone.update(range(k, k + window))
+        kept = [w for k, w in enumerate(words) if k not in gone]
+        out.append((i, len(words), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def random_rows(rng, letters, n):
+    base = [f"w{rng.randrange(letters)}" for _ in range(80)]
+    rows = []
+    for i in range(n):
+        a, b = ([f"w{rng.randrange(letters)}" for _ in range(rng.randrange(12))] for _ in range(2))
+        start = rng.randrange(60)
+        middle = base[start : start + rng.randrange(40)]
+        if middle and rng.random() < 0.3:
+            middle[rng.randrange(len(middle))] = "changed"
+        rows.append((rng.choice([i, i, rng.randrange(n), None]), " ".join(a + middle + b), "en"))
+    return rows
+
+
+@pytest.mark.parametrize("letters,window,rounds", [(1, 5, 4), (2, 6, 4), (3, 10, 2), (30, 8, 4), (30, 20, 6), (2, 12, 0)])
+def test_passages_against_every_window(spark, letters, window, rounds):
+    rows = random_rows(random.Random(letters * window + rounds), letters, 60)
+    got = recompress.without_earlier_passages(frame(spark, rows), window, rounds)
+    assert sorted(map(tuple, got.collect()), key=repr) == without_passages(rows, window)
+
+
+def test_passages_of_odd_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [
+        (1, passage, "en"), (2, f"before {passage} after", "en"), (2, f"before {passage} after", "en"), (2, passage + " x", "en"),
+        (3, None, "en"), (4, "", "en"), (5, " \t\n\x0b ", None), (6, "la " * 3000, "en"), (7, "la " * 49, "en"), (8, "la " * 60, "en"),
+        (None, passage, "en"), (0, "ab ba " * 100, "en"), (9, "ba ab " * 90, "en"), (10, passage.upper(), "en"),
+        (11, "y" * 300_000 + " " + passage.replace(" ", "\n"), "en"),
+    ]
+    got = recompress.without_earlier_passages(frame(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=repr) == without_passages(rows, recompress.WINDOW)
+
+
+def test_passages_of_no_documents(spark):
+    assert recompress.without_earlier_passages(frame(spark, [(1, "x", "en")]).limit(0)).collect() == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=40), min_size=1, max_size=6), st.integers(2, 15), st.integers(0, 6))
+def test_equal_windows_take_equal_symbols(texts, window, rounds):
+    """What the passages rest on: a window alone says which symbol it takes, and where."""
+    array = pa.array([" ".join(f"w{i}" for i in t) for t in texts])
+    words, rows, hashes = recompress._words_of(array)
+    row, start, lo, hi = recompress.symbols_of_windows(hashes, rows, window, rounds)
+    assert len(row) == sum(max(len(t) - window + 1, 0) for t in texts)
+    said, taken = words.to_pylist(), {}
+    for s, a, b in zip(start, lo, hi):
+        assert s <= a < b <= s + window
+        assert taken.setdefault(tuple(said[s : s + window]), (a - s, b - s)) == (a - s, b - s)
+
+
+def test_symbols_grow_from_round_to_round():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    names, lo, hi = recompress.placed(words, np.array([0, 5000]), 50)
+    stop = np.zeros(len(names), bool)
+    stop[[0, -1]] = True
+    for number in range(1, 5):
+        before = len(names)
+        names, lo, hi, stop = recompress.next_round(names, lo, hi, stop, number)
+        assert len(names) < 0.85 * before
+        assert (np.diff(lo) >= 0).all() and (np.diff(hi) >= 0).all()
