@@ -13,30 +13,43 @@ from quayside.llm import common, cube, idcoder, oddsketch, phrases, queries, ran
 SHARE_BELOW, MARGIN = 0.001, 0.05
 SHINGLE, PERCENT = 5, 80
 
+# Rows of whole texts that Spark hands to a Python worker at a time. Its 10,000 are some 35 MB of text, which executor
+# and worker hold several times over, for each step of a task; a tenth of that is what the operators cut them into anyway.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones are in. Unlabelled documents are judged by text, too."""
+    _small_batches(spark)
     learned = ranklang.profiles(docs)
     return ranklang.in_a_known_language(docs, learned, ranklang.least_scores(docs, learned, SHARE_BELOW, MARGIN))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near duplicates."""
+    _small_batches(spark)
     return oddsketch.without_near_duplicates(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    _small_batches(spark)
     return phrases.without_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    _small_batches(spark)
     return cube.mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place, number and checksum of every document's ids, read back from the files."""
+    _small_batches(spark)
     return idcoder.encoded_documents(docs, queries.vocabulary("word_bpe_49k.json"), queries.END_ID)
 
 
