@@ -29,27 +29,36 @@ def kept_after(times: pd.Series, last: pd.Timestamp | None, window: pd.Timedelta
 
 
 def dedupe_within_window(
-    messages: DataFrame, message_id: str = "message_id", enqueued_at: str = "enqueued_at", window: pd.Timedelta = WINDOW
+    messages: DataFrame, message_id: str = "message_id", enqueued_at: str = "enqueued_at", window: pd.Timedelta = WINDOW,
+    lateness: pd.Timedelta = WINDOW,
 ) -> DataFrame:
     """Drop messages whose id was kept at most ``window`` before.
 
     The clock is the enqueue time, never the trade time: late trades are welcome. State is one instant per id,
-    that of the last message kept. Messages of an id are taken in enqueue order, so the result is the same for one
+    that of the last message kept, and ends when the watermark has passed its window: it has the ids of the last
+    window and of ``lateness``, not of all time. Messages of an id are taken in enqueue order, so the result is the same for one
     micro-batch and for many, as long as batches follow each other in that order, as a queue delivers them. A task
     holds one id's messages of one micro-batch; ``dedupe_batch`` does not, and is for batches of any size.
     """
     state = T.StructType().add("last", T.LongType())
 
     def dedupe(_: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(chunks)).sort_values(enqueued_at, kind="stable")
         last = pd.Timestamp(held.get[0], unit="us") if held.exists else None
         kept, last = kept_after(rows[enqueued_at], last, window)
         if last is not None:
             held.update((last.value // 1000,))
+            # One millisecond more, for a message after exactly one window still goes.
+            end = (last + window).value // 1_000_000 + 1
+            held.setTimeoutTimestamp(max(end, held.getCurrentWatermarkMs() + 1))
         yield rows.iloc[kept]
 
-    return messages.groupBy(message_id).applyInPandasWithState(
-        dedupe, messages.schema, state, "append", GroupStateTimeout.NoTimeout
+    timed = messages.withWatermark(enqueued_at, f"{int(lateness.total_seconds())} seconds")
+    return timed.groupBy(message_id).applyInPandasWithState(
+        dedupe, messages.schema, state, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -85,6 +94,7 @@ def _first_of_chains(rows: DataFrame, window: int) -> DataFrame:
 def dedupe_batch(
     batch: DataFrame, batch_id: int, out: str, state: str,
     message_id: str = "message_id", enqueued_at: str = "enqueued_at", window: pd.Timedelta = WINDOW,
+    lateness: pd.Timedelta = pd.Timedelta(0),
 ) -> None:
     """Write what ``dedupe_within_window`` keeps of a micro-batch of any size, for ``foreachBatch``.
 
@@ -93,13 +103,14 @@ def dedupe_batch(
     * A message more than a window after the one before it is always kept. So an id is cut into sessions there,
       found from the least and greatest instant of each stretch of a window's length, of which an id has no more than its time
       span allows. Each session is streamed through a task in order.
-    * ``out`` has a folder per batch. ``state`` has the last kept instant of every id in two folders that take turns,
-      so a batch that is delivered again reads what it read before.
+    * ``out`` has a folder per batch. ``state`` has the last kept instant of the ids of the last window in two folders that take turns,
+      so a batch that is delivered again reads what it read before. What is a window and ``lateness`` older than the newest message
+      is forgotten: later batches bring nothing that it could still decide.
 
-    A message without an instant is kept if nothing else is known of its id, once.
+    A message without an instant is kept if nothing else is known of its id, once in a window of the batches' newest messages.
     """
     spark, length = batch.sparkSession, window.value // 1000
-    kept_type = T.StructType([T.StructField("id", batch.schema[message_id].dataType), T.StructField("last", T.LongType())])
+    kept_type = T.StructType([T.StructField("id", batch.schema[message_id].dataType)]).add("last", T.LongType()).add("newest", T.LongType())
     before = read_or_empty(spark, kept_type, f"{state}/{(batch_id - 1) % 2}") if batch_id else spark.createDataFrame([], kept_type)
 
     distinct = stored(batch.dropDuplicates([message_id, enqueued_at]), "messages")
@@ -126,5 +137,9 @@ def dedupe_batch(
     found = F.col(message_id).eqNullSafe(F.col("kept_id")) & F.unix_micros(F.col(enqueued_at).cast("timestamp")).eqNullSafe(F.col("kept_at"))
     distinct.join(chosen, found, "left_semi").write.mode("overwrite").parquet(batch_folder(out, batch_id))
 
-    known = before.unionByName(kept.select("id", F.col("at").alias("last")))
-    known.groupBy("id").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{state}/{batch_id % 2}")
+    newest = rows.select("at").union(before.select("newest")).agg(F.max("at")).first()[0]
+    known = before.unionByName(kept.select("id", F.col("at").alias("last"), F.lit(newest).cast("bigint").alias("newest")))
+    known = known.groupBy("id").agg(F.max("last").alias("last"), F.max("newest").alias("newest"))
+    if newest is not None:
+        known = known.where(F.coalesce("last", "newest") >= newest - length - lateness.value // 1000)
+    known.write.mode("overwrite").parquet(f"{state}/{batch_id % 2}")

@@ -18,7 +18,10 @@ from quayside.sources.store import read_stored
 from quayside.sinks.keyindex import KeyedStore
 from quayside.sources.live import live_folders, read_live
 from quayside.streaming.buslanding import BusStore, compact_bus_store, land_bus_batch, start_bus_landing
-from quayside.streaming.ingest import OUTCOMES, Store, batch_clock, compact_store, ingest_batch, start_ingest
+from quayside.sources.arriving import PUSHED
+from quayside.sources.batch import BatchSource
+from quayside.streaming.attempts import EXCEEDED, evaluate, guarded
+from quayside.streaming.ingest import COUNTS, OUTCOMES, Store, batch_clock, compact_store, ingest_batch, start_all_channels, start_ingest
 
 NOW = datetime(2026, 8, 2, 10, 0, tzinfo=timezone.utc)
 
@@ -175,6 +178,107 @@ def test_a_hot_id_is_deduped_in_sessions(spark, tmp_path, batches):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def test_dedupe_state_has_the_ids_of_the_last_window_only(spark, tmp_path):
+    schema, out, state = "message_id string, enqueued_at timestamp", str(tmp_path / "out"), str(tmp_path / "state")
+    for k in range(4):
+        rows = [(f"m{k}-{i}", NOW + timedelta(minutes=15 * k + i)) for i in range(8)] + [("hot", NOW + timedelta(minutes=15 * k + 7))]
+        dedupe_batch(spark.createDataFrame(rows, schema), k, out, state)
+        known = {r.id: r.last for r in spark.read.parquet(f"{state}/{k % 2}").collect()}
+        assert set(known) == {f"m{k}-{i}" for i in range(8)} | {"hot"}
+    # A message after exactly ten minutes still goes, whatever was forgotten.
+    late = NOW + timedelta(minutes=15 * 3 + 17)
+    dedupe_batch(spark.createDataFrame([("hot", late), ("m3-7", late + timedelta(seconds=1))], schema), 4, out, state)
+    last = spark.read.schema(schema).parquet(f"{out}/batch_id=4").collect()
+    assert [r.message_id for r in last] == ["m3-7"]
+
+
+def test_streaming_dedupe_state_expires(spark, tmp_path):
+    schema, source, checkpoint = "message_id string, enqueued_at timestamp", str(tmp_path / "log"), str(tmp_path / "cp")
+    for k in range(4):
+        rows = [(f"m{k}-{i}", NOW + timedelta(hours=k, minutes=i)) for i in range(5)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    query = (
+        dedupe_within_window(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
+        .writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .start(str(tmp_path / "out"), format="parquet")
+    )
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20 and held[-1] == 5
+
+
+def breaks_on(*ids):
+    def transform(records):
+        bad = F.col("source_record_id").isin(*ids)
+        return records.withColumn("source_system", F.when(bad, F.raise_error(F.lit("cannot be read"))).otherwise(F.col("source_system")))
+
+    return lambda records, batch_id, where, now: ingest_batch(transform(records), batch_id, where, now), lambda records: evaluate(transform(records))
+
+
+def test_records_that_always_fail_become_dead_letters_after_the_last_attempt(spark, topic, store):
+    topic.send(*[trade(f"PT-{i}") for i in range(12)], trade("PT-7", quantityMt="9"))
+    sink = guarded(*breaks_on("PT-7", "PT-3"), most=2)
+    with pytest.raises(Exception, match="cannot be read"):
+        run(spark, topic, store, sink)
+    run(spark, topic, store, sink)
+    assert [rid for rid, _, _ in landed(spark, store)] == sorted(f"PT-{i}" for i in range(12) if i not in (3, 7))
+    letters = spark.read.parquet(store.dead_letters).collect()
+    assert sorted((x.record.source_record_id, x.reason) for x in letters) == [("PT-3", EXCEEDED), ("PT-7", EXCEEDED), ("PT-7", EXCEEDED)]
+    topic.send(trade("PT-3", quantityMt="5"), trade("PT-20"))
+    with pytest.raises(Exception, match="cannot be read"):
+        run(spark, topic, store, sink)  # attempts are counted per batch
+    counts = {(r.batch_id, r.measure): r.n for r in read_live(spark, store.counts, COUNTS).collect()}
+    assert counts == {(0, "arrived"): 13, (0, "accepted"): 10, (0, "discarded"): 3}
+
+
+def test_an_error_that_no_record_causes_is_raised(spark, topic, store):
+    topic.send(trade("PT-1"))
+
+    def broken(records, batch_id, where, now):
+        raise RuntimeError("store unavailable")
+
+    with pytest.raises(Exception, match="store unavailable"):
+        run(spark, topic, store, guarded(broken, evaluate, most=1))
+
+
+def test_all_channels_in_one_query(spark, topic, store, tmp_path):
+    """Pulls overlap, a message and a push have keys of their own systems; what is no record is counted."""
+    pulls, pushes = tmp_path / "pulls", str(tmp_path / "pushes")
+    pulls.mkdir()
+
+    def pull(name, *ids):
+        (pulls / name).write_text(json.dumps([{**BASE, "sourceRecordId": i} for i in ids]))
+
+    def push(*ids):
+        rows = [("r1", NOW, k, "trading-desk", i, {**BASE}) for k, i in enumerate(ids)]
+        spark.createDataFrame(rows, PUSHED).coalesce(1).write.mode("append").parquet(pushes)
+
+    def go():
+        start_all_channels(
+            spark, file_messages(spark, topic.path), StreamSource(), [BatchSource("erp", str(pulls)), BatchSource("off", "x", enabled=False)],
+            pushes, store, NOW, available_now=True,
+        ).awaitTermination()
+
+    pull("1.json", "E-1", "E-2")
+    topic.send(trade("PT-1"), "junk")
+    push("T-1", "T-1")
+    go()
+    pull("2.json", "E-2", "E-3")
+    topic.send(trade("PT-1"))
+    go()
+    rows = read_landed(spark, store.landing, batches=True).select("source_system", "source_record_id", "channel", "batch_id").collect()
+    assert sorted(map(tuple, rows)) == [
+        ("erp", "E-1", "Batch", 0), ("erp", "E-2", "Batch", 0), ("erp", "E-3", "Batch", 1), ("port-telemetry", "PT-1", "Stream", 0),
+        ("trading-desk", "T-1", "Api", 0),
+    ]
+    counts = {(r.batch_id, r.channel, r.measure): r.n for r in read_live(spark, store.counts, COUNTS).collect()}
+    assert counts == {
+        (0, "Stream", "arrived"): 2, (0, "Stream", "discarded"): 1, (0, "Stream", "accepted"): 1, (0, "Batch", "accepted"): 2,
+        (0, "Api", "accepted"): 1, (0, "Api", "duplicate"): 1, (1, "Stream", "arrived"): 1, (1, "Stream", "duplicate"): 1,
+        (1, "Batch", "accepted"): 1, (1, "Batch", "duplicate"): 1,
+    }
+
+
 def scanned_files(df):
     """Files that the scans of a frame would read."""
     return df.inputFiles()

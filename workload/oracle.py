@@ -449,6 +449,19 @@ def oracle() -> dict[str, str]:
               UNION ALL
               SELECT l.id, min(l.sent) FROM kept k JOIN log l ON l.id = k.id AND l.sent > k.sent + INTERVAL 10 MINUTE GROUP BY l.id
             ) SELECT id AS message_id, {iso("sent")} AS enqueued_at FROM kept""",
+        "stream_counts": f"""WITH {LINES}, {CHECKED}, sent AS (
+              SELECT *, CASE {" ".join(f"WHEN arrival_day < {end} THEN {i}" for i, end in enumerate(RUN_ENDS))} ELSE {len(RUN_ENDS)} END AS run,
+                l_partkey % 29 <> 0 AND l_partkey % 31 <> 0 AS is_record FROM checked
+            ), numbered AS (
+              SELECT *, row_number() OVER (PARTITION BY source_record_id, is_record AND is_valid ORDER BY run, arrival_seq) AS nth FROM sent
+            ), told AS (
+              SELECT run, unnest(['arrived', CASE WHEN NOT is_record THEN 'discarded' WHEN NOT is_valid THEN 'rejected'
+                WHEN nth = 1 THEN 'accepted' ELSE 'duplicate' END]) AS measure FROM numbered
+            ) SELECT CAST(run AS BIGINT) AS batch_id, 'Stream' AS channel, measure, count(*) AS n FROM told GROUP BY ALL""",
+        "stream_all_channels": f"""{EVENTS} SELECT event_id, source_system,
+            CASE source_system WHEN 'erp' THEN 'Batch' WHEN 'port-telemetry' THEN 'Stream' ELSE 'Api' END AS channel,
+            {double("tonnes")} AS quantity_mt, {double("price")} AS price_usd_per_mt, strftime(traded_at, '%Y-%m-%d') AS dt,
+            CAST(arrival_day >= {CUT_DAY} AS BIGINT) AS batch_id FROM accepted""",
         "gold_refresh": f"""{BRONZE}, changed AS (
               SELECT * REPLACE (CASE WHEN l_orderkey % 5 = 0 THEN 'XXMOV' ELSE port END AS port) FROM silver WHERE l_orderkey % 7 <> 0
             ) {GOLD.format("changed")}""",

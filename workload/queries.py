@@ -25,7 +25,8 @@ from quayside.sources import all_channels, batch, bus, push, store, stream
 from quayside.sources.landed import batch_folder, read_bronze, read_landed, read_or_empty, snake_columns
 from quayside.streaming.buslanding import BusStore, land_bus_batch
 from quayside.streaming.dedupe import dedupe_batch
-from quayside.streaming.ingest import Store, start_ingest
+from quayside.sources.live import read_live
+from quayside.streaming.ingest import COUNTS, Store, start_all_channels, start_ingest
 from workload import inputs as I
 
 ROW = ("source_record_id", "arrival_seq")
@@ -704,8 +705,10 @@ def events_page_info(spark: SparkSession, sf: str) -> DataFrame:
 RUN_ENDS = (9900, 10800)
 
 
-def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines through the streaming pipeline in three scheduled runs; what landed, and when."""
+def _ingested(spark: SparkSession, sf: str) -> Store:
+    key = (spark.sparkContext.applicationId, sf, "stream-ingest")
+    if key in _WRITTEN:
+        return Store(_WRITTEN[key])
     t = I.lines(spark, sf)
     wire = I.as_records(t, "arrival_day", "arrival_tie", "l_partkey")
     value = (
@@ -733,20 +736,86 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
             now=datetime.fromisoformat("2026-08-02T10:00:00+00:00"), available_now=True,
         )
         run.awaitTermination()
-    landed = read_landed(spark, kept.landing, batches=True)
+    _WRITTEN[key] = kept.root
+    return kept
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines through the streaming pipeline in three scheduled runs; what landed, and when."""
+    landed = read_landed(spark, _ingested(spark, sf).landing, batches=True)
     return plain(landed.select("event_id", "source_record_id", "trade_reference", "quantity_mt", "total_usd", "dt", "batch_id"))
 
 
+def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the streaming pipeline counted per micro-batch: messages that came, were no record, and every outcome."""
+    return read_live(spark, _ingested(spark, sf).counts, COUNTS).select("batch_id", "channel", "measure", "n")
+
+
+# Records of a pull, about; there are eight at least.
+PULL_RECORDS = 5_000
+
+
+def stream_all_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Pulls, messages and pushes through one streaming query in two scheduled runs; what landed through which channel.
+
+    The second run's pulls bring half of the first one's records again.
+    """
+    records = I.source_records(spark, sf, "l_orderkey").withColumns(
+        {"instant": I.arrival_micros(), "later": F.col("arrival_seq.at") >= I.CUT_DAY, "json": F.to_json("fields")}
+    )
+    records = stored(records, "arrivals")
+    topic, pulls, pushes, kept = (work_path(spark, n) for n in ("topic", "pulls", "pushes", "channels"))
+    erp = records.where("source_system = 'erp'")
+    parts = max(8, -(-erp.count() // PULL_RECORDS))
+    of_pulls = erp.withColumn("part", F.col("l_orderkey") % parts)
+    for run_no, now_in in enumerate((~F.col("later"), F.col("later"))):
+        again = ~F.col("later") & (F.col("part") % 2 == 0) if run_no else F.lit(False)
+        body = F.transform(F.sort_array(F.collect_list(F.struct("instant", "json"))), lambda r: r["json"])
+        drop = of_pulls.where(now_in | again).groupBy("part").agg(F.concat(F.lit("["), F.array_join(body, ","), F.lit("]")).alias("value"))
+        drop.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(pulls)
+        records.where(now_in & (F.col("source_system") == "port-telemetry")).select(
+            F.col("source_record_id").alias("key"), F.col("json").alias("value"), F.lit("trades.raw").alias("topic"),
+            (F.col("l_orderkey") % 4).cast("int").alias("partition"), I.packed_arrival(F.col("arrival_seq")).alias("offset"),
+            F.timestamp_micros("instant").alias("timestamp"),
+        ).write.mode("append").parquet(topic)
+        records.where(now_in & (F.col("source_system") == "trading-desk")).select(
+            F.lit("request").alias("request_id"), F.timestamp_micros("instant").alias("received_at"), F.lit(0).cast("bigint").alias("place"),
+            "source_system", "source_record_id", "fields",
+        ).write.mode("append").parquet(pushes)
+        run = start_all_channels(
+            spark, stream.file_messages(spark, topic), stream.StreamSource(), [batch.BatchSource("erp", pulls)], pushes,
+            Store(kept), now=datetime.fromisoformat("2026-08-02T10:00:00+00:00"), available_now=True,
+        )
+        run.awaitTermination()
+    landed = read_landed(spark, Store(kept).landing, batches=True)
+    return plain(landed.select("event_id", "source_system", "channel", "quantity_mt", "price_usd_per_mt", "dt", "batch_id"))
+
+
+# Messages of a file of the log at most; a micro-batch takes a file.
+LOG_FILE, LEAST_FILES = 2_000_000, 6
+
+
 def stream_dedupe_window(spark: SparkSession, sf: str) -> DataFrame:
-    """The event log as a message stream, what comes within ten minutes of a kept message of its id dropped."""
-    log = I.table(spark, sf, "events").select(
+    """The event log as a message stream, what comes within ten minutes of a kept message of its id dropped.
+
+    The log comes in files that follow each other in time, each a micro-batch; state is carried between them.
+    """
+    log = stored(I.table(spark, sf, "events").select(
         F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("message_id"),
         F.col("ts").cast("timestamp").alias("enqueued_at"),
-    )
+    ), "events-log")
     folder, out, state, checkpoint = (work_path(spark, n) for n in ("log", "deduped", "dedupe-state", "dedupe-checkpoint"))
-    log.write.parquet(folder)
+    seconds = F.unix_seconds("enqueued_at")
+    span = log.agg(F.min(seconds), F.max(seconds), F.count("*")).first()
+    files = max(LEAST_FILES, -(-span[2] // LOG_FILE))
+    length = max((span[1] - span[0]) // files + 1, 1) if span[2] else 1
+    for n in range(files if span[2] else 0):
+        of_file = F.floor((seconds - F.lit(span[0])) / F.lit(length)) == n
+        log.where(F.coalesce(of_file, F.lit(n == 0))).coalesce(1).write.mode("append").parquet(folder)
+    if not span[2]:
+        log.write.parquet(folder)
     run = (
-        spark.readStream.schema(log.schema).parquet(folder)
+        spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(folder)
         .writeStream.foreachBatch(lambda batch, batch_id: dedupe_batch(batch, batch_id, out, state))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -845,7 +914,7 @@ QUERIES = (
     publish_retries, dedupe_against_history, dedupe_reserve_release, dead_letters, dead_letter_summary,
     dead_letter_replay, inbox_expiry, src_batch_records, src_missing_record_id, src_push_guard,
     src_batch_admission, ingest_all_channels, stream_decode, publish_envelope, bus_schema_filter, bus_decode,
-    bus_landing, bus_landing_letters, gold_refresh, silver_upsert, stream_ingest, stream_dedupe_window,
+    bus_landing, bus_landing_letters, gold_refresh, silver_upsert, stream_ingest, stream_counts, stream_all_channels, stream_dedupe_window,
 )
 
 
