@@ -4,6 +4,8 @@ Texts are handled as whole Arrow buffers: numpy finds the words of all texts of
 dictionary encoding turns equal words into equal numbers. Nothing here is per word in Python.
 """
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,8 +32,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hand_back_memory() -> None:
+    """Return what a task has freed to the system: its worker process goes on to other tasks, or waits beside them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            hand_back_memory()
+
+    return df.mapInArrow(run, schema)
 
 
 def byte_table(separators: Iterable[int] | None = None) -> np.ndarray:

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import written
+from quayside.llm.common import map_arrow, written
 
 EDGES = "a bigint, b bigint"
 
@@ -46,8 +46,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Minima are combined before the shuffle; they come back over a join, whose hot keys adaptive execution
     splits. Rounds are written to the shared folder.
     """
-    start = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b").mapInArrow(_contract, EDGES)
-    current = written(start.distinct(), "edges")
+    start = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).where("a <> b")
+    current = written(map_arrow(start, _contract, EDGES).distinct(), "edges")
     seen = None
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -157,7 +157,7 @@ def predict(docs: DataFrame, learned: dict[str, list[int]], size: int = PROFILE,
             yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], [*kept, *into])
 
     schema = docs.select(*kept).schema.add(into[0], "string").add(into[1], "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return map_arrow(docs.select(*kept), run, schema)
 
 
 # Scores are counted in steps of this size.
