@@ -9,7 +9,9 @@ the shortest there, shifts it by the term's place in the window, and intersects
 rarest terms. Windows go to the tasks in blocks of bounded size; more items make more blocks, not larger ones.
 
 Cases. Null and empty texts have no words. An item without words has no window; an item with fewer words than
-a window is one window. Repeated documents are searched each; repeated items and windows count once.
+a window is one window. Documents are told apart by shard and row, not by id: repeated ones, and those without an id,
+are searched each. Repeated items and windows count once. Items without an id are searched, too: their words are hit and make
+a document contaminated, but there is nothing to name, so they are not among its items.
 """
 
 import hashlib
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,8 @@ WINDOW = 10
 # Bytes of item text whose windows are sent to the tasks at once.
 BLOCK_BYTES = 8 << 20
 
-SHARD = "doc_ids binary, has_id binary, doc_starts binary, terms array<binary>, term_starts binary, positions binary"
-FOUND = "doc_id bigint, n_words bigint, spans array<struct<first:int,last:int>>, items array<string>"
+SHARD = "shard bigint, doc_ids binary, has_id binary, doc_starts binary, terms array<binary>, term_starts binary, positions binary"
+FOUND = "shard bigint, row int, doc_id bigint, n_words bigint, spans array<struct<first:int,last:int>>, items array<string>"
 
 
 def _frame(columns: dict) -> pa.RecordBatch:
@@ -38,8 +41,8 @@ def _frame(columns: dict) -> pa.RecordBatch:
 class Queries:
     """Windows of a block of items: term numbers (padded with -1), lengths, and the items that hold them."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        names = sorted({i for i, _ in items})
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        names = sorted({i for i, _ in items if i is not None})
         place = {n: k for k, n in enumerate(names)}
         words, rows = split_words(pa.array([t for _, t in items], pa.string()), ALNUM_WORDS)
         texts = words.to_pylist()
@@ -49,7 +52,9 @@ class Queries:
         for k, (item, _) in enumerate(items):
             coded = [number[w] for w in texts[rows[k] : rows[k + 1]]]
             for at in range(max(1, len(coded) - window + 1) if coded else 0):
-                holders.setdefault(tuple(coded[at : at + window]), set()).add(place[item])
+                held = holders.setdefault(tuple(coded[at : at + window]), set())
+                if item is not None:
+                    held.add(place[item])
         found = sorted(holders)
         self.names = names
         self.length = np.array([len(w) for w in found], np.int64)
@@ -62,11 +67,11 @@ class Queries:
 
 def query_blocks(items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Queries]:
     """Items (item_id, text) in blocks of about ``block_bytes``; an empty table has no block."""
-    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    texts = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes)
     for block in range(blocks):
-        part = texts.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        part = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         yield Queries([(r.item_id, r.text) for r in part.collect()], window)
 
 
@@ -74,7 +79,7 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
     """Documents (doc_id, text) -> written shards with the postings of ``terms``."""
     def shards(batches):
         wanted = pa.array(terms, pa.binary())
-        for batch in slices(batches):
+        for number, batch in enumerate(slices(batches)):
             codes, distinct, rows = encoded_words(batch.column("text"), ALNUM_WORDS)
             known = pc.index_in(distinct, value_set=wanted).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             term = known[codes] if len(codes) else np.zeros(0, np.int64)
@@ -85,6 +90,7 @@ def build_index(docs: DataFrame, terms: list[bytes]) -> DataFrame:
             ids = batch.column("doc_id")
             yield _frame(
                 {
+                    "shard": pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64()),
                     "doc_ids": [ids.fill_null(0).to_numpy().astype("<i8").tobytes()],
                     "has_id": [ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()],
                     "doc_starts": [rows.astype("<i8").tobytes()],
@@ -101,6 +107,7 @@ class Shard:
     """One shard in memory: its documents and its posting lists, as numbered by a set of queries."""
 
     def __init__(self, row: dict, number: dict[bytes, int], n_terms: int):
+        self.number = row["shard"]
         ids = np.frombuffer(row["doc_ids"], "<i8")
         has = np.frombuffer(row["has_id"], np.uint8)
         self.doc_ids = [int(i) if h else None for i, h in zip(ids, has, strict=True)]
@@ -182,12 +189,14 @@ def _rows(shard: Shard, spans: list, items: list[list[str]]) -> pa.RecordBatch:
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     return pa.RecordBatch.from_arrays(
         [
+            pa.array([shard.number] * len(shard.doc_ids), pa.int64()),
+            pa.array(range(len(shard.doc_ids)), pa.int32()),
             pa.array(shard.doc_ids, pa.int64()),
             pa.array(np.diff(shard.doc_starts), pa.int64()),
             pa.array(spans, kind),
             pa.array(items, pa.list_(pa.string())),
         ],
-        ["doc_id", "n_words", "spans", "items"],
+        ["shard", "row", "doc_id", "n_words", "spans", "items"],
     )
 
 
@@ -240,18 +249,20 @@ RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: words, words inside a matched window, and the items whose windows occur.
 
-    Needs unique ``doc_id`` only if the items fill more than one block; then the blocks' spans meet by it.
+    The index has the terms of all blocks and is built once. What blocks find meets by shard and row.
     """
-    found = [search(build_index(docs, q.terms), q) for q in query_blocks(items, window, block_bytes)]
-    if not found:
-        nothing = Queries([], window)
-        found = [search(build_index(docs, nothing.terms), nothing)]
+    terms: set[bytes] = set()
+    for block in query_blocks(items, window, block_bytes):
+        terms.update(block.terms)
+    shards = build_index(docs, sorted(terms))
+    found = [search(shards, q) for q in query_blocks(items, window, block_bytes)] or [search(shards, Queries([], window))]
     merged = found[0]
     if len(found) > 1:
         for part in found[1:]:
             merged = merged.union(part)
-        merged = merged.groupBy("doc_id", "n_words").agg(
-            F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+        merged = merged.groupBy("shard", "row").agg(
+            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+            F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"),
         )
 
     def summed(batches):

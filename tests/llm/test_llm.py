@@ -33,7 +33,7 @@ from quayside.llm import (
 )
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "benchmark", "conversations")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 # Null and empty texts, white space only, copies, a long text, texts without letters, names that clash.
 ODD = [
@@ -731,6 +731,19 @@ def test_phrases_against_every_position(spark, odd, block_bytes):
     assert kept.columns == odd.columns and 9004 not in {r.doc_id for r in kept.collect()}
 
 
+@pytest.mark.parametrize("block_bytes", [phrases.BLOCK_BYTES, 20])
+def test_phrases_of_items_and_documents_without_ids(spark, block_bytes):
+    """Rows stay rows in any number of blocks; an item without an id is found, but not named."""
+    rows = [(None, "one two three"), (None, "one two three"), (1, "four five six"), (1, "four five six"), (2, "none"), (None, "four")]
+    items = [(None, "four five six"), ("a", "one two three"), ("b", "eight nine ten")]
+    got = phrases.contamination(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), block_bytes=block_bytes
+    )
+    named, unnamed = (hashlib.sha256(s).hexdigest() for s in (b"a", b""))
+    expected = [(None, 3, 3, 1, named, True)] * 2 + [(1, 3, 3, 0, unnamed, True)] * 2 + [(2, 1, 0, 0, unnamed, False), (None, 1, 0, 0, unnamed, False)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_phrases_without_items_or_documents(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.contaminated for r in phrases.contamination(odd, none).collect()} == {False}
