@@ -45,9 +45,11 @@ HEADLINE = (
     "events_page_after",
     "compact_partition",
     "gold_refresh",
+    "silver_upsert",
     "bus_landing",
     "stream_dedupe_window",
     "stream_ingest",
+    "stream_all_channels",
 )
 
 
