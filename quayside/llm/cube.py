@@ -250,9 +250,46 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: floa
     )
 
 
+# Rows of one file that are numbered together.
+LANE = 10_000
+
+
+def _numbered(rows: DataFrame, unit: list[str]) -> DataFrame:
+    """Rows of a written table with ``number``, from 1 on, among those alike in ``unit``, in the order of the files.
+
+    They are numbered in lanes of bounded size, after the rows of the lanes before, which are counted.
+    """
+    index = F.col("_metadata.row_index")
+    placed = rows.withColumns({"file": F.col("_metadata.file_path"), "lane": F.floor(index / LANE), "row": index})
+    lanes = placed.groupBy(*unit, "file", "lane").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*unit).orderBy("file", "lane").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = lanes.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    lanes = lanes.select(*(F.col(c).alias(f"l_{c}") for c in (*unit, "file", "lane")), "before")
+    same = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in (*unit, "file", "lane")]
+    in_lane = F.row_number().over(Window.partitionBy(*unit, "file", "lane").orderBy("row"))
+    joined = placed.withColumn("in_lane", in_lane).join(lanes, same)
+    return joined.select(*rows.columns, (F.col("in_lane") + F.col("before")).alias("number"))
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; columns as they were. ``doc_id`` tells rows apart."""
-    taken = mix(docs, **settings).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
-    times = F.sequence(F.lit(1), F.col("mix_copies").cast("int"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    return joined.withColumn("mix_copy", F.explode(times)).select(*docs.columns)
+    """The documents of the mix, each row as often as it is taken; columns as they were.
+
+    Rows alike in ``doc_id``, ``source`` and size are taken equally often, or some of them once more than the others:
+    the first ones in the order of the files, so that repeated rows and rows without an id meet the targets, too.
+    """
+    unit = ["mix_id", "mix_source", "mix_size"]
+    # Copies of rows that are alike differ by one at most.
+    counted = mix(docs, **settings).groupBy("doc_id", "source", "size").agg(
+        F.min("copies").alias("mix_least"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("mix_more")
+    )
+    counted = counted.where("mix_least > 0 OR mix_more > 0").toDF(*unit, "mix_least", "mix_more")
+    # The same words as in ``word_numbers``, counted beside the other columns.
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    sized = docs.withColumn("mix_own", size)
+    same = [sized[a].eqNullSafe(F.col(b)) for a, b in zip(("doc_id", "source", "mix_own"), unit, strict=True)]
+    taken = written(sized.join(counted, same).drop("mix_own"), "taken")
+    alike = written(taken.where("mix_more > 0"), "alike")
+    chosen = _numbered(alike, unit).withColumn("mix_least", F.col("mix_least") + (F.col("number") <= F.col("mix_more")).cast("int"))
+    rows = taken.where("mix_more = 0").unionByName(chosen.select(*taken.columns))
+    times = F.sequence(F.lit(1), F.col("mix_least").cast("int"))
+    return rows.where("mix_least > 0").withColumn("mix_copy", F.explode(times)).select(*docs.columns)

@@ -14,11 +14,13 @@ Words never share a lattice edge, so a word's forward sum is computed once per d
 occurrence. Counts and scores cover all words of all documents. Frequent words (a bounded number) are sent to
 the tasks; the others meet their scores over a join.
 
-Cases. Null and empty texts are just the end symbol. Words of any length are scored, in steps of one byte.
+Cases. Null and empty texts are just the end symbol. Words of any length are scored, in steps of one byte; of a long
+one only the sums that its longest piece reaches back to are held, and in training its forward sums, 8 bytes a byte.
 Repeated documents count and are scored each. Without training documents, pieces keep equal scores.
 """
 
 import json
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -36,6 +38,9 @@ DISCOUNT = 0.75
 FREQUENT = 65_536
 # Words that share a forward recursion, and its longest piece in bytes.
 LANES = 1 << 14
+# Longer words are walked alone. A part of so many starts has its edges at hand.
+LONG_WORD = 1_024
+STARTS = 1 << 16
 
 # The byte alphabet of public byte-level vocabularies. Printable bytes stand for themselves; the
 # others, in ascending order, for the code points from 256 on.
@@ -106,9 +111,82 @@ def _edges(trie: Trie, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np
     return found
 
 
+def _edges_from(trie: Trie, word: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of one word that start in [first, last), by start: starts, lengths, pieces."""
+    n, length = len(word), 1
+    at = np.arange(first, last)
+    state = trie.root[word[at]]
+    found = []
+    while len(at):
+        live = state >= 0
+        at, state = at[live], state[live]
+        piece = np.where(at + length == n, trie.final[state], trie.inner[state])
+        has = piece >= 0
+        found.append((at[has], np.full(int(has.sum()), length), piece[has]))
+        inside = at + length < n
+        at, state = at[inside], state[inside]
+        state = trie.step(state, word[at + length])
+        length += 1
+    starts, lengths, pieces = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(starts, kind="stable")
+    return starts[order], lengths[order], pieces[order]
+
+
+def _log_sum(values: list[float]) -> float:
+    if len(values) == 1:
+        return values[0]
+    most = max(values, default=-math.inf)
+    return most if most == -math.inf else most + math.log(sum([math.exp(v - most) for v in values]))
+
+
+def _forward_long(trie: Trie, scores: np.ndarray, word: np.ndarray, count: float = 0, expected: np.ndarray | None = None) -> float:
+    """As :func:`forward`, for one word, part by part."""
+    n, ring = len(word), trie.longest + 1
+    alpha = np.zeros(n if expected is not None else 0)
+    arriving: list[list[float]] = [[] for _ in range(ring)]
+    arriving[0] = [0.0]
+    parts = range(0, n, STARTS)
+    for first in parts:
+        last = min(n, first + STARTS)
+        starts, lengths, pieces = _edges_from(trie, word, first, last)
+        bounds = np.searchsorted(starts, np.arange(first, last + 1)).tolist()
+        lengths, weights = lengths.tolist(), scores[pieces].tolist()
+        sums = []
+        for k in range(last - first):
+            place = first + k
+            here = _log_sum(arriving[place % ring])
+            arriving[place % ring] = []
+            sums.append(here)
+            for e in range(bounds[k], bounds[k + 1]):
+                arriving[(place + lengths[e]) % ring].append(here + weights[e])
+        if expected is not None:
+            alpha[first:last] = sums
+    total = _log_sum(arriving[n % ring])
+    if expected is None:
+        return total
+    beta = [0.0] * ring  # of the places behind, that of the end being zero
+    for first in reversed(parts):
+        last = min(n, first + STARTS)
+        starts, lengths, pieces = _edges_from(trie, word, first, last)
+        bounds = np.searchsorted(starts, np.arange(first, last + 1)).tolist()
+        steps, weights = lengths.tolist(), scores[pieces].tolist()
+        through = [0.0] * len(starts)
+        for k in range(last - first - 1, -1, -1):
+            place, a, b = first + k, bounds[k], bounds[k + 1]
+            values = [weights[e] + beta[(place + steps[e]) % ring] for e in range(a, b)]
+            through[a:b] = values
+            beta[place % ring] = _log_sum(values)
+        use = np.exp(alpha[starts] + np.array(through) - total) * count
+        expected += np.bincount(pieces, use, minlength=len(expected))
+    return total
+
+
 def forward(trie: Trie, scores: np.ndarray, words: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
     """Natural log marginals of equally long words; with ``counts``, adds expected piece uses to ``expected``."""
     n, m = words.shape[1], len(words)
+    if n > LONG_WORD:
+        times = np.zeros(m) if counts is None else counts
+        return np.array([_forward_long(trie, scores, w, c, None if counts is None else expected) for w, c in zip(words, times, strict=True)])
     edges = _edges(trie, words)
     alpha = np.full((n + 1, m), -np.inf)
     alpha[0] = 0
@@ -135,7 +213,7 @@ def by_length(words: pa.Array) -> Iterable[tuple[np.ndarray, np.ndarray]]:
         for k in range(0, len(at), lanes):
             some = at[k : k + lanes]
             data = b"".join(words.take(pa.array(some)).to_pylist())
-            yield some, np.frombuffer(data, np.uint8).reshape(len(some), int(n)).astype(np.int64)
+            yield some, np.frombuffer(data, np.uint8).reshape(len(some), int(n))
 
 
 def word_counts(docs: DataFrame, training: str) -> DataFrame:

@@ -7,7 +7,8 @@ passes is joined with the rules by hash, which removes its false positives.
 
 Cases. A null url, or one without ``://``, has an empty host and path and fits rules with an empty host only.
 Ports and user names stay in the host. Of several rules that fit, the longest (host and path together) wins;
-at equal length block wins over allow. Repeated rows are judged alike; an empty list of rules lets all pass.
+at equal length block wins over allow. Repeated rows are judged alike; an empty list of rules lets all pass. A url of
+any length has as many candidates, at most, as the deepest rule has labels and directories.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -63,16 +64,18 @@ def might_be_listed(candidates: DataFrame, bloom: DataFrame, blocks: int) -> Dat
     return probed.where(passes).select(*candidates.columns)
 
 
-def host_suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.", -1)
+def host_suffixes(host: Column, labels: int) -> Column:
+    """The last one to ``labels`` labels of the host."""
+    parts = F.split(host, r"\.", -1)
     return F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))),
+        lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."),
     )
 
 
-def directories(path: Column) -> Column:
-    """The empty prefix and every prefix of the path that ends in a slash."""
-    parts = F.split(path, "/", -1)
+def directories(path: Column, depth: int) -> Column:
+    """The empty prefix and every prefix of the path that ends in one of its first ``depth`` slashes."""
+    parts = F.split(path, "/", depth + 1)
     up_to = F.transform(
         F.sequence(F.lit(0), F.size(parts) - 1),
         lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))),
@@ -92,12 +95,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     listed = rules.select(
         F.coalesce("host", F.lit("")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict"
     ).withColumn("key", _key(F.col("rule_host"), F.regexp_extract("rule_path", "(?s)^(.*/)?", 0)))
-    blocks = block_count(listed.select("key").distinct().count())
+    # Candidates with more labels or directories than any rule has fit none.
+    rule = listed.agg(
+        F.count_distinct("key").alias("keys"),
+        F.max(F.size(F.split("rule_host", r"\.", -1))).alias("labels"),
+        F.max(F.regexp_count("rule_path", F.lit("/"))).alias("depth"),
+    ).first()
+    blocks = block_count(rule.keys)
 
     candidates = (
         split.select("host", "path").distinct()
-        .withColumn("suffix", F.explode(host_suffixes(F.col("host"))))
-        .withColumn("directory", F.explode(directories(F.col("path"))))
+        .withColumn("suffix", F.explode(host_suffixes(F.col("host"), rule.labels or 1)))
+        .withColumn("directory", F.explode(directories(F.col("path"), rule.depth or 0)))
         .select("host", "path", _key(F.col("suffix"), F.col("directory")).alias("key"))
     )
     possible = might_be_listed(candidates, bloom_blocks(listed, blocks), blocks)

@@ -191,6 +191,60 @@ def test_forward_recursion_sums_all_segmentations():
     assert np.allclose(short, expected_uses)
 
 
+@pytest.mark.parametrize("starts", [1, 7, 1 << 16])
+def test_long_words_have_the_sums_of_short_ones(monkeypatch, starts):
+    trie = lattice.Trie(lattice.piece_bytes(TINY))
+    scores = np.log(np.random.default_rng(3).dirichlet(np.ones(trie.size)))
+    for n in (1, 2, trie.longest, trie.longest + 1, 500):
+        word = np.frombuffer((b"abab" * n)[: n - 1] + b"e", np.uint8).reshape(1, -1)
+        monkeypatch.setattr(lattice, "LONG_WORD", 1_024)
+        uses, long_uses = np.zeros(trie.size), np.zeros(trie.size)
+        expected = lattice.forward(trie, scores, word, np.ones(1), uses)
+        monkeypatch.setattr(lattice, "LONG_WORD", 0)
+        monkeypatch.setattr(lattice, "STARTS", starts)
+        assert np.allclose(lattice.forward(trie, scores, word, np.ones(1), long_uses), expected, rtol=1e-12)
+        assert np.allclose(lattice.forward(trie, scores, word), expected, rtol=1e-12) and np.allclose(uses, long_uses)
+
+
+def model_scores(rows, trie, scores, modulus):
+    """Each text's log10 probability: pieces summed over all ways by recursion on prefixes, words one by one."""
+    number = {}
+    for k, piece in enumerate(lattice.piece_bytes(TINY)):
+        number[piece] = k
+
+    def pieces_sum(word):
+        upto = [1.0] + [0.0] * len(word)
+        for end in range(1, len(word) + 1):
+            for start in range(end):
+                k = number.get((word[start:end], end == len(word)))
+                if k is not None:
+                    upto[end] += upto[start] * math.exp(scores[k])
+        return upto[-1]
+
+    train = Counter()
+    for d, t in rows.items():
+        if zlib.crc32(str(d).encode()) % modulus != 2:
+            train.update([*words(t), None])
+    n, v = sum(train.values()), len(train)
+    for d, t in rows.items():
+        total = math.log10((train[None] - lattice.DISCOUNT) / n)
+        for w in words(t):
+            whole = max(train[w] - lattice.DISCOUNT, 0) / n
+            raw = w if isinstance(w, bytes) else w.encode()
+            total += math.log10(whole + pieces_sum(raw) * lattice.DISCOUNT * v / n)
+        yield d, total
+
+
+def test_scores_against_brute_force(spark):
+    rows = {i: " ".join(["ab", "abc", "cab", "b" * (i % 4 + 1), f"w{i}", "é"][: i % 7]) for i in range(40)}
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    trie = lattice.Trie(lattice.piece_bytes(TINY))
+    equal = np.full(trie.size, -np.log(trie.size))
+    got = {r.doc_id: r.score for r in lattice.score_documents(frame, TINY, queries.kept_out(7), rounds=0).collect()}
+    for d, expected in model_scores(rows, trie, equal, 7):
+        assert math.isclose(got[d], expected, rel_tol=1e-9), d
+
+
 def test_probabilities_of_all_words_add_up_to_one_at_most():
     trie = lattice.Trie([(b"a", False), (b"a", True), (b"b", False), (b"b", True), (b"ab", True), (b"ba", False)])
     scores = np.log(np.full(trie.size, 1 / trie.size))
@@ -385,6 +439,20 @@ def test_mixed_documents_keep_their_columns(spark, odd, empty):
     assert got.columns == odd.columns and cube.mixed_documents(empty).collect() == [] and cube.mix(empty).collect() == []
 
 
+def test_repeated_rows_and_rows_without_an_id_meet_the_target(spark, monkeypatch):
+    monkeypatch.setattr(cube, "LANE", 7)
+    rows = [(None, "a b c", "en", "s")] * 100 + [(None, "d e f", "en", "s")] * 100 + [(7, "x", "en", "s")] * 9 + [(8, None, "en", "s")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    wanted = sum(r.taken for r in cube.mix(frame, share=0.55).collect())
+    got = cube.mixed_documents(frame.repartition(3), share=0.55).collect()
+    assert sum(len(words(r.text)) for r in got) == wanted and abs(wanted - 0.55 * 609) <= 3
+    again = cube.mixed_documents(frame, share=1.6).collect()
+    per_row = Counter((r.doc_id, r.text) for r in again)
+    assert 100 <= per_row[(None, "a b c")] <= 200 and sum(len(words(r.text)) for r in again) == sum(
+        r.taken for r in cube.mix(frame, share=1.6).collect()
+    )
+
+
 def test_equal_rows_and_sources_without_words(spark):
     rows = [(1, "a b c", "s", "en")] * 5 + [(2, "", "t", "en"), (3, None, None, "en")]
     frame = spark.createDataFrame([(d, t, lang, s) for d, t, s, lang in rows], SCHEMA)
@@ -410,6 +478,7 @@ def test_urls_against_every_rule(spark):
     urls += [None, "", "no scheme", "http://", "http:///en/", "http://com", "http://com/", "http://xcom/", "http://q.org/a", "http://q.org/ab?/c"]
     urls += ["http://x.org", "http://y.x.org#/", "http://q.org/a/b", "http://u@x.org:80/", "http://example.com./en/", "a://b\n.com/\nx"]
     urls += [f"https://h{i}.net/p{j}/z" for i in range(0, 500, 7) for j in (i, i + 1)] + ["http://" + "a." * 60 + "com/" + "/" * 200]
+    urls += ["http://" + "b." * 3000 + "example.com/en" + "/x" * 20000]
     frame = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls * 2)], "page_id long, url string, host string, html string")
     got = urlfilter.judge_urls(frame, spark.createDataFrame(rules, urlfilter.RULES))
     assert got.columns == ["page_id", "url", "html", "host", "path", "rule", "verdict"]
