@@ -1,8 +1,11 @@
 """Registered queries against their SQL at the smallest scale."""
 
+import os
+
 import duckdb
 import pytest
 
+from quayside.session import work_root
 from workload.oracle import oracle
 from workload.queries import registered
 
@@ -50,3 +53,16 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_outcome_counts_of_the_source_records(spark):
     counts = {r.outcome: r.records for r in QUERIES["outcome_totals"](spark, SF).collect()}
     assert counts == {"Accepted": 3099, "Duplicate": 606, "Rejected": 61 + 2234, "Failed": 0}
+
+
+def test_deriving_the_trades_writes_nothing_and_reads_few_columns(spark):
+    """Before, the first query of a session wrote all columns of all trades, whatever it needed."""
+    before = set(os.listdir(f"{work_root(spark)}/quayside/{spark.sparkContext.applicationId}")) if os.path.isdir(
+        f"{work_root(spark)}/quayside/{spark.sparkContext.applicationId}") else set()
+    found = QUERIES["src_missing_record_id"](spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    folder = f"{work_root(spark)}/quayside/{spark.sparkContext.applicationId}"
+    assert not os.path.isdir(folder) or set(os.listdir(folder)) == before
+    assert "l_orderkey" in plan and "md5" not in plan
+    scans = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in line and "l_orderkey" in line]
+    assert scans and all("l_extendedprice" not in line for line in scans)
