@@ -12,6 +12,7 @@ from quayside.operators.classify import first_valid, parse
 from quayside.sinks.publish import envelopes, kafka_rows
 from quayside.sources import all_channels, bus, push
 from quayside.sources.batch import BatchSource, batch_records, pulled_fields, read_batch_sources, read_pulls
+from quayside.operators import arrival
 from quayside.operators.arrival import latest_instants, non_falling
 from quayside.sources.stream import StreamSource, decode, stream_records
 
@@ -101,6 +102,24 @@ def test_instants_of_a_partition_never_fall(spark, block):
     assert after == {**latest, 5: 1}
 
 
+@pytest.mark.parametrize("most", [2, 3])
+def test_sparse_offsets_fall_into_few_blocks_and_crowded_ones_are_cut(spark, monkeypatch, most):
+    """Offsets far apart, most of them close together: before, each message was a row of one window over the partition."""
+    monkeypatch.setattr(arrival, "MOST_BLOCKS", most)
+    rng = random.Random(most)
+    offsets = [*range(60), *(n * 2**40 for n in range(1, 40)), 2**50, 2**50 + 1, 2**50 + 2]
+    sent = [(0, o, rng.choice([None, *range(50)])) for o in offsets]
+    frame = spark.createDataFrame(sent, "partition int, offset bigint, second int").withColumn("timestamp", F.timestamp_seconds("second"))
+    got = {r.offset: r.instant for r in non_falling(frame, None, 4).collect()}
+    latest, want = None, {}
+    for _, o, second in sorted(sent):
+        times = [t for t in (latest, None if second is None else second * 1_000_000) if t is not None]
+        latest = want[o] = max(times, default=None)
+    assert got == want
+    width = frame.groupBy("partition").agg(arrival._width(4).alias("w")).first().w
+    assert len({o // width for o in offsets}) <= most + 2
+
+
 def test_no_enabled_source(spark):
     with pytest.raises(ValueError):
         read_batch_sources(spark, [BatchSource("off", "x", enabled=False)])
