@@ -96,6 +96,15 @@ def test_an_empty_append_writes_nothing(spark, parsed, tmp_path):
     assert read_bronze(spark, root, batches=True).count() == 0 and read_landed(spark, root, batches=True).count() == 0
 
 
+def test_an_append_does_not_ask_first_whether_there_are_rows(spark, parsed, tmp_path, monkeypatch):
+    """Before, that question computed all rows, and the write computed them again."""
+    root, rows = str(tmp_path / "landing"), two_days(parsed)
+    monkeypatch.setattr(type(rows), "isEmpty", lambda self: pytest.fail("asked"))
+    write_landing(rows, root)
+    write_landing(rows.where("false"), root)
+    assert read_bronze(spark, root).count() == rows.count()
+
+
 def test_compaction_goes_on_from_a_complete_staging_folder(spark, parsed, tmp_path):
     root, staging = str(tmp_path / "landing"), str(tmp_path / "staging")
     for _ in range(2):
