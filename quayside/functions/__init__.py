@@ -4,7 +4,7 @@ from quayside.functions.identity import business_key, event_id
 from quayside.functions.jsonmap import flat_string_maps, string_maps, whole_values
 from quayside.functions.numbers import clean_number, is_number, number_text, number_value, packed_number
 from quayside.functions.once import evaluate_once
-from quayside.functions.text import filled_only, first_present, is_blank, strip
+from quayside.functions.text import filled_only, first_present, is_blank, is_filled, strip
 from quayside.functions.times import parse_timestamp, wire_time
 from quayside.functions.vessels import imo_is_valid
 
@@ -18,6 +18,7 @@ __all__ = [
     "flat_string_maps",
     "imo_is_valid",
     "is_blank",
+    "is_filled",
     "is_number",
     "number_text",
     "number_value",

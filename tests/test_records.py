@@ -131,3 +131,15 @@ def test_own_rules_can_be_added(records):
     checked = validate(events, [*trade_rules(events, clock()), extra])
     assert [f.code for f in checked.first().failures] == ["sanctioned"]
     assert [tuple(r) for r in rule_counts(checked).collect()] == [("counterparty", "sanctioned", 1)]
+
+
+def test_rules_and_aliases_are_not_interpreted_row_by_row(parsed, records):
+    """Functions with lambdas are interpreted, with all that is inside them; the usual row must not need any."""
+    plan = parsed(record())._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_filter" not in plan and "array_compact" not in plan and "isnotnull(lambda" not in plan
+
+
+def test_a_blank_first_alias_gives_way_to_the_next_filled_one(records):
+    blank = {"tradeReference": " ", "trade_reference": None, "trade_ref": "\u00a0", "deal_id": " D-1 ", "dealId": "D-2"}
+    rows = normalize(records(record(**blank)), clock()).collect()
+    assert [r.trade_reference for r in rows] == [" D-1 "]
