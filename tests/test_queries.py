@@ -66,3 +66,24 @@ def test_deriving_the_trades_writes_nothing_and_reads_few_columns(spark):
     assert "l_orderkey" in plan and "md5" not in plan
     scans = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in line and "l_orderkey" in line]
     assert scans and all("l_extendedprice" not in line for line in scans)
+
+
+def written(spark, name):
+    """Folders of intermediates of that name."""
+    folder = f"{work_root(spark)}/quayside/{spark.sparkContext.applicationId}"
+    return {f"{folder}/{n}" for n in (os.listdir(folder) if os.path.isdir(folder) else ()) if n.startswith(f"{name}-")}
+
+
+def test_classifying_writes_only_what_outcomes_are_made_of(spark):
+    """Before, whole records with all their fields were written for a result without them."""
+    before = written(spark, "parsed")
+    QUERIES["classify_outcomes"](spark, SF)
+    (new,) = written(spark, "parsed") - before
+    assert "fields" not in spark.read.parquet(new).columns
+
+
+@pytest.mark.parametrize("name", ["dead_letter_replay", "landing_profile"])
+def test_what_several_branches_read_is_parsed_once(spark, name):
+    """Before, branches of the result derived and parsed the trades again."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and "trade_ref" not in plan
