@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import shutil
 from datetime import datetime, timedelta, timezone
@@ -15,6 +16,7 @@ from quayside.sources.landed import read_landed
 from quayside.sources.stream import StreamSource, file_messages
 from quayside.streaming.dedupe import WINDOW, dedupe_batch, dedupe_within_window, kept_after
 from quayside.sources.store import read_stored
+from quayside.session import work_root
 from quayside.sinks.keyindex import KeyedStore
 from quayside.sources.live import live_folders, read_live
 from quayside.streaming.buslanding import BusStore, compact_bus_store, land_bus_batch, start_bus_landing
@@ -314,6 +316,21 @@ def test_bus_batches_do_not_read_the_store(spark, parsed, tmp_path, monkeypatch)
     assert [r.source_record_id for r in read_stored(spark, where.events).collect()] == ["9"]
 
 
+def test_bodies_of_events_are_not_written_again(spark, parsed, tmp_path):
+    """Before, every body was written beside the columns it was decoded to; only undecodable ones are needed."""
+    folder = f"{work_root(spark)}/quayside/{spark.sparkContext.applicationId}"
+
+    def decoded():
+        return {n for n in (os.listdir(folder) if os.path.isdir(folder) else ()) if n.startswith("decoded-")}
+
+    before, where = decoded(), BusStore(str(tmp_path / "bus"))
+    bad = spark.createDataFrame([("x", 1, "{", 1)], "message_id string, schema_version int, body string, delivery_count int")
+    land_bus_batch(bus_messages(spark, parsed, record(rid="1")).unionByName(bad.withColumn("enqueued_at", clock())), 0, where, NOW)
+    (new,) = decoded() - before
+    assert [r.body for r in spark.read.parquet(f"{folder}/{new}").collect() if r.body is not None] == ["{"]
+    assert [r.body for r in spark.read.parquet(where.dead_letters).collect()] == ["{"]
+
+
 def test_a_clock_that_falls_back_between_batches_keeps_offset_order(spark, topic, store, tmp_path):
     """The second batch's messages have earlier times than the first's; they still arrive after it."""
     late = NOW - timedelta(days=30)
