@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quayside.session import work_root
+from workload.inputs import derive_lines
 from workload.oracle import oracle
 from workload.queries import registered
 
@@ -87,3 +88,15 @@ def test_what_several_branches_read_is_parsed_once(spark, name):
     """Before, branches of the result derived and parsed the trades again."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" not in plan and "trade_ref" not in plan
+
+
+def test_lines_are_shuffled_once_for_parts_of_any_number(spark):
+    """Before, they were dealt out first, and shuffled and sorted again once parts were too many to broadcast."""
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40KB")
+    try:
+        plan = derive_lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.count("hashpartitioning(l_") == 1
