@@ -100,3 +100,11 @@ def test_lines_are_shuffled_once_for_parts_of_any_number(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert plan.count("hashpartitioning(l_") == 1
+
+
+def test_refused_requests_are_left_out_as_order_lines(spark):
+    """Before, the records of all requests were made and shuffled whole to find the admitted ones, twice."""
+    before = written(spark, "admitted-lines")
+    QUERIES["batch_summary"](spark, SF)
+    (new,) = written(spark, "admitted-lines") - before
+    assert "request_id" not in spark.read.parquet(new).columns and "fields" not in spark.read.parquet(new).columns
