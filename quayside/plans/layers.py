@@ -11,16 +11,25 @@ events all vanish is empty, and dates that a round does not touch are neither re
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.contract import LANDED
-from quayside.plans.medallion import MEASURES, gold_of_parts, gold_parts, narrowed_events, newest_versions, supported_events
-from quayside.session import stored
+from quayside.plans.medallion import (
+    MEASURES,
+    gold_of_parts,
+    gold_parts,
+    narrowed_events,
+    newest_of,
+    newest_versions,
+    supported_events,
+    with_packed_ids,
+    with_text_ids,
+)
 from quayside.sinks.generations import compact_batches
 from quayside.sinks.keyindex import ROWS_PER_BUCKET, KeyedStore
-from quayside.sources.live import Live, batch_folder, live_folders, read_live
+from quayside.sources.live import Live, batch_folder, folder_bytes, live_folders, read_live
 
 VERSION = T.StructType(list(LANDED.fields)).add("dt", T.DateType()).add("removed", T.BooleanType())
 
@@ -40,6 +49,10 @@ PART = T.StructType(
 )
 
 
+# Rounds behind the oldest run of so many bytes have about as many ids as Spark broadcasts.
+FEW_BYTES = 16 << 20
+
+
 def _newest(versions: DataFrame) -> DataFrame:
     """Per event id the newest version. At one instant a removal is the newer."""
     return newest_versions(versions.select(*VERSION.fieldNames()), "removed")
@@ -62,28 +75,47 @@ class SilverStore:
         """Merge a round of bronze in; returns what silver had of its events before, and has after.
 
         ``removed`` names events that are withdrawn: ``event_id``, ``ingested_at_utc``. Only versions of events of the
-        round are looked up. A round that is run again replaces what it wrote.
+        round are looked up, when the frames returned are used, and in the columns that are used; that has to be
+        before a second compaction removes what they read. A round that is run again replaces what it wrote.
         """
+        spark = bronze.sparkSession
         came = supported_events(bronze).withColumn("removed", F.lit(False))
         if removed is not None:
             gone = removed.select("event_id", "ingested_at_utc", F.lit(True).alias("removed"))
             came = came.unionByName(gone, allowMissingColumns=True)
-        fresh = stored(_newest(came), "versions")
-        before = stored(_newest(self.versions.of_keys(fresh, batch_id)), "before")
-        self.versions.add(fresh, batch_id)
-        return _shown(before), _shown(_newest(before.unionByName(fresh)))
+        self.versions.add(_newest(came), batch_id)
+        fresh = spark.read.schema(VERSION).parquet(batch_folder(self.root, batch_id))
+        live = live_folders(spark, self.root)
+        if not any(first < batch_id for first in (*live.batches, *(r.first for r in live.runs))):
+            return _shown(fresh.where(F.lit(False))), _shown(fresh)
+        # Each event is in a round once, so that its ids need no distinct.
+        ids = fresh.select("event_id")
+        known = self.versions.candidates(ids, batch_id).select(*VERSION.fieldNames()).where("event_id IS NOT NULL")
+        if folder_bytes(spark, batch_folder(self.root, batch_id)) <= FEW_BYTES:
+            # So few ids are broadcast, and nothing else of what is stored is shuffled.
+            known = known.join(ids, "event_id", "left_semi")
+        # One shuffle brings together what was and what came, for both results.
+        both = known.withColumn("came", F.lit(False)).unionByName(fresh.withColumn("came", F.lit(True)))
+        of_event = Window.partitionBy("event_id")
+        met = with_packed_ids(both).withColumn("touched", F.bool_or("came").over(of_event)).where("touched")
+        before, after = (with_text_ids(newest_of(rows, "removed").drop("came", "touched")) for rows in (met.where("NOT came"), met))
+        return _shown(before), _shown(after)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """Silver as it is now.
 
-        The oldest run holds most rows, each event once. Rows whose event is in nothing newer pass as they are; the
-        ids of what is newer are the build side, and only their events meet in a window.
+        The oldest run holds most rows, each event once. While little is newer, rows whose event is in nothing newer
+        pass as they are; the ids of what is newer are the build side, and only their events meet in a window. When
+        these are too many to broadcast, two joins would shuffle the run twice, and one window over all does it once.
         """
         live = live_folders(spark, self.root)
         newer = read_live(spark, self.root, VERSION, Live(live.runs[1:], live.upto, live.batches))
         if not live.runs:
             return _shown(_newest(newer))
         oldest = read_live(spark, self.root, VERSION, Live(live.runs[:1], live.upto, ()))
+        size = sum(r.bytes for r in live.runs[1:])
+        if size + sum(folder_bytes(spark, batch_folder(self.root, b)) for b in live.batches) > FEW_BYTES:
+            return _shown(_newest(newer.unionByName(oldest)))
         touched = newer.select("event_id").distinct()
         met = _newest(newer.unionByName(oldest.join(touched, "event_id", "left_semi")))
         alone = oldest.join(touched, "event_id", "left_anti").select(*VERSION.fieldNames())
@@ -93,11 +125,14 @@ class SilverStore:
         """Merge closed rounds; of an event's versions that meet, the newest stays, a removal, too."""
 
         def merge(versions: DataFrame) -> DataFrame:
-            return newest_versions(versions, "removed")
+            return newest_of(versions, "removed", within=("bucket", "part"))
 
         self.versions.compact(spark, upto, merge)
 
 
+CELL = ("port", "product", "trade_date", "vessel_imo")
+
+
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of silver before and after a change -> what to add to gold's parts."""
     signed = gold_parts(new).unionByName(gold_parts(old).withColumns({c: -F.col(c) for c in MEASURES}))
@@ -105,7 +140,7 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _sums(parts: DataFrame) -> DataFrame:
-    summed = parts.groupBy("port", "product", "trade_date", "vessel_imo").agg(*[F.sum(c).cast(PART_TYPES[c]).alias(c) for c in MEASURES])
+    summed = parts.groupBy(*CELL).agg(*[F.sum(c).cast(PART_TYPES[c]).alias(c) for c in MEASURES])
     return summed.where(" OR ".join(f"{c} <> 0" for c in MEASURES))
 
 

@@ -22,6 +22,7 @@ from quayside.functions import (
     parse_timestamp,
     strip,
 )
+from quayside.functions.identity import packed_id, unpacked_id
 from quayside.functions.text import WHITE_SPACE
 
 NUMBERS = [
@@ -157,3 +158,14 @@ def test_flat_string_maps_are_strict(spark):
     assert decoded.columns == ["i", "v", "fields"]
     rows = decoded.select("i", "fields").orderBy("i").collect()
     assert [r[1] for r in rows] == [m for _, m in JSON]
+
+
+def test_packed_ids_come_back_as_they_were(spark):
+    """Sixteen bytes are a GUID's alone; any other text, null and empty ones too, stays apart and comes back."""
+    guid = "0f1e2d3c-4b5a-6978-8796-a5b4c3d2e1f0"
+    texts = [guid, guid.upper(), guid + "\n", bytes.fromhex(guid.replace("-", "")).decode("latin-1"), "sixteen letters!", "", " ", "\0", "Ærø", None]
+    packed = values(spark, texts).withColumn("p", packed_id(F.col("v"))).withColumn("back", unpacked_id(F.col("p")))
+    rows = packed.orderBy("i").collect()
+    assert [r.back for r in rows] == texts
+    assert len({None if r.p is None else bytes(r.p) for r in rows}) == len(texts)
+    assert [r.p is not None and len(r.p) == 16 for r in rows] == [True] + [False] * (len(texts) - 1)

@@ -11,7 +11,7 @@ from conftest import clock, record
 from quayside.contract import LANDED_COLUMNS
 from quayside.operators.classify import first_valid
 from quayside.operators.events import EventQuery, events_page, filter_events, page_info
-from quayside.plans import medallion, reconcile
+from quayside.plans import layers, medallion, reconcile
 from quayside.session import work_path, work_root
 from quayside.plans.layers import GoldStore, SilverStore
 from quayside.sinks.generations import compact_batches, in_files, plan_merge
@@ -225,6 +225,33 @@ def test_layers_kept_up_to_date_equal_layers_built_anew(spark, parsed, tmp_path)
         assert sorted(map(tuple, gold.read(spark).collect())) == sorted(map(tuple, rebuilt.collect()))
 
 
+@pytest.mark.parametrize("few", [-1, 1 << 30])
+def test_a_round_is_written_once_and_met_in_one_shuffle(spark, parsed, tmp_path, monkeypatch, few):
+    """Before, a round was written three times, and what it met was looked up and shuffled before anybody asked."""
+    monkeypatch.setattr(layers, "FEW_BYTES", few)
+    silver, rows = SilverStore(str(tmp_path / "silver"), rows_per_bucket=2), []
+    folder = f"{work_root(spark)}/quayside/{spark.sparkContext.applicationId}"
+
+    def intermediates():
+        return {n for n in (os.listdir(folder) if os.path.isdir(folder) else ()) if n.startswith(("versions-", "before-"))}
+
+    known = intermediates()
+    for n, minute in enumerate((1, 2, 3)):
+        came = [(record(rid=str(i), quantityMt=str(10 * minute + i)), minute, 1) for i in range(n, n + 4)]
+        before, after = silver.upsert(bronze_of(parsed, *came), n)
+        was = medallion.silver(bronze_of(parsed, *rows)) if rows else None
+        of_round = {r[0] for r in medallion.silver(bronze_of(parsed, *came)).select("event_id").collect()}
+        wanted = [] if was is None else [r for r in was.collect() if r.event_id in of_round]
+        assert sorted(map(tuple, before.select(*medallion.silver(bronze_of(parsed, *came)).columns).collect())) == sorted(map(tuple, wanted))
+        rows += came
+        now = medallion.silver(bronze_of(parsed, *rows))
+        assert sorted(map(tuple, after.select(*now.columns).collect())) == sorted(tuple(r) for r in now.collect() if r.event_id in of_round)
+        if n == 1:
+            silver.compact(spark, n)
+        assert sorted(map(tuple, silver.read(spark).select(*now.columns).collect())) == sorted(map(tuple, now.collect()))
+    assert intermediates() == known
+
+
 def test_pages_after_an_event(parsed):
     stored = first_valid(parsed(*[record(rid=str(i), tradedAtUtc=f"2026-07-{1 + i % 5:02d}T00:00:00Z") for i in range(40)]))
     expected = [(r.occurred_at_utc, r.event_id) for r in stored.orderBy(F.desc("occurred_at_utc"), "event_id").collect()]
