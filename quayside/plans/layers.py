@@ -144,13 +144,17 @@ def _sums(parts: DataFrame) -> DataFrame:
     return summed.where(" OR ".join(f"{c} <> 0" for c in MEASURES))
 
 
+def _written(parts: DataFrame, folder: str) -> None:
+    parts.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+
+
 @dataclass(frozen=True)
 class GoldStore:
     root: str
 
     def apply(self, old: DataFrame, new: DataFrame, batch_id: int) -> None:
         """Take rows of silver out and others in, as one round."""
-        difference(old, new).write.mode("overwrite").parquet(batch_folder(self.root, batch_id))
+        _written(difference(old, new), batch_folder(self.root, batch_id))
 
     def replace_dates(self, silver_rows: DataFrame, batch_id: int, first_date: str, last_date: str) -> None:
         """Bring the parts of the trade dates between two bounds (inclusive) to what silver has there, be it nothing."""
@@ -158,7 +162,7 @@ class GoldStore:
         now = gold_parts(silver_rows.where(F.col("trade_date").between(*bounds)))
         known = read_live(silver_rows.sparkSession, self.root, PART, before=batch_id).drop("batch_id")
         known = known.where(F.col("trade_date").between(*bounds)).withColumns({c: -F.col(c) for c in MEASURES})
-        _sums(now.unionByName(known)).write.mode("overwrite").parquet(batch_folder(self.root, batch_id))
+        _written(_sums(now.unionByName(known)), batch_folder(self.root, batch_id))
 
     def parts(self, spark: SparkSession) -> DataFrame:
         return read_live(spark, self.root, PART).drop("batch_id")
@@ -171,6 +175,8 @@ class GoldStore:
 
         def write(rows: DataFrame, folder: str) -> None:
             first = rows.agg(F.min("batch_id")).first()[0] or 0
-            _sums(rows).withColumn("batch_id", F.lit(first).cast("bigint")).write.mode("overwrite").parquet(folder)
+            # A round has each cell once: there is little to add up before the shuffle, and sums are wider than parts.
+            summed = _sums(rows.select(*PART.fieldNames()).repartition(*CELL))
+            _written(summed.withColumn("batch_id", F.lit(first).cast("bigint")), folder)
 
         compact_batches(spark, self.root, upto, PART, write)

@@ -110,7 +110,7 @@ def test_refused_requests_are_left_out_as_order_lines(spark):
     assert "request_id" not in spark.read.parquet(new).columns and "fields" not in spark.read.parquet(new).columns
 
 
-@pytest.mark.parametrize("name", ["silver_upsert"])
+@pytest.mark.parametrize("name", ["silver_upsert", "gold_refresh"])
 def test_rounds_are_not_written_before_they_are_merged(spark, name):
     """Before, all parsed lines were written with all columns, and read again by each round."""
     known = written(spark, "rounds") | written(spark, "events")
