@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from quayside.contract import LANDED_COLUMNS
 from quayside.session import work_root
 from workload.inputs import derive_lines
 from workload.oracle import oracle
@@ -110,6 +111,14 @@ def test_refused_requests_are_left_out_as_order_lines(spark):
     assert "request_id" not in spark.read.parquet(new).columns and "fields" not in spark.read.parquet(new).columns
 
 
+def test_fragments_are_written_in_the_columns_that_land(spark):
+    """Before, all that parsing adds was written, too."""
+    before = written(spark, "fragments")
+    QUERIES["compact_partition"](spark, SF)
+    (new,) = written(spark, "fragments") - before
+    assert set(spark.read.parquet(new).columns) == {*LANDED_COLUMNS, "l_orderkey"}
+
+
 @pytest.mark.parametrize("name", ["silver_upsert", "gold_refresh"])
 def test_rounds_are_not_written_before_they_are_merged(spark, name):
     """Before, all parsed lines were written with all columns, and read again by each round."""
