@@ -324,6 +324,18 @@ def test_gold_rounds_half_up(parsed):
     assert [(r["rank"], r["product"]) for r in top] == [(1, "MGO")]
 
 
+def test_gold_at_once_shuffles_its_rows_by_vessel_only(spark, parsed):
+    """Before, they were summed by date, too, and shuffled once more; the recomputation shuffled ids as text."""
+    bronze = sample(parsed)
+    silver = spark.createDataFrame(medallion.silver(bronze).collect(), medallion.silver(bronze).schema)
+    gold, of_parts = medallion.gold(silver), medallion.gold_of_parts(medallion.gold_parts(silver))
+    plan = gold._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "trade_date" not in plan.split("Exchange hashpartitioning")[-1].split("\n")[0]
+    assert gold.schema == of_parts.schema and gold.collect() == of_parts.collect()
+    again = reconcile.recompute_gold(bronze)._jdf.queryExecution().executedPlan().toString()
+    assert "unhex(" in again.split("Exchange hashpartitioning")[-1]
+
+
 def test_reconciliation(parsed):
     bronze = sample(parsed)
     gold = medallion.gold(medallion.silver(bronze))
