@@ -132,6 +132,19 @@ def test_accepting_drops_later_arrivals_before_the_shuffle(parsed):
     assert "row_number(), 1, Partial" in plan
 
 
+def test_accepting_shuffles_event_ids_as_bytes(parsed):
+    """Before, they were shuffled as text of 36 digits."""
+    rows = parsed(record(rid="1"), record(rid="2"), record(rid="2"))
+    accepted = first_valid(rows)
+    below = accepted._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[-1]
+    assert "unhex(" in below
+    assert accepted.columns == rows.columns
+    wanted = {(r.dedup_key, r.event_id) for r in rows.collect()}
+    assert {(r.dedup_key, r.event_id) for r in accepted.collect()} == wanted and len(wanted) == 2
+    odd = rows.withColumn("event_id", F.when(F.col("source_record_id") == "1", F.lit("ODD-id")))
+    assert {r.event_id for r in first_valid(odd).collect()} == {"ODD-id", None}
+
+
 def test_counts(parsed):
     rows = parsed(
         record("erp", "E-1"), record("kafka", "K-1", "Stream"), record("kafka", "K-2", "Stream", port="Fredericia"),
