@@ -18,13 +18,17 @@ Cases. Null and empty texts have only the end id. A null ``doc_id`` comes first.
 ordered by text. A text of any length is in one segment; segments of long texts have more blocks, not longer ones.
 """
 
+import hashlib
 import os
 import re
 import struct
+import sys
+import types
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +40,7 @@ MAGIC = b"QIDS\x01"
 BLOCK = 1024
 LANES = 4096  # blocks that advance together
 TEXT_BYTES = 4 << 20  # of a segment
-CACHED_WORDS = 200_000
+KEPT_WORDS, KEPT_BYTES = 500_000, 64 << 20  # of one process
 
 SLOTS = 1 << 10  # contexts an order remembers in a block
 SURE = 4  # confidences 1 to 4; 0 is an empty slot
@@ -311,29 +315,42 @@ class WordTokenizer:
     """Ids of texts by a tokenizer that never joins what white space separates.
 
     Each distinct word is encoded once by the library and its ids are put in place of it; a bounded number of
-    words is remembered from one batch to the next. Plain words are merged by the library many at a time: their
-    parts are handed over in the byte alphabet, and a part's last piece is the one that ends a word.
+    words is remembered from one batch to the next, and by a worker process from one task to the next. Plain words
+    are merged by the library many at a time: their parts are handed over in the byte alphabet, and a part's last
+    piece is the one that ends a word.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        # This module comes anew with each task, so what the process keeps has a place of its own. It is one tokenizer's.
+        self.kept = vars(sys.modules.setdefault("quayside_kept_words", types.ModuleType("quayside_kept_words")))
+        key = hashlib.sha256(tokenizer_json.encode()).digest()
+        if self.kept.get("key") != key:
+            words = pa.array([], pa.large_binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+            self.kept.update(tools=self._tools(tokenizer_json), words=words, key=key)
+        self.tokenizer, self.merges, self.ends, self.odd = self.kept["tools"]
+        self.words, self.ids, self.starts = self.kept["words"]
+        self.end_id = end_id
+
+    @staticmethod
+    def _tools(tokenizer_json: str) -> tuple:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.end_id = Tokenizer.from_str(tokenizer_json), end_id
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.ends = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1, bool)
-        for piece, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.ends[k] = piece.endswith("</w>")
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        merges = Tokenizer(tokenizer.model)
+        merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        ends = np.zeros(max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1, bool)
+        for piece, k in tokenizer.get_vocab(with_added_tokens=False).items():
+            ends[k] = piece.endswith("</w>")
         # Bytes that are spelled otherwise than by the code point of their number.
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.odd = [(chr(c & 0x3F | 0x80), spelled.pre_tokenize_str(chr(c))[0][0][1]) for c in range(0xC0, 0x100)]
-        self.odd = [(a, b) for a, b in self.odd if a != b]
-        self._forget()
+        odd = [(chr(c & 0x3F | 0x80), spelled.pre_tokenize_str(chr(c))[0][0][1]) for c in range(0xC0, 0x100)]
+        return tokenizer, merges, ends, [(a, b) for a, b in odd if a != b]
 
-    def _forget(self):
-        self.number: dict[bytes, int] = {}
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    def _keep(self, words: pa.Array, ids: np.ndarray, starts: np.ndarray) -> None:
+        if len(words) <= KEPT_WORDS and words.nbytes + ids.nbytes + starts.nbytes <= KEPT_BYTES:
+            self.words, self.ids, self.starts = words, ids, starts
+            self.kept["words"] = words, ids, starts
 
     def _plain_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = [], []
@@ -350,45 +367,48 @@ class WordTokenizer:
             counts.append(np.diff(last, prepend=0))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _learn(self, words: pa.Array) -> np.ndarray:
-        """Encode new words; their numbers."""
+    def _learn(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Encode new words: the words in another order, all their ids, the number of ids of each, the place of each."""
         raw, offsets = text_buffers(words)
         odd = np.concatenate([[0], np.cumsum(~PLAIN[raw])])[offsets]
         plain = odd[1:] == odd[:-1]
-        some, others = words.filter(pa.array(plain)).to_pylist(), words.filter(pa.array(~plain)).to_pylist()
-        ids, counts = [], []
-        if some:
-            found, n = self._plain_ids(some)
+        some, others = words.filter(pa.array(plain)), words.filter(pa.array(~plain))
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        if len(some):
+            found, n = self._plain_ids(some.to_pylist())
             ids.append(found)
             counts.append(n)
-        if others:
-            rows = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)]
+        if len(others):
+            texts = [w.decode() for w in others.to_pylist()]
+            rows = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             ids.append(np.array([x for r in rows for x in r], np.uint32))
             counts.append(np.array([len(r) for r in rows]))
-        if ids:
-            self.ids = np.concatenate([self.ids, *ids])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))])
-        first = len(self.number)
-        self.number.update(zip([*some, *others], range(first, first + len(words)), strict=True))
-        numbers = np.empty(len(words), np.int64)
-        numbers[plain] = np.arange(first, first + len(some))
-        numbers[~plain] = np.arange(first + len(some), first + len(words))
-        return numbers
+        places = np.empty(len(words), np.int64)
+        places[plain] = np.arange(len(some))
+        places[~plain] = np.arange(len(some), len(words))
+        return pa.concat_arrays([some, others]), np.concatenate(ids), np.concatenate(counts), places
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; number of ids of each)."""
         codes, distinct, rows = encoded_words(texts, PLAIN_SPACE)
-        words = distinct.to_pylist()
-        if len(self.number) > CACHED_WORDS:
-            self._forget()
-        known = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        distinct = distinct.cast(pa.large_binary())
+        known = pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = known < 0
+        word_ids, starts = self.ids, self.starts
         if new.any():
-            known[new] = self._learn(distinct.filter(pa.array(new)))
+            words, more, counts, places = self._learn(distinct.filter(pa.array(new)))
+            known[new] = len(self.words) + places
+            ends = np.cumsum(counts)
+            word_ids, starts = np.concatenate([word_ids, more]), np.concatenate([starts, starts[-1] + ends])
+            if len(self.words) + len(words) > KEPT_WORDS and 2 * len(words) > len(distinct):
+                # What is kept is of little use for texts like these.
+                self._keep(words, more, np.concatenate([[0], ends]))
+            else:
+                self._keep(pa.concat_arrays([self.words, words]), word_ids, starts)
         word = known[codes]
-        lengths = self.starts[word + 1] - self.starts[word]
+        lengths = starts[word + 1] - starts[word]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.arange(upto[-1]) + np.repeat(self.starts[word] - upto[:-1], lengths)]
+        ids = word_ids[np.arange(upto[-1]) + np.repeat(starts[word] - upto[:-1], lengths)]
         n = np.diff(upto[rows])
         out = np.full(len(ids) + len(texts), self.end_id, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), n)] = ids

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -526,6 +527,28 @@ def test_ids_are_the_tokenizers(docs, odd, tokenizer_json):
             assert got.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1], t
 
 
+def test_a_process_learns_a_word_once(tokenizer_json, monkeypatch):
+    """Before, each task built the tokenizer and encoded all its words anew."""
+    texts_ = pa.array(["alpha beta beta", None, "gamma \u00e9|x"], pa.string())
+    wanted = [a.tolist() for a in idcoder.WordTokenizer(tokenizer_json, 1)(texts_)]
+
+    def never(*_):
+        raise AssertionError("built or learned again")
+
+    with monkeypatch.context() as m:
+        m.setattr(idcoder.WordTokenizer, "_learn", never)
+        m.setattr(idcoder.WordTokenizer, "_tools", never)
+        assert [a.tolist() for a in idcoder.WordTokenizer(tokenizer_json, 1)(texts_)] == wanted
+    monkeypatch.setattr(idcoder, "KEPT_WORDS", 3)
+    sys.modules.pop("quayside_kept_words")
+    mine = idcoder.WordTokenizer(tokenizer_json, 1)
+    for row in ["a b", "a b", "c d e", "a b c d e f g h", "", "a c"]:
+        got, n = mine(pa.array([row, row]))
+        assert got.tolist() == 2 * [*mine.tokenizer.encode(row, add_special_tokens=False).ids, 1] and n.sum() == len(got)
+        assert len(mine.words) <= 3
+    sys.modules.pop("quayside_kept_words")
+
+
 @pytest.mark.parametrize("ids", [
     [], [5], [7] * 5000, list(range(3000)), [2**32 - 1, 0, 2**31], [1, 2, 3, 4] * 2000,
     np.random.default_rng(1).zipf(1.2, 20_000) % 49_000, np.random.default_rng(2).integers(0, 2**20, 5000),
