@@ -33,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import ASCII_SPACE, encoded_words, map_arrow, slices, text_buffers
+from quayside.llm.common import ASCII_SPACE, SPACE_WORDS, map_arrow, slices, text_buffers, word_bounds
 from quayside.session import work_path
 
-MAGIC = b"QIDS\x01"
+MAGIC = b"QIDS\x02"
 BLOCK = 1024
 LANES = 4096  # blocks that advance together
 TEXT_BYTES = 4 << 20  # of a segment
@@ -45,80 +45,97 @@ KEPT_WORDS, KEPT_BYTES = 500_000, 64 << 20  # of one process
 SLOTS = 1 << 10  # contexts an order remembers in a block
 SURE = 4  # confidences 1 to 4; 0 is an empty slot
 RATE = 5
-WHOLE, MOST = 1 << 16, (1 << 16) - (1 << 11)  # of the weights; order 0 keeps at least what lies between
-LEAST = 64  # of a class share, out of WHOLE
-TOTAL_BITS, FULL = 40, 48  # of the mixed distribution; a range is at least 2**FULL
+WHOLE, MOST = 1 << 16, (1 << 16) - (1 << 11)  # of the weights; order 0 keeps about what lies between
+BOTH = np.uint32((WHOLE + 1) * ((WHOLE >> RATE) - 1))  # what is left of two halves, each shifted by RATE
+NONE, GAIN1, GAIN2 = np.uint32(0), np.uint32(MOST >> RATE), np.uint32(MOST >> RATE << 16)
+CLASS_BITS = 15
+CLASS_WHOLE, LEAST = 1 << CLASS_BITS, 32  # of the class shares, and the least of them
 START_WEIGHT = (0, 5_000, 14_000, 24_000, 30_000)  # of a prediction by its confidence
 
 U = np.uint64
-PLAIN_SPACE = np.arange(256, dtype=np.uint8)
-PLAIN_SPACE[sorted(ASCII_SPACE)] = 0x20
+FULL = U(1 << 48)  # a range is at least this wide
+LOWER_SECOND = np.arange(256, dtype=np.uint8)  # bytes after 0xC3: the letters from U+00C0 to U+00DE in lower case
+LOWER_SECOND[0x80:0x9F] += 0x20
 
 
 class Models:
-    """The state of all models for some blocks, a row per block. ``advance`` is the same for both directions.
+    """The state of all models for some blocks, a column or stretch per block. ``advance`` is the same for both directions.
 
-    A slot of a context holds a rank and how sure it is, 8 * (rank + 1) + confidence. Weights of empty slots are
-    zero and stay so.
+    Ranks count from 1 here. A slot of a context holds a rank and how sure it is, 8 * rank + confidence; what belongs
+    to both orders has a row for order 1 and one for order 2. The weights of both share a number, order 2's is the
+    upper half. Weights of empty slots are zero and stay so, others stay above zero, and both together below ``WHOLE``.
     """
 
     def __init__(self, blocks: int, prior: np.ndarray):
-        self.classes = len(prior) - 1
-        self.cdf = np.tile(prior.astype(np.int32), (blocks, 1))
-        self.flat = self.cdf.reshape(-1)
-        self.one = np.zeros(blocks * SLOTS, np.int32)
-        self.two = np.zeros(blocks * SLOTS, np.int32)
-        states = (SURE + 1) ** 2
-        high, low = np.divmod(np.arange(states), SURE + 1)
-        start = np.array(START_WEIGHT)
-        self.w2 = np.tile(start[high], blocks)
-        self.w1 = np.tile(start[low], blocks)
+        self.blocks, classes = blocks, len(prior) - 1
+        self.shares = np.repeat(prior.astype(np.uint16)[:, None], blocks, axis=1)
+        self.flat, self.inner = self.shares.reshape(-1), self.shares[1:-1]
+        self.at = np.arange(1, classes, dtype=np.int16)[:, None]
+        # What moves the upper bounds of classes: each class gets the least share, the one that came all that is free.
+        self.least, self.free = self.at * np.int16(LEAST >> RATE), np.int16(CLASS_WHOLE - LEAST * classes >> RATE)
+        self.slots = np.zeros(2 * blocks * SLOTS, np.int32)
+        start = np.array(START_WEIGHT, np.uint32)
+        self.weights = np.tile(np.add.outer(start << 16, start).reshape(-1), blocks)
         row = np.arange(blocks)
-        self.slot, self.weight, self.share = row * SLOTS, row * states, row * (self.classes + 1)
-        self.last = np.zeros(blocks, np.int64)
-        self.before = np.zeros(blocks, np.int64)
-        at = np.arange(self.classes + 1)
-        spread = WHOLE - LEAST * self.classes
-        # After class c, shares move towards this: all that is free to c, and the least share to the others.
-        self.towards = (LEAST * at[None, :] + spread * (at[None, :] > np.arange(self.classes)[:, None])).astype(np.int32)
-        # What becomes of a confidence after a miss (first half) and a hit.
-        self.surer = np.array([0, 0, -1, -1, -1, 0, 1, 1, 1, 0])
-
-    def predict(self, m: int) -> None:
-        near = self.last[:m] * 40503
-        self.at1 = self.slot[:m] + (near >> 4 & SLOTS - 1)
-        self.at2 = self.slot[:m] + (near + self.before[:m] * 60493 >> 4 & SLOTS - 1)
-        self.s1, self.s2 = self.one[self.at1].astype(np.int64), self.two[self.at2].astype(np.int64)
-        self.c1, self.c2 = self.s1 & 7, self.s2 & 7
-        self.p1, self.p2 = (self.s1 >> 3) - 1, (self.s2 >> 3) - 1
-        self.state = self.weight[:m] + self.c2 * (SURE + 1) + self.c1
-        self.w2_now, self.w1_now = self.w2[self.state], self.w1[self.state]
-        self.m2 = self.w2_now
-        self.m1 = self.w1_now * (self.p1 != self.p2)
-        self.m0 = WHOLE - self.m1 - self.m2
-
-    def flat_part(self, kind: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of ranks of known classes in order 0 alone."""
-        at = self.share[: len(kind)] + kind
-        a = self.flat[at]
-        size = (self.m0 * (self.flat[at + 1] - a) << 8) >> kind
-        return (self.m0 * a << 8) + (rank + 1 - (np.int64(1) << kind)) * size, size
-
-    def advance(self, rank: np.ndarray, kind: np.ndarray) -> None:
-        m = len(rank)
-        hit2, hit1 = self.p2 == rank, self.p1 == rank
-        self.w2[self.state] = self.w2_now + (hit2 * MOST - self.w2_now >> RATE)
-        self.w1[self.state] = self.w1_now + ((hit1 > hit2) * MOST - self.w1_now >> RATE)
-        fresh = rank * 8 + 9
-        self.one[self.at1] = np.where(hit1 | (self.c1 > 1), self.s1 + self.surer[hit1 * 5 + self.c1], fresh)
-        self.two[self.at2] = np.where(hit2 | (self.c2 > 1), self.s2 + self.surer[hit2 * 5 + self.c2], fresh)
-        shares = self.cdf[:m]
-        step = self.towards.take(kind, axis=0)
-        step -= shares
-        step >>= RATE
-        shares += step
-        self.before[:m] = self.last[:m]
-        self.last[:m] = rank + 1
+        self.weight, self.edges = row * (SURE + 1) ** 2, np.stack([row, row + blocks])
+        self.context = np.stack([row, row + blocks]) * SLOTS
+        self.last, self.before = np.zeros((2, blocks), np.int64)
+
+    def narrow(self, m: int) -> None:
+        """Go on with the first ``m`` blocks."""
+        self.inner, self.weight, self.edges = self.inner[:, :m], self.weight[:m], self.edges[:, :m]
+        self.context, self.last, self.before = self.context[:, :m], self.last[:m], self.before[:m]
+
+    def predict(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks that order 1 and 2 name, and what they get of ranges of ``WHOLE`` units."""
+        at = np.empty(self.context.shape, np.int64)
+        np.multiply(self.last, 40503, out=at[0])
+        np.add(at[0], self.before, out=at[1])
+        at >>= 4
+        at &= SLOTS - 1
+        at += self.context
+        self.chosen = at.reshape(-1)
+        self.slot = self.slots.take(at)
+        self.sure = self.slot & 7
+        named = self.slot >> 3
+        self.state = self.sure[1] * (SURE + 1) + self.sure[0] + self.weight
+        self.both = self.weights.take(self.state)
+        both = self.both.astype(U)
+        weight = np.empty(at.shape, U)
+        np.bitwise_and(both, U(0xFFFF), out=weight[0])
+        weight[0] *= named[0] != named[1]
+        np.right_shift(both, U(16), out=weight[1])
+        weight *= unit
+        return named, weight
+
+    def class_part(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of classes in order 0."""
+        first, size = self.flat.take(kind * self.blocks + self.edges).astype(U)
+        size -= first
+        return first, size
+
+    def class_at(self, place: np.ndarray) -> np.ndarray:
+        """The class with a place in order 0."""
+        over = place.astype(np.uint16) >= self.inner
+        return np.add.reduce(over.view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+
+    def advance(self, rank: np.ndarray, small: np.ndarray, kind: np.ndarray, hit: np.ndarray) -> None:
+        """Learn ranks, also given as 32-bit numbers, their classes, and where order 1 and 2 named them."""
+        both = self.both
+        both -= both >> RATE & BOTH
+        both += np.where(hit[1], GAIN2, np.where(hit[0], GAIN1, NONE))
+        self.weights[self.state] = both
+        fresh = small << 3
+        fresh += 1
+        fresh = np.where(self.sure > 1, self.slot - 1, fresh)
+        self.slots[self.chosen] = np.where(hit, self.slot + (self.sure < SURE), fresh).reshape(-1)
+        step = kind.astype(np.int16) - self.at
+        step >>= 15
+        step &= self.free
+        step += self.least
+        self.inner -= self.inner >> RATE
+        self.inner += step.view(np.uint16)
+        self.last, self.before = rank, self.last * 60493
 
 
 def class_of(rank: np.ndarray) -> np.ndarray:
@@ -131,108 +148,138 @@ def _lengths(n: int) -> np.ndarray:
     return np.full(blocks, n // blocks) + (np.arange(blocks) < n % blocks)
 
 
-def _encode_blocks(ranks: np.ndarray, starts: np.ndarray, lengths: np.ndarray, prior: np.ndarray) -> list[bytes]:
-    """Blocks of falling lengths that differ by one at most -> their code."""
-    m = len(lengths)
-    models = Models(m, prior)
-    low, width = np.zeros(m, U), np.full(m, 2**64 - 1, U)
-    out, at = np.zeros((int(lengths[0]) + 64, m), np.uint32), np.zeros(m, np.int64)
-    kinds = class_of(np.arange(int(ranks.max()) + 1))
-    for step in range(int(lengths[0])):
-        m = len(lengths) if step < lengths[-1] else int((lengths > step).sum())
-        rank = ranks[starts[:m] + step]
-        kind = kinds[rank]
-        models.predict(m)
-        start, size = models.flat_part(kind, rank)
-        start += models.m1 * (models.p1 < rank) + models.m2 * (models.p2 < rank) << 24
-        size += models.m1 * (models.p1 == rank) + models.m2 * (models.p2 == rank) << 24
-        unit = width[:m] >> U(TOTAL_BITS)
-        before = low[:m].copy()
-        low[:m] += unit * start.view(U)
-        width[:m] = unit * size.view(U)
-        over = np.flatnonzero(low[:m] < before)
-        if len(over):
-            out[at[over] - 1, over] += 1  # carries on are settled at the end
-        models.advance(rank, kind)
-        if at.max() + 4 > len(out):
+def _encode_blocks(ranks: np.ndarray, lengths: np.ndarray, prior: np.ndarray) -> list[bytes]:
+    """Ranks of blocks of falling lengths that differ by one at most -> the blocks' code."""
+    blocks, longest = len(lengths), int(lengths[0])
+    full = int((lengths == longest).sum())
+    steps = np.zeros((longest, blocks), np.int64)
+    steps[:, :full] = ranks[: full * longest].reshape(full, longest).T
+    steps[: longest - 1, full:] = ranks[full * longest :].reshape(blocks - full, longest - 1).T
+    steps += 1
+    models = Models(blocks, prior)
+    low, width = np.zeros(blocks, U), np.full(blocks, 2**64 - 1, U)
+    out, at = np.zeros((longest + 64) * blocks, np.uint32), np.arange(blocks)
+    kinds = class_of(np.arange(-1, int(ranks.max()) + 1))
+    places = (np.arange(len(kinds)) - (1 << np.maximum(kinds, 0))).astype(U)
+    lows, ats = low, at
+    for step, rank in enumerate(steps):
+        if step == lengths[-1]:
+            models.narrow(full)
+            low, width, at, rank = low[:full], width[:full], at[:full], rank[:full]
+        kind, small = kinds.take(rank), rank.astype(np.int32)
+        named, (big1, big2) = models.predict(width >> U(16))
+        hit = named == small
+        flat = big2 + big1
+        width -= flat
+        width >>= U(CLASS_BITS)
+        first, size = models.class_part(kind)
+        first *= width
+        flat += first
+        size *= width
+        size >>= kind.view(U)
+        flat += size * places.take(rank)
+        start = np.where(hit[1], U(0), np.where(hit[0], big2, flat))
+        width = np.where(hit[1], big2, np.where(hit[0], big1, size))
+        low += start
+        over = np.flatnonzero(low < start)
+        out[at[over] - blocks] += 1  # carries on are settled at the end
+        models.advance(rank, small, kind, hit)
+        if not step % 8 and at.max() + 40 * blocks > len(out):
             out = np.concatenate([out, np.zeros_like(out)])
-        need = np.flatnonzero(width[:m] < U(1 << FULL))
+        # Most that need to, write one word; what others write is overwritten.
+        out[at] = (low >> U(48)).astype(np.uint32)
+        need = (width < FULL).astype(np.int64)
+        at += need * blocks
+        need <<= 4
+        low <<= need.view(U)
+        width <<= need.view(U)
+        need = np.flatnonzero(width < FULL)
         while len(need):
-            out[at[need], need] = (low[need] >> U(48)).astype(np.uint32)
-            at[need] += 1
+            out[at[need]] = low[need] >> U(48)
+            at[need] += blocks
             low[need] <<= U(16)
             width[need] <<= U(16)
-            need = need[width[need] < U(1 << FULL)]
+            need = need[width[need] < FULL]
     for _ in range(4):
-        if at.max() + 1 > len(out):
-            out = np.concatenate([out, np.zeros_like(out)])
-        out[at, np.arange(len(at))] = (low >> U(48)).astype(np.uint32)
-        low <<= U(16)
-        at += 1
-    for k in range(int(at.max()) - 1, 0, -1):
+        out[ats] = lows >> U(48)
+        lows <<= U(16)
+        ats += blocks
+    out, upto = out.reshape(-1, blocks), ats // blocks
+    for k in range(int(upto.max()) - 1, 0, -1):
         out[k - 1] += out[k] >> 16
         out[k] &= 0xFFFF
-    return [out[: at[k], k].astype("<u2").tobytes() for k in range(len(at))]
+    code = np.ascontiguousarray(out[: upto.max()].astype("<u2").T)
+    return [code[k, :n].tobytes() for k, n in enumerate(upto)]
 
 
 def _decode_blocks(codes: list[np.ndarray], lengths: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Codes of blocks -> ranks, (steps, blocks)."""
-    m = len(lengths)
-    models = Models(m, prior)
-    longest = max(len(c) for c in codes)
-    words = np.zeros((longest + 8, m), U)
+    blocks = len(lengths)
+    models = Models(blocks, prior)
+    words = np.zeros((blocks, max(len(c) for c in codes) + 8), np.uint16)
     for k, c in enumerate(codes):
-        words[: len(c), k] = c
-    value = (words[0] << U(48)) | (words[1] << U(32)) | (words[2] << U(16)) | words[3]
-    at, width = np.full(m, 4), np.full(m, 2**64 - 1, U)
-    out = np.zeros((int(lengths[0]), m), np.int64)
-    top = np.int64((1 << TOTAL_BITS) - 1)
-    kinds = class_of(np.arange((1 << len(prior) - 1) - 1))
-    for step in range(int(lengths[0])):
-        m = len(lengths) if step < lengths[-1] else int((lengths > step).sum())
-        models.predict(m)
-        unit = width[:m] >> U(TOTAL_BITS)
-        v = np.minimum((value[:m] // unit).view(np.int64), top)
-        big1, big2 = models.m1 << 24, models.m2 << 24
-        # An empty slot has no weight; what is said of its rank doesn't count.
-        s1, n1 = models.flat_part(kinds[models.p1], models.p1)
-        s2, n2 = models.flat_part(kinds[models.p2], models.p2)
-        s1 += big2 * (models.p2 < models.p1)
-        s2 += big1 * (models.p1 < models.p2)
-        n1 += big1
-        n2 += big2
-        e1, e2 = s1 + n1, s2 + n2
-        rest = v - big1 * (v >= e1) - big2 * (v >= e2)
-        quotient = ((rest >> 8) // models.m0).astype(np.int32)
-        kind = (quotient[:, None] >= models.cdf[:m, 1:-1]).sum(axis=1)
-        lowest = (np.int64(1) << kind) - 1
-        base, size = models.flat_part(kind, lowest)
-        place = np.maximum(np.minimum((rest - base) // size, lowest), 0)
-        start = base + place * size + (v - rest)
-        rank = place + lowest
-        for big, p, first, end, n in ((big1, models.p1, s1, e1, n1), (big2, models.p2, s2, e2, n2)):
-            inside = np.flatnonzero((big > 0) & (v >= first) & (v < end))
-            rank[inside], start[inside], size[inside] = p[inside], first[inside], n[inside]
-        kind = kinds[rank]
-        value[:m] -= unit * start.view(U)
-        width[:m] = unit * size.view(U)
-        models.advance(rank, kind)
-        out[step, :m] = rank
-        need = np.flatnonzero(width[:m] < U(1 << FULL))
+        words[k, : len(c)] = c
+    words = words.T.reshape(-1)
+    value, at = np.zeros(blocks, U), np.arange(blocks)
+    for _ in range(4):
+        value = value << U(16) | words[at]
+        at += blocks
+    width = np.full(blocks, 2**64 - 1, U)
+    out, left = np.zeros((int(lengths[0]), blocks), np.int32), False
+    kinds = class_of(np.arange(-1, (1 << len(prior) - 1) - 1))
+    for step, ranks in enumerate(out):
+        if step == lengths[-1]:
+            m = int((lengths > step).sum())
+            models.narrow(m)
+            left = value[m:].any()
+            value, width, at, ranks = value[:m], width[:m], at[:m], ranks[:m]
+        named, (big1, big2) = models.predict(width >> U(16))
+        flat = big2 + big1
+        by2, by0 = value < big2, value >= flat
+        # What comes of order 0 where another one names the rank doesn't count, but is in bounds.
+        width -= flat
+        width >>= U(CLASS_BITS)
+        rest = value - flat
+        kind = models.class_at(np.minimum(rest // width, U(CLASS_WHOLE - 1)))
+        first, size = models.class_part(kind)
+        first *= width
+        rest -= first
+        size *= width
+        size >>= kind.view(U)
+        lowest = 1 << kind
+        place = np.minimum(rest // size, (lowest - 1).view(U))
+        rest -= place * size
+        lowest += place.view(np.int64)
+        ranks[:] = np.where(by2, named[1], np.where(by0, lowest.astype(np.int32), named[0]))
+        value = np.where(by2, value, np.where(by0, rest, value - big2))
+        width = np.where(by2, big2, np.where(by0, size, big1))
+        rank = ranks.astype(np.int64)
+        models.advance(rank, ranks, kinds.take(rank, mode="clip"), named == ranks)
+        need = (width < FULL).astype(np.int64)
+        word = words.take(at, mode="clip").astype(U)
+        word *= need.view(U)
+        at += need * blocks
+        need <<= 4
+        value <<= need.view(U)
+        value |= word
+        width <<= need.view(U)
+        need = np.flatnonzero(width < FULL)
         while len(need):
-            value[need] = (value[need] << U(16)) | words[np.minimum(at[need], longest + 7), need]
-            at[need] += 1
+            value[need] = value[need] << U(16) | words.take(at[need], mode="clip")
+            at[need] += blocks
             width[need] <<= U(16)
-            need = need[width[need] < U(1 << FULL)]
-    return out
+            need = need[width[need] < FULL]
+    if left or value.any():  # all of a code is the start of its last range
+        raise ValueError("damaged code of a block")
+    return out - 1
 
 
 def class_prior(counts: np.ndarray) -> np.ndarray:
     """How often ranks occur -> cumulative class shares; each class has at least ``LEAST``."""
     kinds = class_of(np.arange(len(counts)))
     total = np.bincount(kinds, counts)
-    shares = LEAST + np.floor(total * (WHOLE - LEAST * len(total)) / max(total.sum(), 1)).astype(np.int64)
-    shares[0] += WHOLE - shares.sum()
+    shares = LEAST + np.floor(total * (CLASS_WHOLE - LEAST * len(total)) / max(total.sum(), 1)).astype(np.int64)
+    shares[0] += CLASS_WHOLE - shares.sum()
     return np.concatenate([[0], np.cumsum(shares)])
 
 
@@ -255,7 +302,8 @@ def encode_ids(ids: np.ndarray) -> bytes:
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     codes: list[bytes] = []
     for k in range(0, len(lengths), LANES):
-        codes += _encode_blocks(ranks, starts[k : k + LANES], lengths[k : k + LANES], prior)
+        some = lengths[k : k + LANES]
+        codes += _encode_blocks(ranks[starts[k] : starts[k] + some.sum()], some, prior)
     plain = ids.astype("<u4")
     sums = [zlib.crc32(plain[a : a + n]) for a, n in zip(starts, lengths, strict=True)]
     table = np.array([[len(c), s] for c, s in zip(codes, sums, strict=True)], "<u4")
@@ -310,6 +358,48 @@ PLAIN[[ord("|"), 0x97, 0xB7]] = False
 # Fixed value: the split pattern of the vocabulary, for such words in lower case.
 _PARTS = re.compile(r"('s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+)")
 
+SPACE, LETTER, DIGIT, SIGN, WHOLE_WORD = range(5)
+SORT = np.full(256, WHOLE_WORD, np.uint8)  # of bytes; apostrophes may go with letters, so such words stay whole
+SORT[PLAIN] = SIGN
+SORT[0x61:0x7B] = SORT[0x41:0x5B] = LETTER
+SORT[0x80:] = np.where(PLAIN[0x80:], LETTER, WHOLE_WORD)
+SORT[0x30:0x3A] = DIGIT
+SORT[ord("'")] = WHOLE_WORD
+SORT[sorted(ASCII_SPACE)] = SPACE
+
+
+def encoded_parts(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Numbers of the parts of all texts, the distinct parts they stand for, and the part offsets of the rows.
+
+    Parts are what the split pattern makes of plain words in lower case; other words, and those with an apostrophe, are
+    one part as they are. So every part has the ids that it has as a word.
+    """
+    raw, rows = text_buffers(texts)
+    sort, data = SORT[raw], SPACE_WORDS[raw]
+    second = np.flatnonzero(raw == 0xC3) + 1
+    data[second] = LOWER_SECOND[raw[second]]
+    odd = sort == WHOLE_WORD
+    if odd.any():
+        starts, ends = word_bounds(sort != SPACE, rows)
+        whole = np.bitwise_or.reduceat(odd.view(np.uint8), starts).view(bool)
+        starts, lengths = starts[whole], (ends - starts)[whole]
+        upto = np.cumsum(lengths)
+        at = np.arange(upto[-1]) + np.repeat(starts - upto + lengths, lengths)
+        sort[at], data[at] = WHOLE_WORD, raw[at]
+    inside = sort != SPACE
+    begins = inside.copy()
+    if len(raw):
+        begins[1:] &= (sort[1:] != sort[:-1]) | (sort[1:] == DIGIT)
+        filled = rows[:-1][rows[:-1] < rows[1:]]
+        begins[filled] = inside[filled]
+    data = data[inside]
+    offsets = np.append(np.flatnonzero(begins[inside]), len(data))
+    small = len(data) < 2**31
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32 if small else np.int64)), pa.py_buffer(data)]
+    parts = pa.Array.from_buffers(pa.binary() if small else pa.large_binary(), len(offsets) - 1, buffers)
+    coded = parts.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, np.searchsorted(np.flatnonzero(begins), rows)
+
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins what white space separates.
@@ -390,7 +480,7 @@ class WordTokenizer:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; number of ids of each)."""
-        codes, distinct, rows = encoded_words(texts, PLAIN_SPACE)
+        codes, distinct, rows = encoded_parts(texts)
         distinct = distinct.cast(pa.large_binary())
         known = pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = known < 0

@@ -575,6 +575,55 @@ def test_damage_is_found():
             idcoder.decode_ids(bytes(broken))
 
 
+def test_damage_is_found_to_the_last_byte():
+    """Before, a block's last bytes could be changed and it still decoded to its ids."""
+    for n in (1, 700, 3001):
+        data = idcoder.encode_ids((np.random.default_rng(n).zipf(1.3, n) % 40_000).astype(np.uint32))
+        for at in range(len(data) - 8, len(data)):
+            for bits in (0x01, 0x55, 0x80):
+                broken = bytearray(data)
+                broken[at] ^= bits
+                with pytest.raises(ValueError):
+                    idcoder.decode_ids(bytes(broken))
+
+
+def test_blocks_of_two_lengths_round_trip():
+    """Blocks advance together; some end a step before others, and only some are left in the last step."""
+    draw = np.random.default_rng(6)
+    for n in (1025, 2047, 2049, 4095, 5000):
+        ids = (draw.zipf(1.1, n) % 3000).astype(np.uint32)
+        assert np.array_equal(idcoder.decode_ids(idcoder.encode_ids(ids)), ids)
+
+
+def test_words_that_differ_in_case_and_signs_are_learned_once(tokenizer_json, monkeypatch):
+    """Before, each spelling of a word was encoded for itself."""
+    from tokenizers import Tokenizer
+
+    sys.modules.pop("quayside_kept_words", None)
+    mine, learned = idcoder.WordTokenizer(tokenizer_json, 1), []
+    learn = idcoder.WordTokenizer._learn
+    monkeypatch.setattr(idcoder.WordTokenizer, "_learn", lambda self, words: learned.extend(words.to_pylist()) or learn(self, words))
+    rows = ["alpha Alpha, ALPHA. (alpha) alpha-\u00c9t\u00e9 \u00e9t\u00c9!", "alpha2alpha", None, "Don't alpha's Don't", "x|Y <|ENDOFTEXT|> <|endoftext|>"]
+    got, n = mine(pa.array(rows, pa.string()))
+    parts = ["alpha", ",", ".", "(", ")", "-", "\u00e9t\u00e9", "!", "2", "Don't", "alpha's", "x|Y", "<|ENDOFTEXT|>", "<|endoftext|>"]
+    assert sorted(learned) == sorted(p.encode() for p in parts)
+    whole = Tokenizer.from_str(tokenizer_json)
+    for row, ids in zip(rows, np.split(got, np.cumsum(n)[:-1]), strict=True):
+        assert ids.tolist() == [*whole.encode(row or "", add_special_tokens=False).ids, 1]
+    sys.modules.pop("quayside_kept_words")
+
+
+def test_plain_bytes_are_split_as_the_tokenizer_splits_them(tokenizer_json):
+    from tokenizers import Tokenizer
+
+    draw, whole = np.random.default_rng(7), Tokenizer.from_str(tokenizer_json)
+    letters = [*map(chr, range(0x20, 0x7F)), *map(chr, range(0xC0, 0x100)), *"aaabbcc  \n\t''..12", "\u0301", "\u4e2d", "\u00a0", "<|endoftext|>"]
+    rows = ["".join(draw.choice(letters, draw.integers(0, 40))) for _ in range(3000)]
+    got, n = idcoder.WordTokenizer(tokenizer_json, 1)(pa.array(rows, pa.string()))
+    for row, ids in zip(rows, np.split(got, np.cumsum(n)[:-1]), strict=True):
+        assert ids.tolist() == [*whole.encode(row, add_special_tokens=False).ids, 1], row
+
+
 def test_files_hold_every_document_in_order(spark, docs, odd, tokenizer_json, monkeypatch):
     from tokenizers import Tokenizer
 
