@@ -25,6 +25,7 @@ import struct
 import sys
 import types
 import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,13 +67,18 @@ class Models:
     upper half. Weights of empty slots are zero and stay so, others stay above zero, and both together below ``WHOLE``.
     """
 
-    def __init__(self, blocks: int, prior: np.ndarray):
-        self.blocks, classes = blocks, len(prior) - 1
-        self.shares = np.repeat(prior.astype(np.uint16)[:, None], blocks, axis=1)
+    def __init__(self, priors: list[np.ndarray]):
+        """``priors``: the class shares that each block starts with."""
+        self.blocks = blocks = len(priors)
+        classes = np.array([len(p) - 1 for p in priors], np.int16)
+        self.shares = np.full((max(classes) + 1, blocks), CLASS_WHOLE, np.uint16)
+        for prior in {id(p): p for p in priors}.values():
+            self.shares[: len(prior), [p is prior for p in priors]] = prior[:, None]
         self.flat, self.inner = self.shares.reshape(-1), self.shares[1:-1]
-        self.at = np.arange(1, classes, dtype=np.int16)[:, None]
+        self.at = np.arange(1, max(classes), dtype=np.int16)[:, None]
         # What moves the upper bounds of classes: each class gets the least share, the one that came all that is free.
-        self.least, self.free = self.at * np.int16(LEAST >> RATE), np.int16(CLASS_WHOLE - LEAST * classes >> RATE)
+        self.least = np.minimum(self.at, classes) * np.int16(LEAST >> RATE)
+        self.free = (CLASS_WHOLE - LEAST * classes.astype(np.int64) >> RATE).astype(np.int16)
         self.slots = np.zeros(2 * blocks * SLOTS, np.int32)
         start = np.array(START_WEIGHT, np.uint32)
         self.weights = np.tile(np.add.outer(start << 16, start).reshape(-1), blocks)
@@ -83,7 +89,8 @@ class Models:
 
     def narrow(self, m: int) -> None:
         """Go on with the first ``m`` blocks."""
-        self.inner, self.weight, self.edges = self.inner[:, :m], self.weight[:m], self.edges[:, :m]
+        self.inner, self.least, self.free = self.inner[:, :m], self.least[:, :m], self.free[:m]
+        self.weight, self.edges = self.weight[:m], self.edges[:, :m]
         self.context, self.last, self.before = self.context[:, :m], self.last[:m], self.before[:m]
 
     def predict(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,25 +155,31 @@ def _lengths(n: int) -> np.ndarray:
     return np.full(blocks, n // blocks) + (np.arange(blocks) < n % blocks)
 
 
-def _encode_blocks(ranks: np.ndarray, lengths: np.ndarray, prior: np.ndarray) -> list[bytes]:
-    """Ranks of blocks of falling lengths that differ by one at most -> the blocks' code."""
-    blocks, longest = len(lengths), int(lengths[0])
-    full = int((lengths == longest).sum())
-    steps = np.zeros((longest, blocks), np.int64)
-    steps[:, :full] = ranks[: full * longest].reshape(full, longest).T
-    steps[: longest - 1, full:] = ranks[full * longest :].reshape(blocks - full, longest - 1).T
+def _lasting(lengths: np.ndarray) -> np.ndarray:
+    """Falling lengths of blocks -> how many blocks each step has."""
+    return np.searchsorted(-lengths, -np.arange(lengths[0]))
+
+
+def _encode_blocks(ranks: np.ndarray, lengths: np.ndarray, priors: list[np.ndarray]) -> list[bytes]:
+    """The ranks of blocks of falling lengths -> the blocks' code."""
+    blocks, longest, lasting = len(lengths), int(lengths[0]), _lasting(lengths)
+    steps = np.zeros((blocks, longest), np.int32)
+    steps[np.arange(longest) < lengths[:, None]] = ranks
+    steps = np.ascontiguousarray(steps.T)
     steps += 1
-    models = Models(blocks, prior)
+    models = Models(priors)
     low, width = np.zeros(blocks, U), np.full(blocks, 2**64 - 1, U)
     out, at = np.zeros((longest + 64) * blocks, np.uint32), np.arange(blocks)
     kinds = class_of(np.arange(-1, int(ranks.max()) + 1))
     places = (np.arange(len(kinds)) - (1 << np.maximum(kinds, 0))).astype(U)
     lows, ats = low, at
-    for step, rank in enumerate(steps):
-        if step == lengths[-1]:
-            models.narrow(full)
-            low, width, at, rank = low[:full], width[:full], at[:full], rank[:full]
-        kind, small = kinds.take(rank), rank.astype(np.int32)
+    for step, m in enumerate(lasting):
+        if m < len(low):
+            models.narrow(m)
+            low, width, at = low[:m], width[:m], at[:m]
+        small = steps[step, :m]
+        rank = small.astype(np.int64)
+        kind = kinds.take(rank)
         named, (big1, big2) = models.predict(width >> U(16))
         hit = named == small
         flat = big2 + big1
@@ -212,10 +225,10 @@ def _encode_blocks(ranks: np.ndarray, lengths: np.ndarray, prior: np.ndarray) ->
     return [code[k, :n].tobytes() for k, n in enumerate(upto)]
 
 
-def _decode_blocks(codes: list[np.ndarray], lengths: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Codes of blocks -> ranks, (steps, blocks)."""
+def _decode_blocks(codes: list[np.ndarray], lengths: np.ndarray, priors: list[np.ndarray]) -> np.ndarray:
+    """Codes of blocks of falling lengths -> ranks, (blocks, steps)."""
     blocks = len(lengths)
-    models = Models(blocks, prior)
+    models = Models(priors)
     words = np.zeros((blocks, max(len(c) for c in codes) + 8), np.uint16)
     for k, c in enumerate(codes):
         words[k, : len(c)] = c
@@ -226,13 +239,13 @@ def _decode_blocks(codes: list[np.ndarray], lengths: np.ndarray, prior: np.ndarr
         at += blocks
     width = np.full(blocks, 2**64 - 1, U)
     out, left = np.zeros((int(lengths[0]), blocks), np.int32), False
-    kinds = class_of(np.arange(-1, (1 << len(prior) - 1) - 1))
-    for step, ranks in enumerate(out):
-        if step == lengths[-1]:
-            m = int((lengths > step).sum())
+    kinds = class_of(np.arange(-1, (1 << len(models.shares) - 1) - 1))
+    for step, m in enumerate(_lasting(lengths)):
+        if m < len(value):
             models.narrow(m)
-            left = value[m:].any()
-            value, width, at, ranks = value[:m], width[:m], at[:m], ranks[:m]
+            left |= value[m:].any()
+            value, width, at = value[:m], width[:m], at[:m]
+        ranks = out[step, :m]
         named, (big1, big2) = models.predict(width >> U(16))
         flat = big2 + big1
         by2, by0 = value < big2, value >= flat
@@ -271,7 +284,8 @@ def _decode_blocks(codes: list[np.ndarray], lengths: np.ndarray, prior: np.ndarr
             need = need[width[need] < FULL]
     if left or value.any():  # all of a code is the start of its last range
         raise ValueError("damaged code of a block")
-    return out - 1
+    out -= 1
+    return np.ascontiguousarray(out.T)
 
 
 def class_prior(counts: np.ndarray) -> np.ndarray:
@@ -283,70 +297,111 @@ def class_prior(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(shares)])
 
 
+def _together(lengths: list[np.ndarray]) -> list[np.ndarray]:
+    """Lengths of the blocks of some segments -> places of those that advance together, longest first."""
+    every = np.concatenate([np.zeros(0, np.int64), *lengths])
+    return np.array_split(np.argsort(-every, kind="stable"), -(-len(every) // LANES)) if len(every) else []
+
+
+def encode_segments(segments: list[np.ndarray]) -> list[bytes]:
+    """Ids of segments -> their binary values."""
+    ranked, priors, lengths, heads = [], [], [], []
+    for ids in segments:
+        if not len(ids):
+            lengths.append(np.zeros(0, np.int64))
+            heads.append(b"")
+            continue
+        if ids.max() < 1 << 20:  # vocabularies are small; count instead of sorting
+            counts = np.bincount(ids)
+            known = np.flatnonzero(counts)
+            counts, number = counts[known], (np.cumsum(counts > 0) - 1)[ids]
+        else:
+            known, number, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.lexsort((known, -counts))
+        rank_of = np.empty(len(known), np.int32)
+        rank_of[order] = np.arange(len(known))
+        prior = class_prior(counts[order])
+        lengths.append(_lengths(len(ids)))
+        ranked += np.split(rank_of[number], np.cumsum(lengths[-1])[:-1])
+        priors += [prior] * len(lengths[-1])
+        wide = "<u2" if known[-1] < 1 << 16 else "<u4"
+        head = struct.pack("<QIII", len(ids), len(lengths[-1]), len(known), int(wide[-1]))
+        heads.append(head + known[order].astype(wide).tobytes() + prior.astype("<u4").tobytes())
+    codes: list[bytes] = [b""] * len(priors)
+    for some in _together(lengths):
+        ranks = [ranked[k] for k in some]
+        made = _encode_blocks(np.concatenate(ranks), np.array([len(r) for r in ranks]), [priors[k] for k in some])
+        for k, code in zip(some, made, strict=True):
+            codes[k] = code
+    out, done = [], 0
+    for ids, n, head in zip(segments, lengths, heads, strict=True):
+        if not len(ids):
+            out.append(MAGIC + struct.pack("<QIII", 0, 0, 0, 0))
+            continue
+        mine = codes[done : done + len(n)]
+        done += len(n)
+        plain, ends = ids.astype("<u4"), np.cumsum(n)
+        sums = [zlib.crc32(plain[b - k : b]) for b, k in zip(ends, n, strict=True)]
+        head += np.array([[len(c), s] for c, s in zip(mine, sums, strict=True)], "<u4").tobytes()
+        out.append(MAGIC + head + struct.pack("<I", zlib.crc32(head)) + b"".join(mine))
+    return out
+
+
 def encode_ids(ids: np.ndarray) -> bytes:
     """Ids of a segment -> its binary value."""
-    if not len(ids):
-        return MAGIC + struct.pack("<QIII", 0, 0, 0, 0)
-    if ids.max() < 1 << 20:  # vocabularies are small; count instead of sorting
-        counts = np.bincount(ids)
-        known = np.flatnonzero(counts)
-        counts, number = counts[known], (np.cumsum(counts > 0) - 1)[ids]
-    else:
-        known, number, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((known, -counts))
-    rank_of = np.empty(len(known), np.int64)
-    rank_of[order] = np.arange(len(known))
-    ranks = rank_of[number]
-    prior = class_prior(counts[order])
-    lengths = _lengths(len(ids))
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    codes: list[bytes] = []
-    for k in range(0, len(lengths), LANES):
-        some = lengths[k : k + LANES]
-        codes += _encode_blocks(ranks[starts[k] : starts[k] + some.sum()], some, prior)
-    plain = ids.astype("<u4")
-    sums = [zlib.crc32(plain[a : a + n]) for a, n in zip(starts, lengths, strict=True)]
-    table = np.array([[len(c), s] for c, s in zip(codes, sums, strict=True)], "<u4")
-    wide = "<u2" if known[-1] < 1 << 16 else "<u4"
-    head = struct.pack("<QIII", len(ids), len(lengths), len(known), int(wide[-1]))
-    head += known[order].astype(wide).tobytes() + prior.astype("<u4").tobytes() + table.tobytes()
-    return MAGIC + head + struct.pack("<I", zlib.crc32(head)) + b"".join(codes)
+    return encode_segments([ids])[0]
+
+
+def decode_segments(values: list[bytes]) -> list[np.ndarray]:
+    """The binary values of segments -> their ids. Raises ``ValueError`` where a checksum does not fit."""
+    codes, priors, lengths, tables = [], [], [], []
+    for data in values:
+        if data[: len(MAGIC)] != MAGIC:
+            raise ValueError("no segment of ids")
+        n, blocks, known, width = struct.unpack_from("<QIII", data, len(MAGIC))
+        if not n:
+            lengths.append(np.zeros(0, np.int64))
+            tables.append((np.zeros(0, np.uint32), np.zeros(0, np.uint32)))
+            continue
+        at = begin = len(MAGIC)
+        at += struct.calcsize("<QIII")
+        by_rank = np.frombuffer(data, f"<u{width}", known, at).astype(np.uint32)
+        at += known * width
+        classes = int(class_of(np.array([known - 1]))[0]) + 1
+        prior = np.frombuffer(data, "<u4", classes + 1, at)
+        at += 4 * (classes + 1)
+        table = np.frombuffer(data, "<u4", 2 * blocks, at).reshape(blocks, 2)
+        at += 8 * blocks
+        if struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[begin:at]):
+            raise ValueError("damaged header")
+        at += 4
+        ends = at + np.cumsum(table[:, 0].astype(np.int64))
+        codes += [np.frombuffer(data, "<u2", int(size) // 2, int(end - size)) for end, size in zip(ends, table[:, 0], strict=True)]
+        priors += [prior] * blocks
+        lengths.append(_lengths(n))
+        tables.append((by_rank, table[:, 1]))
+    every = np.concatenate([np.zeros(0, np.int64), *lengths])
+    ranked: list[np.ndarray] = [np.zeros(0, np.int32)] * len(every)
+    for some in _together(lengths):
+        ranks = _decode_blocks([codes[k] for k in some], every[some], [priors[k] for k in some])
+        for k, row in zip(some, ranks, strict=True):
+            ranked[k] = row[: every[k]]
+    out, done = [], 0
+    for n, (by_rank, sums) in zip(lengths, tables, strict=True):
+        mine = ranked[done : done + len(n)]
+        done += len(n)
+        ids = by_rank.take(np.concatenate(mine), mode="clip") if len(n) else by_rank
+        plain, ends = ids.astype("<u4"), np.cumsum(n)
+        for b, (end, k) in enumerate(zip(ends, n, strict=True)):
+            if zlib.crc32(plain[end - k : end]) != sums[b]:
+                raise ValueError(f"damaged block {b}")
+        out.append(ids)
+    return out
 
 
 def decode_ids(data: bytes) -> np.ndarray:
     """The binary value of a segment -> its ids. Raises ``ValueError`` where a checksum does not fit."""
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("no segment of ids")
-    n, blocks, known, width = struct.unpack_from("<QIII", data, len(MAGIC))
-    if not n:
-        return np.zeros(0, np.uint32)
-    at = begin = len(MAGIC)
-    at += struct.calcsize("<QIII")
-    by_rank = np.frombuffer(data, f"<u{width}", known, at).astype(np.uint32)
-    at += known * width
-    classes = int(class_of(np.array([known - 1]))[0]) + 1
-    prior = np.frombuffer(data, "<u4", classes + 1, at)
-    at += 4 * (classes + 1)
-    table = np.frombuffer(data, "<u4", 2 * blocks, at).reshape(blocks, 2)
-    at += 8 * blocks
-    if struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[begin:at]):
-        raise ValueError("damaged header")
-    at += 4
-    lengths = _lengths(n)
-    ends = at + np.cumsum(table[:, 0].astype(np.int64))
-    out = np.empty(n, np.uint32)
-    done = 0
-    for k in range(0, blocks, LANES):
-        some = range(k, min(k + LANES, blocks))
-        codes = [np.frombuffer(data, "<u2", int(table[b, 0]) // 2, int(ends[b] - table[b, 0])) for b in some]
-        ranks = _decode_blocks(codes, lengths[k : k + LANES], prior)
-        for j, b in enumerate(some):
-            ids = by_rank[np.minimum(ranks[: lengths[b], j], known - 1)]
-            if zlib.crc32(ids.astype("<u4")) != table[b, 1]:
-                raise ValueError(f"damaged block {b}")
-            out[done : done + len(ids)] = ids
-            done += len(ids)
-    return out
+    return decode_segments([data])[0]
 
 
 # Words of these bytes only are split and spelled here; the library does it for others. They are printable ASCII
@@ -505,6 +560,20 @@ class WordTokenizer:
         return out, n + 1
 
 
+def full_groups(segments: Iterable, size: Callable) -> Iterator[list]:
+    """Segments in groups whose blocks advance together: as many as ``LANES`` blocks hold, or one that is larger."""
+    some, total = [], 0
+    for segment in segments:
+        n = size(segment)
+        if some and total + n > LANES * BLOCK:
+            yield some
+            some, total = [], 0
+        some.append(segment)
+        total += n
+    if some:
+        yield some
+
+
 SEGMENT = "part int, segment int, doc_ids array<bigint>, doc_tokens array<bigint>, n_tokens bigint, ids binary"
 
 
@@ -517,16 +586,21 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 1)
     def run(batches):
         tokenize = WordTokenizer(tokenizer_json, end_id)
         part, segment = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, limit=TEXT_BYTES):
-            ids, n = tokenize(batch.column("text"))
-            doc_ids = pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), batch.column("doc_id"))
-            tokens = pa.array([n], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), doc_ids, tokens,
-                 pa.array([len(ids)], pa.int64()), pa.array([encode_ids(ids)], pa.binary())],
-                ["part", "segment", "doc_ids", "doc_tokens", "n_tokens", "ids"],
-            )
-            segment += 1
+
+        def tokenized():
+            for batch in slices(batches, limit=TEXT_BYTES):
+                yield batch.column("doc_id"), *tokenize(batch.column("text"))
+
+        for some in full_groups(tokenized(), lambda x: len(x[1])):
+            for (docs_, ids, n), value in zip(some, encode_segments([ids for _, ids, _ in some]), strict=True):
+                doc_ids = pa.ListArray.from_arrays(pa.array([0, len(docs_)], pa.int32()), docs_)
+                tokens = pa.array([n], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), doc_ids, tokens,
+                     pa.array([len(ids)], pa.int64()), pa.array([value], pa.binary())],
+                    ["part", "segment", "doc_ids", "doc_tokens", "n_tokens", "ids"],
+                )
+                segment += 1
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # The ids are compressed already.
@@ -540,10 +614,11 @@ def read_ids(files: DataFrame) -> DataFrame:
     """Files of ids -> (part, segment, doc_id, before, n_tokens, ids_crc32), every block decoded and checked."""
 
     def run(batches):
-        for batch in batches:
-            for k in range(len(batch)):
-                row = batch.slice(k, 1).to_pylist()[0]
-                ids = decode_ids(row["ids"]).astype("<u4")
+        rows = (batch.slice(k, 1) for batch in batches for k in range(len(batch)))
+        for some in full_groups(rows, lambda row: row.column("n_tokens")[0].as_py()):
+            some = [row.to_pylist()[0] for row in some]
+            for row, ids in zip(some, decode_segments([row["ids"] for row in some]), strict=True):
+                ids = ids.astype("<u4")
                 ends = np.cumsum(row["doc_tokens"])
                 if len(ids) != row["n_tokens"] or ends[-1] != len(ids):
                     raise ValueError("documents don't fill their segment")

@@ -595,6 +595,26 @@ def test_blocks_of_two_lengths_round_trip():
         assert np.array_equal(idcoder.decode_ids(idcoder.encode_ids(ids)), ids)
 
 
+@pytest.mark.parametrize("lanes", [4096, 7])
+def test_segments_advance_together_and_keep_their_bytes(monkeypatch, lanes):
+    """Before, each segment was coded for itself, in as many steps for a few blocks as for thousands."""
+    draw = np.random.default_rng(8)
+    segments = [np.zeros(0), np.array([5]), draw.zipf(1.2, 9000) % 40_000, np.full(2500, 7), draw.integers(0, 2**32, 1500), draw.zipf(1.5, 1023)]
+    segments = [x.astype(np.uint32) for x in segments]
+    alone = [idcoder.encode_ids(x) for x in segments]
+    monkeypatch.setattr(idcoder, "LANES", lanes)
+    coded, runs = idcoder._encode_blocks, []
+    monkeypatch.setattr(idcoder, "_encode_blocks", lambda *a: runs.append(len(a[1])) or coded(*a))
+    assert idcoder.encode_segments(segments) == alone
+    assert max(runs) <= lanes and sum(runs) == 16 and len(runs) == (1 if lanes > 16 else 3)
+    for got, ids in zip(idcoder.decode_segments(alone), segments, strict=True):
+        assert np.array_equal(got, ids)
+    assert idcoder.encode_segments([]) == [] and idcoder.decode_segments([]) == []
+    groups = list(idcoder.full_groups([9000, 9000, 1, 2**23, 5, lanes * 1024 - 5, 1], int))
+    assert sum(groups, []) == [9000, 9000, 1, 2**23, 5, lanes * 1024 - 5, 1]
+    assert all(len(g) == 1 or sum(g) <= lanes * 1024 for g in groups) and groups[-2:] == [[5, lanes * 1024 - 5], [1]]
+
+
 def test_words_that_differ_in_case_and_signs_are_learned_once(tokenizer_json, monkeypatch):
     """Before, each spelling of a word was encoded for itself."""
     from tokenizers import Tokenizer
