@@ -9,10 +9,12 @@ alone and damage is found where it is.
 Model. Ids are coded by their frequency rank. Three predictions are mixed: order 2 names the rank that followed
 the last two ids before, order 1 the one that followed the last id, and order 0 spreads over frequency classes,
 whose shares adapt, and evenly within a class. The weights of the mix adapt, too, apart for every pair of
-confidences of order 2 and order 1. The mixed distribution drives an arithmetic range coder with 64-bit ranges.
+confidences of order 2 and order 1. An arithmetic range coder with 64-bit ranges gives a rank that order 2 or
+order 1 names their share of the range, and any other one its part of the rest, by order 0.
 
-All blocks of a segment advance together, an id each per step: the state of the models is one numpy array per
-part, with a row per block. Spark's writer commits the files, so a lost executor leaves none behind.
+Blocks advance together, an id each per step, those of several segments if ``LANES`` has room: the state of the
+models is one numpy array per part, for all blocks. What is coded with a block does not change its bytes. Spark's
+writer commits the files, so a lost executor leaves none behind.
 
 Cases. Null and empty texts have only the end id. A null ``doc_id`` comes first. Rows with one ``doc_id`` are
 ordered by text. A text of any length is in one segment; segments of long texts have more blocks, not longer ones.
@@ -459,10 +461,10 @@ def encoded_parts(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 class WordTokenizer:
     """Ids of texts by a tokenizer that never joins what white space separates.
 
-    Each distinct word is encoded once by the library and its ids are put in place of it; a bounded number of
-    words is remembered from one batch to the next, and by a worker process from one task to the next. Plain words
-    are merged by the library many at a time: their parts are handed over in the byte alphabet, and a part's last
-    piece is the one that ends a word.
+    Each distinct part of words is encoded once by the library and its ids are put in place of it; a bounded number
+    of them is remembered from one batch to the next, and by a worker process from one task to the next. Plain ones
+    are merged by the library many at a time: they are handed over in the byte alphabet, and the last piece is the
+    one that ends a word.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int):
