@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from conftest import BASE, clock, record
 from quayside.contract import MESSAGE
 from quayside.operators.classify import first_valid
+from quayside.operators.metrics import outcome_totals_by
 from quayside.sinks.publish import OUTBOX, envelopes
 from quayside.sources.landed import read_landed
 from quayside.sources.stream import StreamSource, file_messages
@@ -409,3 +410,29 @@ def test_bus_landing_as_a_stream(spark, parsed, tmp_path):
         start_bus_landing(stream, where, NOW, available_now=True).awaitTermination()
     got = sorted((r.source_record_id, r.batch_id) for r in read_landed(spark, where.landing, batches=True).collect())
     assert got == [("1", 0), ("2", 1)]
+
+
+def test_a_batch_counts_accepted_records_and_leaves_nothing_behind(spark, topic, store):
+    topic.send(trade("PT-1", quantityMt="1"), trade("PT-1", quantityMt="2"), trade("PT-2", vesselImo="9074720"))
+    run(spark, topic, store)
+    assert outcomes(spark, store) == {"Accepted": 1, "Duplicate": 1, "Rejected": 1, "Failed": 0}
+    assert [x.record.fields["vesselImo"] for x in spark.read.parquet(store.dead_letters).collect()] == ["9074720"]
+    left = os.listdir(f"{work_root(spark)}/quayside/{spark.sparkContext.applicationId}")
+    assert not [name for name in left if name.startswith("batch-")]
+
+
+def test_counts_of_accepted_records_need_no_ranking(spark, parsed):
+    rows = parsed(record(rid="A"), record(rid="A", channel="Api"), record(rid="B", port="x"), record(rid="C"), record(rid="D", channel="Api"))
+    taken = spark.createDataFrame([("trading-desk:C",)], "dedup_key string")
+    want = outcome_totals_by(rows, ["channel"], taken)
+    got = outcome_totals_by(rows, ["channel"], accepted=first_valid(rows, taken))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
+
+
+def test_a_lookup_where_nothing_is_stored_shuffles_nothing(spark, tmp_path):
+    index = KeyedStore(str(tmp_path / "keys"))
+    wanted = spark.createDataFrame([("a",), ("b",)], "key string")
+    index.add(wanted, 3)
+    none = index.of_keys(wanted, 3)
+    assert none.collect() == [] and "Exchange" not in none._jdf.queryExecution().executedPlan().toString()
+    assert [r.key for r in index.of_keys(wanted.limit(1), 4).collect()] == ["a"]
