@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import BASE, clock, record
 from quayside.contract import MESSAGE
+from quayside.functions import flat_string_maps
 from quayside.operators.classify import first_valid, parse
 from quayside.sinks.publish import envelopes, kafka_rows
 from quayside.sources import all_channels, bus, push
@@ -239,3 +240,70 @@ def test_undecodable_bodies(spark, parsed):
 def test_subscription_filter(spark):
     frame = spark.createDataFrame([(1,), (2,), (None,)], "schema_version int")
     assert [r[0] for r in bus.schema_v1(frame).collect()] == [1]
+
+
+def test_messages_in_time_order_are_not_shuffled_for_their_arrival(spark):
+    """Only places and times are; before, whole messages went through a window. Raised ones are joined by place."""
+    rows = [(str(n), 0, n, n) for n in range(6)]
+    frame = spark.createDataFrame(rows, "value string, partition int, offset bigint, second int").withColumn("timestamp", F.timestamp_seconds("second"))
+    in_order = non_falling(frame)
+    assert "Exchange" not in in_order._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.instant for r in in_order.collect()) == [n * 1_000_000 for n in range(6)]
+    late = non_falling(frame.withColumn("timestamp", F.timestamp_seconds(F.when(F.col("offset") == 3, 1).otherwise(F.col("second")))))
+    assert [r.instant for r in late.orderBy("offset").collect()] == [n * 1_000_000 for n in (0, 1, 2, 2, 4, 5)]
+    alike = spark.createDataFrame([(0, 1, 5), (0, 1, 9), (0, 2, 7)], "partition int, offset bigint, second int")
+    alike = non_falling(alike.withColumn("timestamp", F.timestamp_seconds("second")))
+    assert [r.instant for r in alike.collect()] == [9_000_000] * 3
+
+
+ODD_TEXTS = {
+    '{"a":"b","c":null}': {"a": "b", "c": None},
+    ' { "a" : "x\\"}y\\\\" , "a" : "\\u0041" } ': {"a": "A"},
+    "{}": {},
+    '{"a":"b","a":1}': None,
+    '{"a":1,"a":"b"}': None,
+    '{"a":{"b":"c"}}': None,
+    '{"a":["b"]}': None,
+    '{"a":true}': None,
+    '{"a":NaN}': None,
+    '{"a":"b"} x': None,
+    '{"a":"b"},{"a":"c"}': None,
+    '["a"]': None,
+    "null": None,
+    '"{\\"a\\":\\"b\\"}"': None,
+    '{"long":"' + "\\n" * 50_000 + '"}': {"long": "\n" * 50_000},
+}
+
+
+def test_flat_maps_of_odd_texts_are_read_without_variants(spark):
+    """Values were variants before, a builder each; now the text tells that all of them are strings."""
+    frame = spark.createDataFrame([(t,) for t in ODD_TEXTS], "text string")
+    got = flat_string_maps(frame, F.col("text"))
+    assert {r.text: r.fields for r in got.collect()} == ODD_TEXTS
+    assert "variant" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_bodies_are_parsed_once(spark, parsed):
+    """Three times before. What names, nulls, repeated names and odd numbers mean stays."""
+    body = envelopes(first_valid(parsed(record()))).first().body
+    cases = {
+        body: None,
+        body.replace('"port"', '"Port"').replace('"eventId"', '"EVENTID"'): None,
+        body.replace('"port":', '"PORT":"first","port":'): None,
+        body.replace('{"eventId":', '{"EVENTID":"first","eventId":'): None,
+        body.replace('{"eventId":', '{"eventId":"first","eventId":'): "deserialization_failed",
+        body.replace('"port":', '"port":"first","port":'): "deserialization_failed",
+        body.replace('"port":"SGSIN"', '"port":5'): "deserialization_failed",
+        body.replace('"quantityMt":412.500000000', '"quantityMt":"412.50"'): None,
+        body + " x": "deserialization_failed",
+        f"[{body}]": "deserialization_failed",
+        " null\n": "empty_payload",
+        "nullx": "deserialization_failed",
+        "": "deserialization_failed",
+    }
+    assert len(cases) == 13
+    decoded = bus.decode_events(spark.createDataFrame([(b,) for b in cases], "body string"))
+    assert {r.body: r.decode_error for r in decoded.collect()} == cases
+    good = decoded.where("decode_error IS NULL").select("port", "quantity_mt", "total_usd").distinct().collect()
+    assert [(r.port, str(r.quantity_mt), str(r.total_usd)) for r in good] == [("SGSIN", "412.500000000", "302713.12")]
+    assert decoded._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
