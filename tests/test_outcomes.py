@@ -1,12 +1,18 @@
+import os
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import clock, record
-from quayside.operators.classify import claims_for, classify, first_valid, rejected
-from quayside.operators.deadletter import dead_letters, expired_messages, replayable, summary
+from quayside.operators.classify import claims_for, classify, first_valid, first_valid_events, rejected
+from quayside.operators.deadletter import dead_letters, expired_messages, replayable, summary, with_letter_fields
 from quayside.operators.metrics import outcome_counts, outcome_totals, outcome_totals_by, publish_retries
+from quayside.operators import classify as classify_module
+from quayside.session import stored
+from quayside.sinks.publish import envelopes, write_outbox
+from workload import queries
 
 ERROR = "publish_transient"
 
@@ -189,3 +195,51 @@ def test_expired_messages(spark):
     ).withColumn("enqueued_at", F.col("at").cast("timestamp"))
     got = {r.id: r.reason for r in expired_messages(inbox, clock()).collect()}
     assert got == {1: "MaxDeliveryCountExceeded", 3: "TTLExpiredException", 4: "MaxDeliveryCountExceeded"}
+
+
+def test_what_follows_from_an_event_is_made_after_the_first_is_known(spark, parsed):
+    rows = parsed(record(rid="A"), record(rid="A", quantityMt="7"), record(rid="B", port="x"), record(rid="C", priceUsdPerMt="1.005"))
+    claims = spark.createDataFrame([("trading-desk:A",)], "dedup_key string")
+    for taken in (None, claims):
+        got, want = first_valid_events(rows, taken), first_valid(rows, taken)
+        assert sorted(got.select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str)
+    plan = first_valid_events(rows).select("event_id", "total_usd")._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window ["):]
+    assert "sha2" in plan and "sha2" not in window
+
+
+def test_fields_are_kept_for_letters_only(spark, parsed):
+    rows = parsed(record(rid="A"), record(rid="B", port="x"), record(rid="C")).withColumn(
+        "publish_error", F.when(F.col("source_record_id") == "C", "publish_transient")
+    )
+    kept = with_letter_fields(rows)
+    assert {r.source_record_id: r.fields is not None for r in kept.collect()} == {"A": False, "B": True, "C": True}
+    letters = [dead_letters(classify(x), clock()).collect() for x in (rows, kept)]
+    assert sorted(letters[0], key=str) == sorted(letters[1], key=str)
+
+
+def _small_tables(spark, folder):
+    lines = [(n, n % 4, n % 3, n % 5, 10.0 + n, 100.0, 0.0, 0.0, "N", "O", datetime(1998, 6, 20 + n % 8)) for n in range(40)] * 2
+    names = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    names += "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, names).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(n, t) for n, t in enumerate(("STANDARD", "SMALL", "PROMO", "MEDIUM"))], "p_partkey bigint, p_type string").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(n, f"S{n}", 5 * n) for n in range(3)], "s_suppkey bigint, s_name string, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+
+
+def test_history_is_written_once_and_without_what_does_not_decide(spark, tmp_path, monkeypatch):
+    _small_tables(spark, tmp_path)
+    written = []
+    monkeypatch.setattr(queries, "stored", lambda df, name: written.append((name, df.columns)) or stored(df, name))
+    monkeypatch.setattr(classify_module, "stored", lambda df, name: written.append((name, df.columns)) or stored(df, name))
+    got = queries.dedupe_against_history(spark, str(tmp_path)).groupBy("outcome").count().collect()
+    assert [name for name, _ in written] == ["trades"] and "fields" not in written[0][1] and "total_usd" not in written[0][1]
+    parsed = queries.parsed_trades(spark, str(tmp_path), "arrival_day")
+    before = F.col("arrival_day") < 10400
+    want = classify(parsed.where(~before), first_valid(parsed.where(before))).groupBy("outcome").count().collect()
+    assert sorted(got) == sorted(want) and len(got) >= 2
+
+
+def test_the_outbox_is_zstd(spark, parsed, tmp_path):
+    write_outbox(envelopes(first_valid(parsed(record()))), str(tmp_path), 0)
+    assert [n for n in os.listdir(tmp_path / "batch_id=0") if n.endswith(".parquet")][0].endswith(".zstd.parquet")
